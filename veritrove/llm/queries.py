@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contamination, items_digest
+from .mixing import mixed
 from .quality import quality
 from .shared import table
+from .tokens import token_files
+
+
+def word_vocabulary() -> str:
+    """The public word-level BPE vocabulary, as JSON text."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +28,31 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files."""
+    return token_files(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mix and its place in the curriculum, in training order."""
+    return (
+        mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+        .select("row.doc_id", "size", "source_size", "target", "taken", "position")
+        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's benchmark hits."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", "found.n_words", "found.n_hit",
+        F.size("found.items").cast("bigint").alias("n_items"),
+        items_digest(F.col("found.items")).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op2_quality_rules, op4_token_files, op7_source_mixing, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
