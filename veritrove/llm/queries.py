@@ -12,6 +12,8 @@ from .mixing import mixed
 from .quality import quality
 from .shared import table
 from .tokens import token_files
+from .toxicity import fit, remainder, toxicity
+from .warc import capture_index
 
 
 def word_vocabulary() -> str:
@@ -33,6 +35,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, from the merged index of the archives."""
+    return capture_index(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range", "place", "url_key", "timestamp"
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share in the mix and its place in the curriculum, in training order."""
     return (
@@ -42,6 +51,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic, learnt from the labels that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2))
+    return toxicity(documents, model, keep=["doc_id"]).select(
+        "row.doc_id", (remainder(F.col("row.doc_id"), 4) == 2).alias("held_out"),
+        "found.score", (F.col("found.score") >= 0.3).cast("int").alias("predicted"),
+        F.size("found.passages").cast("bigint").alias("n_passages"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's benchmark hits."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -53,6 +73,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_quality_rules, op4_token_files, op7_source_mixing, op9_decontamination)}
+QUERIES = {q.__name__: q for q in (op2_quality_rules, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
