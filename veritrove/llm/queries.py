@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination, items_digest
+from .jaccard_join import near_duplicates
 from .mixing import mixed
 from .quality import quality
 from .shared import table
@@ -23,6 +24,11 @@ def word_vocabulary() -> str:
     return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles and component of near duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdicts of every document."""
     return quality(table(spark, sf_dir, "documents")).select(
@@ -73,6 +79,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_quality_rules, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
