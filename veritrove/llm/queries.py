@@ -12,6 +12,7 @@ from .jaccard_join import near_duplicates
 from .mixing import mixed
 from .quality import quality
 from .shared import table
+from .suffix_dedup import without_repeats
 from .tokens import token_files
 from .toxicity import fit, remainder, toxicity
 from .warc import capture_index
@@ -36,6 +37,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without strings of 400 bytes that start elsewhere too."""
+    cut = without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return cut.select("row.doc_id", "found.n_bytes", "found.n_removed", F.size("found.removed").cast("bigint").alias("n_spans"), "found.kept_sha256")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the token files."""
     return token_files(table(spark, sf_dir, "documents"), word_vocabulary())
@@ -79,6 +86,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
