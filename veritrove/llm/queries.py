@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import contamination, items_digest
 from .jaccard_join import near_duplicates
 from .mixing import mixed
+from .pitman_yor import language_scores
 from .quality import quality
 from .shared import table
 from .suffix_dedup import without_repeats
@@ -86,6 +87,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination)}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the model of the documents that aren't held out."""
+    scores = language_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) != 1)
+    return scores.select(
+        F.col("id").alias("doc_id"), (remainder(F.col("id"), 5) == 1).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor)}
 
 ORACLE_SQL: dict[str, str] = {}
