@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination, items_digest
 from .jaccard_join import near_duplicates
+from .licenses import license_scan
 from .mixing import mixed
 from .pitman_yor import language_scores
 from .quality import quality
@@ -56,6 +57,14 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document; documents without one have a row of nulls."""
+    found = license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", F.explode_outer("found.matches").alias("m")).select(
+        "doc_id", F.col("m.license").alias("license"), F.col("m.start").alias("start_word"), F.col("m.stop").alias("stop_word"), F.col("m.containment").alias("containment")
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share in the mix and its place in the curriculum, in training order."""
     return (
@@ -96,6 +105,6 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor)}
 
 ORACLE_SQL: dict[str, str] = {}
