@@ -25,10 +25,13 @@ empty table gives an empty folder and result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,18 @@ from .shared import TASK_BYTES, shared_dir, sliced, volume
 from .words import PLAIN, Words, text_bytes
 
 END_ID = 1
-#: Words kept by a task's cache; it starts anew when it is full.
-CACHE_WORDS = 300_000
+#: Words kept by a worker's cache, over its tasks; it starts anew when it is full.
+CACHE_WORDS = 400_000
 #: Words longer than this are encoded anew each time, to bound the cache's memory.
 CACHE_WORD_BYTES = 64
 
 MANIFEST = "part int, docs bigint, tokens bigint, width int, file string"
 
 
+#: A word that ends in a letter or digit, then ASCII marks: the pre-tokeniser parts them there, whatever surrounds the word.
+TAIL = re.compile(rb"(?s)(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)")
+
+
 class WordEncoder:
     """Token ids of texts, by distinct words."""
 
@@ -57,33 +64,42 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def words(self, vocab: list[bytes]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [w for w in vocab if w not in cache]
+        self.cache: dict[bytes, bytes] = {}
+
+    def pieces(self, word: bytes) -> tuple[bytes, ...]:
+        """Parts whose ids follow each other, the letters folded as the vocabulary's normaliser does it; special tokens stay whole."""
+        if b"<|" in word:
+            return (word,)
+        word = word.lower()
+        if not word[-1:].isalnum() and b"'" not in word and (m := TAIL.fullmatch(word)):
+            return m.groups()
+        return (word,)
+
+    def words(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the words."""
+        cache, parts = self.cache, [self.pieces(w) for w in vocab]
+        new = list({p for ps in parts for p in ps if p not in cache})
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = vocab
+            new = list({p for ps in parts for p in ps})
         fresh = {}
         for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, np.uint32)
-        out = [cache[w] if w in cache else fresh[w] for w in vocab]
-        for w, ids in fresh.items():
+            some = new[a : a + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            fresh |= {w: array("I", e.ids).tobytes() for w, e in zip(some, encoded, strict=True)}
+        of = {**{p: cache[p] for ps in parts for p in ps if p in cache}, **fresh} if fresh else cache
+        ids = [of[ps[0]] if len(ps) == 1 else of[ps[0]] + of[ps[1]] for ps in parts]
+        for w, x in fresh.items():
             if len(w) <= CACHE_WORD_BYTES and len(cache) < CACHE_WORDS:
-                cache[w] = ids
-        return out
+                cache[w] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(ids), np.uint32)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets of documents, all ids), the end id after each document."""
         words = Words(texts, PLAIN)
-        ids = self.words(words.vocab)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.append(0, np.cumsum(sizes))[:-1] if len(ids) else sizes
-        n = sizes[words.codes]
+        bounds, flat = self.words(words.vocab)
+        begin, n = bounds[:-1], np.diff(bounds)[words.codes]
         # Places of the words' ids in the output, one end id after each document.
         per_row = np.add.reduceat(np.append(n, 0), np.minimum(words.offsets[:-1], len(n))) if len(texts) else np.zeros(0, np.int64)
         per_row = np.where(words.counts() > 0, per_row, 0) + 1
@@ -96,6 +112,18 @@ class WordEncoder:
         return offsets, out
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_json: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary; one at a time is kept."""
+    name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = WordEncoder(tokenizer_json)
+    return _encoders[name]
+
+
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
 
@@ -121,7 +149,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_colu
             if not batch.num_rows:
                 continue
             if encode is None:
-                encode = WordEncoder(shared.value)
+                encode = encoder(shared.value)
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/_{name}.bin")
             off, _ = text_bytes(batch.column(1))
