@@ -11,6 +11,7 @@ from .decontamination import contamination, items_digest
 from .jaccard_join import near_duplicates
 from .licenses import license_scan
 from .mixing import mixed
+from .oracles import ORACLE_SQL
 from .pitman_yor import language_scores
 from .quality import quality
 from .shared import table
@@ -29,7 +30,7 @@ def word_vocabulary() -> str:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingles and component of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +108,4 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "word_vocabulary"]
