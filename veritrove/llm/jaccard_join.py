@@ -232,16 +232,16 @@ def _by(column: str):
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each id: doc_id, n_shingles, component_id, class_id (smallest id of the same set)."""
     sets = document_sets(documents, id_column, text_column)
-    open_ = sets.where("class_key is not null")
+    open_ = sets.where("class_key is not null").select("doc_id", "class_key", "group_key")
     by_class = open_.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    member = stored(open_.select("doc_id", "class_key").join(by_class, "class_key").select("doc_id", "class_id"), "members")
-    reps = member.where("doc_id = class_id").select(F.col("doc_id").alias("_c"))
-    classes = sets.join(reps, F.col("doc_id") == F.col("_c"), "left_semi")
-    groups = stored(
-        classes.select("doc_id", "group_key").join(classes.groupBy("group_key").agg(F.min("doc_id").alias("group_id")), "group_key").select("doc_id", "group_id"), "groups"
+    member = stored(open_.join(by_class, "class_key").select("doc_id", "class_id", "group_key"), "members")
+    reps = member.where("doc_id = class_id").select("class_id", "group_key")
+    groups = stored(reps.join(reps.groupBy("group_key").agg(F.min("class_id").alias("group_id")), "group_key").select("class_id", "group_id"), "groups")
+    heads = groups.where("class_id = group_id").select("group_id")
+    prefix = (
+        sets.select("doc_id", "n", "alone", "prefix").join(heads, F.col("doc_id") == F.col("group_id"), "left_semi")
+        .select(F.col("doc_id").alias("c"), "n", "alone", F.posexplode("prefix").alias("at", "token")).withColumn("at", (F.col("at") + F.col("alone")).cast("bigint"))
     )
-    prefix = classes.select(F.col("doc_id").alias("c"), "n", "alone", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + F.col("alone")).drop("alone")
-    group_prefix = prefix.join(groups.where("doc_id = group_id").select("group_id"), F.col("c") == F.col("group_id"), "left_semi")
 
     def fits(x: str, y: str):
         """Sizes allow a link, and so do the shingles from here on if this is the first shared one."""
@@ -250,23 +250,25 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         sizes = DENOMINATOR * F.least(f"{x}n", f"{y}n") >= NUMERATOR * F.greatest(f"{x}n", f"{y}n")
         return sizes & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * both)
 
-    # Round 1: for each shingle the group of the least hash, with every other group; within groups, the first class with the rest.
-    pivots = group_prefix.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"))).alias("p"), F.count(F.lit(1)).alias("m")
+    # Round 1: for each shingle of several groups the one with the least share of shingles of its
+    # own - the original rather than an edited copy - with every other; within groups, the first class with the rest.
+    pivots = prefix.groupBy("token").agg(
+        F.min(F.struct((F.col("alone") / F.col("n")).alias("r"), F.xxhash64("c").alias("h"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"))).alias("p"), F.count(F.lit(1)).alias("m")
     ).where("m > 1").select(F.col("token").alias("ptoken"), "p.pc", "p.pn", "p.pat")
-    star = group_prefix.join(pivots, F.col("token") == F.col("ptoken")).where((F.col("c") != F.col("pc")) & fits("", "p")).select(F.col("pc").alias("a"), F.col("c").alias("b"))
-    inside = groups.where("doc_id <> group_id").select(F.col("group_id").alias("a"), F.col("doc_id").alias("b"))
-    first = stored(verified(star.unionByName(inside).distinct(), classes), "first")
-    known = components(first)
+    entries = stored(prefix.join(pivots, F.col("token") == F.col("ptoken")).select("token", "c", "n", "at", "pc", "pn", "pat"), "entries")
+    star = entries.where((F.col("c") != F.col("pc")) & fits("", "p")).select(F.col("pc").alias("a"), F.col("c").alias("b"))
+    inside = groups.where("class_id <> group_id").select(F.col("group_id").alias("a"), F.col("class_id").alias("b"))
+    first = stored(verified(star.unionByName(inside).distinct(), sets), "first")
     # Round 2: classes of different components that share a prefix shingle.
-    label = known.withColumnRenamed("node", "_n")
-    entries = prefix.join(label, F.col("c") == F.col("_n"), "left").select("token", "c", "n", "at", F.coalesce("component", "c").alias("k"))
-    mixed_tokens = entries.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-    rest = stored(entries.join(mixed_tokens, "token", "left_semi"), "rest")
+    label = components(first).withColumnRenamed("node", "_n")
+    classes = groups.join(label, F.col("class_id") == F.col("_n"), "left").select("class_id", F.col("group_id").alias("_g"), F.coalesce("component", "class_id").alias("k"))
+    named = entries.select("token", "c", "n", "at").join(classes, F.col("c") == F.col("_g")).select("token", F.col("class_id").alias("c"), "n", "at", "k")
+    apart = named.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
+    rest = stored(named.join(apart, "token", "left_semi"), "rest")
     x = rest.select(*[F.col(c).alias(f"x{c}") for c in rest.columns])
     y = rest.select(*[F.col(c).alias(f"y{c}") for c in rest.columns])
     pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xk") < F.col("yk")) & fits("x", "y")).select(F.col("xc").alias("a"), F.col("yc").alias("b")).distinct()
-    second = verified(pairs.join(first.select("a", "b").distinct(), ["a", "b"], "left_anti"), classes)
+    second = verified(pairs, sets)
     label = components(first.unionByName(second)).withColumnRenamed("node", "_n")
     # A component's smallest id is the smallest of its classes: a class is named by its smallest member.
     named = member.join(label, F.col("class_id") == F.col("_n"), "left").select(F.col("doc_id").alias("_d"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
