@@ -87,6 +87,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     """(log-odds ratio, z-score) of each token's counts under the informative Dirichlet prior."""
     alpha = prior * (toxic + clean) / max(1.0, n_toxic + n_clean)
     a, b = toxic + alpha, clean + alpha
+    a, b = np.maximum(a, 1e-9), np.maximum(b, 1e-9)
     delta = np.log(a / np.maximum(n_toxic + prior - a, 1e-9)) - np.log(b / np.maximum(n_clean + prior - b, 1e-9))
     return delta, delta / np.sqrt(1 / np.maximum(a, 1e-9) + 1 / np.maximum(b, 1e-9))
 
