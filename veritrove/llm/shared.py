@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from itertools import pairwise
 
@@ -31,11 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, a lost executor loses nothing."""
+    """df written to the shared folder and read again: lineage is cut, a lost executor loses nothing.
+
+    The shuffle files that made it are of no more use; release() lets them go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what it doesn't refer to any more; executors then delete those shuffle files.
+
+    A query's listeners refer to it for a moment after its end, hence the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

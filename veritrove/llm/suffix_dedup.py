@@ -21,7 +21,8 @@ input. Texts are UTF-8 bytes.
    documents, merged and cut out.
 
 An anchor whose group of different contexts is larger than GROUP_MOST isn't
-gathered in a task: its strings are hashed one by one, and Spark counts them.
+gathered in a task: what 16 neighbouring strings have in common is hashed and
+counted by Spark, and where that occurs twice, the strings themselves.
 
 Defined cases: null and empty texts, and texts shorter than `length`, lose
 nothing; repeated rows and equal texts of `length` bytes or more lose all;
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, volume
+from .shared import discard, sliced, stored, volume
 from .suffix_array import suffix_array
 from .words import mix, pack, pack_runs, text_bytes, unpack, unpack_runs
 
@@ -307,20 +308,37 @@ def _order(length: int, window: int):
     return run
 
 
-def _strings(length: int):
-    """Contexts -> one row for each string of them: context, offset, hash."""
+STEP = 16
+
+
+def _strings(length: int, blocks: bool):
+    """Contexts -> one row for each string of them: context, offset, hash; or, by blocks of offsets, what all strings of a block have in common."""
 
     def run(batches):
         for batch in batches:
-            for key, left, context, n, mark in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                offsets = [o for o in range(left + 1) if left - o + length <= len(context)]
+            out = []
+            for key, left, context, n, mark, wanted in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 # A string counts once for each place of the anchor, so anchor and offset are part of its name.
-                digests = [xxhash.xxh3_128_digest(mark.to_bytes(8, "big") + o.to_bytes(4, "big") + context[left - o : left - o + length]) for o in offsets]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(offsets), pa.binary()), pa.array(offsets, pa.int32()), pa.array(digests, pa.binary()), pa.array([n] * len(offsets), pa.int64())], names=["context_key", "offset", "h", "n"])
+                name = mark.to_bytes(8, "big")
+                for j in range(left // STEP + 1) if blocks else wanted:
+                    low, high = j * STEP, j * STEP + STEP - 1
+                    for o in [low] if blocks else range(low, min(left, high) + 1):
+                        a, b = (left - low, left - high + length) if blocks else (left - o, left - o + length)
+                        if b <= len(context):
+                            out.append((key, j if blocks else o, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[a:b]), n))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["context_key", "offset", "h", "n"])
 
     return run
 
 
+def _twice(contexts: DataFrame, length: int, blocks: bool) -> DataFrame:
+    """(context_key, offset) of the strings, or blocks of offsets, that occur twice."""
+    strings = contexts.repartition(max(1, -(-contexts.count() // 2000))).mapInArrow(_strings(length, blocks), "context_key binary, offset int, h binary, n bigint")
+    often = strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h"))
+    return strings.join(often, F.col("h") == F.col("_h"), "left_semi").select("context_key", "offset")
+
+
 def repeated_spans(documents: DataFrame, id_column: str, text_column: str, length: int = LENGTH, window: int = WINDOW, group_most: int = GROUP_MOST) -> DataFrame:
     """(doc, spans): for each id the byte ranges to remove, not yet merged."""
     rows, size = volume(documents, text_column)
@@ -342,13 +360,18 @@ def repeated_spans(documents: DataFrame, id_column: str, text_column: str, lengt
     parts = max(1, -(-n // 10_000))
     found = usual.withColumn("bucket", F.pmod(F.col("print"), F.lit(parts))).groupBy("bucket").applyInArrow(_order(length, window), FOUND)
     if any_large:
-        strings = different.join(large, F.col("print") == F.col("_p"), "left_semi").select("context_key", "left", "context", "n", "print").mapInArrow(_strings(length), "context_key binary, offset int, h binary, n bigint")
-        twice = strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h"))
-        covered = strings.join(twice, F.col("h") == F.col("_h"), "left_semi").groupBy("context_key").agg(
-            F.collect_list(F.struct((-F.col("offset")).alias("a"), (F.lit(length) - F.col("offset")).cast("int").alias("b"))).alias("spans"))
+        crowded = different.join(large, F.col("print") == F.col("_p"), "left_semi").select("context_key", "left", "context", "n", "print")
+        blocks = stored(_twice(crowded.withColumn("wanted", F.lit(None).cast("array<int>")), length, True).groupBy("context_key").agg(F.collect_set("offset").alias("wanted")).withColumnRenamed("context_key", "_k"), "blocks")
+        strings = _twice(crowded.join(blocks, F.col("context_key") == F.col("_k")).select("context_key", "left", "context", "n", "print", "wanted"), length, False)
+        # All strings of a context overlap (offsets are less than `length` apart), so they cover one range.
+        covered = strings.groupBy("context_key").agg(
+            F.array(F.struct((-F.max("offset")).alias("a"), (F.lit(length) - F.min("offset")).cast("int").alias("b"))).alias("spans"))
         found = found.unionByName(covered)
+    found = stored(found, "found")
     placed = members.select("context_key", "doc", "place").join(found.withColumnRenamed("context_key", "_k"), F.col("context_key") == F.col("_k"))
-    return placed.select("doc", F.explode(F.expr("transform(spans, s -> struct(place + s.a as a, place + s.b as b))")).alias("s")).groupBy("doc").agg(F.collect_set("s").alias("spans"))
+    spans = stored(placed.select("doc", F.explode(F.expr("transform(spans, s -> struct(place + s.a as a, place + s.b as b))")).alias("s")).groupBy("doc").agg(F.collect_set("s").alias("spans")), "spans")
+    discard(members, different, found)
+    return spans
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
