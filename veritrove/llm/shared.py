@@ -78,7 +78,7 @@ def volume(df: DataFrame, column: str) -> tuple[int, int]:
 
 
 #: Bytes of text that a Python worker handles at once; its arrays are some 20 times this.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def sliced(offsets: np.ndarray, most: int = SLICE_BYTES) -> list[tuple[int, int]]:

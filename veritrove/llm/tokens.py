@@ -32,6 +32,7 @@ import re
 import uuid
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ from .shared import TASK_BYTES, shared_dir, sliced, volume
 from .words import PLAIN, Words, text_bytes
 
 END_ID = 1
-#: Words kept by a worker's cache, over its tasks; it starts anew when it is full.
-CACHE_WORDS = 400_000
+#: Words kept by a worker's cache, over its tasks; beyond that the later half goes.
+CACHE_WORDS = 250_000
+#: Bytes of text encoded at once.
+SLICE = 3 << 20
 #: Words longer than this are encoded anew each time, to bound the cache's memory.
 CACHE_WORD_BYTES = 64
 
@@ -77,21 +80,20 @@ class WordEncoder:
 
     def words(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the words."""
-        cache, parts = self.cache, [self.pieces(w) for w in vocab]
-        new = list({p for ps in parts for p in ps if p not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({p for ps in parts for p in ps})
-        fresh = {}
+        cache = self.cache
+        parts = {w: self.pieces(w) for w in vocab if w not in cache}
+        new = list({p for ps in parts.values() for p in ps if p not in cache})
+        fresh: dict[bytes, bytes] = {}
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             fresh |= {w: array("I", e.ids).tobytes() for w, e in zip(some, encoded, strict=True)}
-        of = {**{p: cache[p] for ps in parts for p in ps if p in cache}, **fresh} if fresh else cache
-        ids = [of[ps[0]] if len(ps) == 1 else of[ps[0]] + of[ps[1]] for ps in parts]
-        for w, x in fresh.items():
-            if len(w) <= CACHE_WORD_BYTES and len(cache) < CACHE_WORDS:
-                cache[w] = x
+        whole = {w: b"".join([cache[p] if p in cache else fresh[p] for p in ps]) for w, ps in parts.items()}
+        ids = [cache[w] if w in cache else whole[w] for w in vocab]
+        for found in (fresh, whole):
+            cache.update((w, x) for w, x in found.items() if len(w) <= CACHE_WORD_BYTES)
+        if len(cache) > CACHE_WORDS:  # the first to come are the most frequent
+            self.cache = dict(islice(cache.items(), CACHE_WORDS // 2))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(ids), np.uint32)
 
@@ -153,7 +155,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_colu
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/_{name}.bin")
             off, _ = text_bytes(batch.column(1))
-            for a, b in sliced(off):
+            for a, b in sliced(off, SLICE):
                 bounds, flat = encode(batch.column(1).slice(a, b - a), end_id)
                 if flat.max() >= 1 << (8 * width):
                     raise ValueError("a token id doesn't fit the file's width")
