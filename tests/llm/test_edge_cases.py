@@ -70,6 +70,18 @@ def test_jaccard_near_copies(spark):
     assert got == label
 
 
+def test_jaccard_links_inside_a_group(spark):
+    """Three classes of one size and prefix, which no other document has in its prefix; the first links to neither of the others."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage, b = words("p", 19), words("b", 41)
+    rests = [words("a", 41), b, [*b[:-1], "c"]]
+    rows = [(i, " ".join(passage + rest)) for i, rest in enumerate(rests)]
+    # Longer texts make all shingles of the rests shared, and more common than those of the passage.
+    rows += [(10 * (i + 1) + j, " ".join(passage[-4:] + rest + words(f"own{i}x{j}x", 200))) for i, rest in enumerate(rests) for j in range(10)]
+    got = {x.doc_id: (x.component_id, x.class_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (1 if i == 2 else i, i) for i, _ in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5), (None, 3), (100, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -14,7 +14,9 @@ among the first |x| - ceil(t |x|) + 1 of each (their prefixes).
 3. Group pairs. For each prefix shingle one group, the same for all shingles
    where possible, is paired with the others, filtered by size and position,
    and verified on the sets' members. Then classes that share a prefix shingle
-   but are not in one component yet are paired, filtered and verified. A pair
+   but are not in one component yet are paired, filtered and verified; those
+   of one group share its whole prefix, so they meet at its first shingle even
+   where no other group has it. A pair
    is thus skipped only where its ends are already connected, so components
    are those of all links, and a large group of copies costs a row for each
    member and not for each pair.
@@ -262,7 +264,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     # Round 2: classes of different components that share a prefix shingle.
     label = components(first).withColumnRenamed("node", "_n")
     classes = groups.join(label, F.col("class_id") == F.col("_n"), "left").select("class_id", F.col("group_id").alias("_g"), F.coalesce("component", "class_id").alias("k"))
-    named = entries.select("token", "c", "n", "at").join(classes, F.col("c") == F.col("_g")).select("token", F.col("class_id").alias("c"), "n", "at", "k")
+    # Classes of one group have all of its prefix in common and no shingles of their own.
+    several = prefix.where("at = 0").join(inside.select("a").distinct(), F.col("c") == F.col("a"), "left_semi").select("token", "c", "n", "at")
+    meeting = entries.select("token", "c", "n", "at").unionByName(several).distinct()
+    named = meeting.join(classes, F.col("c") == F.col("_g")).select("token", F.col("class_id").alias("c"), "n", "at", "k")
     apart = named.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
     rest = stored(named.join(apart, "token", "left_semi"), "rest")
     x = rest.select(*[F.col(c).alias(f"x{c}") for c in rest.columns])
