@@ -157,6 +157,22 @@ def test_mixing(docs, empty):
     assert sum(water_fill([("a", 5.0, 10), ("b", 1.0, 1000), ("c", 1.0, 0)], 1010.0, 3.0).values()) == pytest.approx(1010)
 
 
+def test_mixing_schedules_every_copy(spark):
+    """By each training time every source has used its schedule's share, one that is repeated max_repeats times too."""
+    rows = [(k, " ".join(["w"] * 10), s) for k, s in enumerate(["a"] * 300 + ["b"] * 20 + ["c"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixed(df).collect()
+    target = {r.row.source: r.target for r in found}
+    assert target["b"] == 600 and target["c"] == pytest.approx(2800 / 6)
+    used = lambda t: {s: target[s] * (t * (1 + k) - k * t * t) for s, k in (("a", 0.5), ("b", 0.0), ("c", -0.5))}
+    order = [r.source for r in curriculum(df).collect()]
+    for t in (k / 12 for k in range(1, 13)):
+        now = used(t)
+        first = order[: round(sum(now.values()) / 10)]
+        assert all(abs(10 * first.count(s) - n) <= 40 for s, n in now.items())
+    assert all(len(r.positions) == 3 and r.positions[0] == r.position for r in found if r.row.source == "b")
+
+
 def test_toxicity(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r.found.score for r in toxicity(docs, fit(docs, none)).collect()] == [0.0] * len(TEXTS)

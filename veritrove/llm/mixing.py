@@ -7,10 +7,10 @@ source's share. Shares of sources that would be repeated more than
 
 A source's documents stand in a pseudo-random order that depends on content
 ids only (reruns agree), and are passed through again and again until the
-source's target is used up. The words before a document's copy are the
-cumulative demand at which it is wanted; inverting the integral of the
-schedule gives the training time, and so the position. A range sort by
-position gives the training order.
+source's target is used up. The words before a document's copy, those of the
+passes before it included, are the cumulative demand at which it is wanted;
+inverting the integral of the schedule gives the training time, and so the
+position of each copy. A range sort by position gives the training order.
 
 Prefix sums over a source are taken in two levels - buckets of the order, then
 rows of a bucket - so that a source that holds most rows is many tasks.
@@ -99,11 +99,12 @@ def training_time(u: Column, slope: Column) -> Column:
 
 def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
           keep: list[str] | None = None, weights=WEIGHTS, slopes=SLOPES, max_repeats: float = MAX_REPEATS, seed: int = 7) -> DataFrame:
-    """Each document once: row (struct of `keep`), size, source_size, target, taken, position.
+    """Each document once: row (struct of `keep`), size, source_size, target, taken, position, positions.
 
     taken: words the mix takes from the document, whole passes and the last
     partial one together. position: training time in [0, 1] of its first copy,
-    null if none is taken.
+    null if none is taken. positions: the training time of each copy; a last
+    partial copy counts as whole if it is over half of the document.
     """
     keep = list(keep or documents.columns)
     n_buckets = max(1, -(-documents.count() // BUCKET_ROWS))
@@ -132,22 +133,21 @@ def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rest = want - passes * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
     taken = (passes * F.col("size") + partial).cast("bigint")
-    share = F.when(want > 0, F.least(F.lit(1.0), F.col("_at") / want)).otherwise(F.lit(0.0))
+
+    def position(copy: Column) -> Column:
+        share = F.when(want > 0, F.least(F.lit(1.0), (F.col("_at") + copy * F.col("source_size")) / want)).otherwise(F.lit(0.0))
+        return training_time(share, F.col("slope"))
+
+    # Copies are numbered from 0: as many passes come before each.
+    copies = F.when(F.col("size") > 0, F.floor(taken / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    numbers = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
     return placed.select(
         "row", "size", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, training_time(share, F.col("slope"))).alias("position"),
+        F.when(taken > 0, position(F.lit(0))).alias("position"), F.transform(numbers, position).alias("positions"),
     )
 
 
 def curriculum(documents: DataFrame, **options) -> DataFrame:
-    """The training order: every copy of every document that the mix takes, all columns, sorted by position.
-
-    A last partial copy counts as whole if it is over half of the document.
-    """
+    """The training order: every copy of every document that the mix takes, all columns, sorted by the copy's position."""
     m = mixed(documents, **options)
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return (
-        m.where("size > 0").withColumn("_copies", copies).where("_copies > 0")
-        .select("row", "position", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-        .orderBy("position", "_copy").select("row.*")
-    )
+    return m.select("row", F.posexplode("positions").alias("_copy", "_position")).orderBy("_position", "_copy").select("row.*")

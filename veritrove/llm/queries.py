@@ -67,10 +67,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's share in the mix and its place in the curriculum, in training order."""
+    """Every document's share in the mix and its copies' places in the curriculum, in training order of the first."""
     return (
         mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
-        .select("row.doc_id", "size", "source_size", "target", "taken", "position")
+        .select("row.doc_id", "size", "source_size", "target", "taken", "position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
