@@ -224,6 +224,15 @@ def test_language_model_sums_to_one(spark):
     assert all(got[100 + i] > got[106] for i in range(5)) and got[105] < 0
 
 
+def test_language_root_has_every_word(spark):
+    """A word's score doesn't depend on how many root probabilities are broadcast, and a rare word beats an unseen one."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{int(400 * r.random() ** 3)}" for _ in range(100))) for i in range(60)] + [(98, "once"), (100, "w399 once"), (101, "w399 never"), (102, "w0 w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [{x.id: x.score for x in language_scores(df, F.col("doc_id") < 100, root_words=n).collect()} for n in (500_000, 50, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) and all(g[100] > g[101] for g in got)
+
+
 def test_kernels():
     w = Words(pa.array(["Ab, c-d", None, "", "É1  x"]), ALNUM)
     assert [w.vocab[c] for c in w.codes] == [b"ab", b"c", b"d", "É1".encode(), b"x"] and w.counts().tolist() == [3, 0, 0, 2]
