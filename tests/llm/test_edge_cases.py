@@ -95,9 +95,9 @@ def test_quality(docs, empty):
     assert got[8].n_repeat_words == 6 and got[8].word_chars == 21 and quality(empty).count() == 0 and quality(docs).count() == len(TEXTS)
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_suffix_dedup(docs, empty, most):
-    got = [(r.row.doc_id, r.found.n_bytes, r.found.n_removed) for r in X.without_repeats(docs, keep=["doc_id", "row"], group_most=most).collect()]
+@pytest.mark.parametrize(("most", "hot"), [(20_000, 100_000), (1, 100_000), (20_000, 2), (1, 1)])
+def test_suffix_dedup(docs, empty, most, hot):
+    got = [(r.row.doc_id, r.found.n_bytes, r.found.n_removed) for r in X.without_repeats(docs, keep=["doc_id", "row"], group_most=most, hot=hot).collect()]
     size = len(SOME)
     assert got.count((5, size, size)) == 2 and (6, size + 5, size) in got and (None, size, 0) in got and (0, 0, 0) in got and (9, 2000, 2000) in got
     assert X.without_repeats(empty).count() == 0

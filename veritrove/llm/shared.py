@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from itertools import pairwise
 
@@ -32,33 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veritrove-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, a lost executor loses nothing.
 
-    The shuffle files that made it are of no more use; release() lets them go.
+    The shuffle files that made it are of no more use and go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    out = spark.read.schema(schema).parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver drop what it doesn't refer to any more; executors then delete those shuffle files.
-
-    A query's listeners refer to it for a moment after its end, hence the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:

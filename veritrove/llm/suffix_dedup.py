@@ -9,20 +9,24 @@ input. Texts are UTF-8 bytes.
    holds an anchor among its first `window` places, and two equal strings hold
    the same one. So they agree on the `length - window + 1` bytes from it: only
    anchors whose next bytes occur twice can lie in a repeat.
-2. Contexts. Such an anchor's surroundings, long enough for any string that
-   has it as its first anchor, are sent to the anchor's bucket. Equal contexts
-   count once, however many there are.
-3. Order. The contexts of a bucket are cut into blocks from the anchor on, and
-   a suffix array by linear grouping orders them; neighbours give the longest
-   agreement to the right. Going left from the anchor byte by byte, contexts
-   that agree so far stay together, and the neighbours among them say whether
-   the string that starts there occurs twice.
-4. The repeated places of each context are the ranges to remove of all its
-   documents, merged and cut out.
-
-An anchor whose group of different contexts is larger than GROUP_MOST isn't
-gathered in a task: what 16 neighbouring strings have in common is hashed and
-counted by Spark, and where that occurs twice, the strings themselves.
+2. Marks. What travels is a fingerprint of those bytes, one of the anchor's
+   whole context (long enough for any string that has it as its first anchor),
+   and its place. A context that occurs twice is repeated whole, and where all
+   contexts of a fingerprint are equal nothing else is asked for.
+3. Order. Of other fingerprints one copy of each different context is fetched.
+   Those of a bucket are cut into blocks from the anchor on, and a suffix array
+   by linear grouping orders them; neighbours give the longest agreement to the
+   right. Going left from the anchor byte by byte, contexts that agree so far
+   stay together, and the neighbours among them say whether the string that
+   starts there occurs twice. (Any sort of the contexts would give this result.)
+4. The repeated places of each document are merged and cut out.
+
+Hot fingerprints, found by counts of all slices before, are dealt by their
+contexts, and a context that is hot itself is known to be repeated: only one
+copy for each slice travels. Where a fingerprint is hot or has more than
+GROUP_MOST different contexts, these aren't gathered in a task: what 16
+neighbouring strings have in common is hashed and counted by Spark, and where
+that occurs twice, the strings themselves.
 
 Defined cases: null and empty texts, and texts shorter than `length`, lose
 nothing; repeated rows and equal texts of `length` bytes or more lose all;
@@ -33,6 +37,7 @@ text; other columns pass through `row` untouched.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +56,10 @@ BLOCK = 16
 SLICE = 2 << 20
 BUCKET_BYTES = 32 << 20
 BUCKET_DOCS = 4096
-#: Different contexts of one anchor that a task may gather: some 13 MB.
+#: Different contexts of one fingerprint that a task may gather: some 10 MB.
 GROUP_MOST = 20_000
+#: Places of a fingerprint, or of a context, from which on it is hot: half of a bucket's.
+HOT = 100_000
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -88,15 +95,18 @@ def anchors(offsets: np.ndarray, raw: np.ndarray, window: int = WINDOW) -> np.nd
 
 
 def placed_anchors(offsets: np.ndarray, raw: np.ndarray, length: int, window: int):
-    """(row, place in the row, fingerprint) of anchors with enough bytes after them, in texts that are long enough."""
+    """(row, place in the row, fingerprint, context's fingerprint) of anchors with enough bytes after them, in texts that are long enough."""
     at = anchors(offsets, raw, window)
     row = np.searchsorted(offsets, at, "right") - 1
     reach = length - window + 1
     good = (at + reach <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= length)
     at, row = at[good], row[good]
+    place = at - offsets[row]
+    left, end = np.minimum(place, window - 1), np.minimum(at + length, offsets[row + 1])
     data, digest = raw.tobytes(), xxhash.xxh3_64_intdigest
     prints = np.fromiter((digest(data[a : a + reach]) for a in at.tolist()), np.uint64, len(at))
-    return row, at - offsets[row], prints
+    marks = np.fromiter((digest(data[a - k : b], k + 1) for a, k, b in zip(at.tolist(), left.tolist(), end.tolist(), strict=True)), np.uint64, len(at))
+    return row, place, prints, marks
 
 
 def _runs(key: np.ndarray):
@@ -106,83 +116,196 @@ def _runs(key: np.ndarray):
             yield int(key[a]), slice(a, b)
 
 
-def _blobs(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+def _blobs(rows, kind: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "bucket", "data"])
 
 
-def _fingerprints(buckets: int, length: int, window: int):
+BLOBS = "kind int, bucket int, data binary"
+
+
+def _slices(length: int, window: int):
+    """(ids, fingerprints' columns) of each slice of a stream of batches (id, text)."""
+
     def run(batches):
         for batch in batches:
             ids_all = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             off, _ = text_bytes(batch.column(1))
             for a, b in sliced(off, SLICE):
                 bounds, raw = text_bytes(batch.column(1).slice(a, b - a))
-                row, place, prints = placed_anchors(bounds, raw, length, window)
-                bucket = ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                docs, place, prints = ids_all[a:b][row][order], place[order], prints[order]
-                yield _blobs([(k, pack(*pack_runs(docs[s]), place[s], prints[s])) for k, s in _runs(bucket[order])])
+                row, place, prints, marks = placed_anchors(bounds, raw, length, window)
+                yield ids_all[a:b][row], place, prints, marks
+
+    return run
+
+
+def _several(length: int, window: int):
+    """Texts -> fingerprints (mark null) and contexts that occur twice or more in a slice, with their number."""
+
+    def run(batches):
+        for _, _, prints, marks in _slices(length, window)(batches):
+            order = np.lexsort((marks, prints))
+            prints, marks = prints[order], marks[order]
+            new = np.append(True, prints[1:] != prints[:-1])[: len(prints)]
+            for fine in (False, True):
+                first = np.flatnonzero(new | np.append(True, marks[1:] != marks[:-1])[: len(marks)] if fine else new)
+                n = np.diff(np.append(first, len(prints)))
+                first, n = first[n > 1], n[n > 1]
+                mark = pa.array(marks[first].view(np.int64)) if fine else pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(prints[first].view(np.int64)), mark, pa.array(n, pa.int64())], names=["print", "mark", "n"])
+
+    return run
+
+
+@dataclass
+class Hot:
+    """Fingerprints, and contexts of them, that occur too often for one task; each has over HOT places, so there are few."""
+
+    prints: np.ndarray
+    pairs: np.ndarray
+
+    @staticmethod
+    def pair(prints: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return mix(prints) ^ marks
+
+    def of(self, prints: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the fingerprint is hot, and whether the context is."""
+        if not len(self.prints):
+            return np.zeros(len(prints), bool), np.zeros(len(prints), bool)
+        return np.isin(prints, self.prints), np.isin(self.pair(prints, marks), self.pairs)
+
+
+def hot_fingerprints(texts: DataFrame, length: int, window: int, hot: int) -> Hot:
+    """What slices hold twice or more is counted; the rest adds at most one place for each slice."""
+    counts = texts.mapInArrow(_several(length, window), "print bigint, mark bigint, n bigint").groupBy("print", "mark").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > hot).select("print", "mark").toArrow()  # at most (number of anchors) / hot rows
+    fine = rows["mark"].is_valid().to_numpy()
+    prints, marks = (rows[c].fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for c in ("print", "mark"))
+    return Hot(np.unique(prints), np.unique(Hot.pair(prints[fine], marks[fine])))
+
+
+#: What is known of an anchor: its context is repeated; its context is to be fetched; and among too many to be put in order.
+WHOLE, ASKED, CROWDED = 1, 2, 4
+
+
+def _homes(docs: np.ndarray, places: np.ndarray, flags: np.ndarray, prints: np.ndarray, doc_buckets: int):
+    """Anchors packed for their documents' buckets; fingerprints go along where the context is asked for."""
+    home = (mix(docs.view(np.uint64)) % np.uint64(doc_buckets)).astype(np.int64)
+    order = np.lexsort((places, docs, home))
+    docs, places, flags, prints, home = docs[order], places[order], flags[order], prints[order], home[order]
+    return _blobs([(k, pack(*pack_runs(docs[s]), places[s], flags[s], prints[s][(flags[s] & ASKED) > 0])) for k, s in _runs(home)], 1)
+
+
+def _fingerprints(buckets: int, doc_buckets: int, length: int, window: int, shared):
+    """Texts -> kind 0: anchors by bucket of the fingerprint, or of the context where that is hot; kind 1: anchors known to be repeated."""
+
+    def run(batches):
+        hot: Hot = shared.value
+        for docs, place, prints, marks in _slices(length, window)(batches):
+            hot_print, hot_pair = hot.of(prints, marks)
+            if hot_pair.any():
+                known = np.flatnonzero(hot_pair)
+                yield _homes(docs[known], place[known], np.full(len(known), WHOLE, np.uint8), prints[known], doc_buckets)
+                # One copy stays in the race: its context may be asked for.
+                _, first = np.unique(Hot.pair(prints[known], marks[known]), return_index=True)
+                keep = ~hot_pair
+                keep[known[first]] = True
+                docs, place, prints, marks, hot_print = docs[keep], place[keep], prints[keep], marks[keep], hot_print[keep]
+            key = np.where(hot_print, mix(marks), prints)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            docs, place, prints, marks = docs[order], place[order], prints[order], marks[order]
+            yield _blobs([(k, pack(*pack_runs(docs[s]), place[s], prints[s], marks[s])) for k, s in _runs(bucket[order])])
 
     return run
 
 
-def _repeated(doc_buckets: int):
-    """A bucket of fingerprints -> anchors whose fingerprint occurs twice, to their documents' buckets."""
+def _repeated(doc_buckets: int, group_most: int, shared):
+    """A bucket of fingerprints -> what is known of the anchors whose fingerprint occurs twice, to their documents' buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, places, prints = [], [], []
-        for blob in table["data"].to_pylist():
-            a = unpack(blob)
-            docs.append(unpack_runs(a[0], a[1]))
-            places.append(a[2].astype(np.int64))
-            prints.append(a[3].astype(np.uint64))
-        docs, places, prints = np.concatenate(docs), np.concatenate(places), np.concatenate(prints)
-        order = np.argsort(prints)
-        docs, places, prints = docs[order], places[order], prints[order]
-        same = prints[1:] == prints[:-1]
-        twice = np.append(False, same) | np.append(same, False) if len(prints) else np.zeros(0, bool)
-        docs, places = docs[twice], places[twice]
-        home = (mix(docs.view(np.uint64)) % np.uint64(doc_buckets)).astype(np.int64)
-        order = np.lexsort((places, docs, home))
-        docs, places, home = docs[order], places[order], home[order]
-        return pa.Table.from_batches([_blobs([(k, pack(*pack_runs(docs[s]), places[s])) for k, s in _runs(home)])])
+        if table["kind"][0].as_py() == 1:
+            return table.select(["kind", "bucket", "data"])
+        parts = [unpack(blob) for blob in table["data"].to_pylist()]
+        docs = np.concatenate([unpack_runs(a[0], a[1]) for a in parts])
+        places, prints, marks = (np.concatenate([a[i].astype(k) for a in parts]) for i, k in ((2, np.int64), (3, np.uint64), (4, np.uint64)))
+        del parts
+        order = np.lexsort((places, docs, marks, prints))
+        docs, places, prints, marks = docs[order], places[order], prints[order], marks[order]
+        hot_print, hot_pair = shared.value.of(prints, marks)
+        new_print = np.append(True, prints[1:] != prints[:-1])[: len(prints)]
+        new_mark = new_print | np.append(True, marks[1:] != marks[:-1])[: len(marks)]
+        of_print, of_mark = np.cumsum(new_print) - 1, np.cumsum(new_mark) - 1
+        whole = (np.bincount(of_mark)[of_mark] > 1) | hot_pair if len(docs) else hot_pair
+        different = np.bincount(of_print, new_mark).astype(np.int64)[of_print] if len(docs) else np.zeros(0, np.int64)
+        asked = new_mark & ((different > 1) | hot_print)
+        flags = whole * WHOLE + asked * ASKED + (asked & ((different > group_most) | hot_print)) * CROWDED
+        some = np.flatnonzero(flags)
+        return pa.Table.from_batches([_homes(docs[some], places[some], flags[some].astype(np.uint8), prints[some], doc_buckets)])
 
     return run
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    docs, places = [], []
-    for blob in table["data"].to_pylist():
-        a = unpack(blob)
-        docs.append(unpack_runs(a[0], a[1]))
-        places.append(a[2].astype(np.int64))
-    docs, places = np.concatenate(docs), np.concatenate(places)
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    rows = [(k, pack(np.unique(places[s]))) for k, s in _runs(docs)]
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc", "places"])
+HITS = pa.schema([("doc", pa.int64()), ("whole", pa.binary()), ("asked", pa.binary()), ("crowded", pa.binary()), ("n_asked", pa.int64())])
+HITS_DDL = "doc bigint, whole binary, asked binary, crowded binary, n_asked bigint"
 
 
-CONTEXT = "context_key binary, doc bigint, place bigint, left int, print bigint, context binary"
+def _by_document(table: pa.Table) -> pa.Table:
+    """A bucket of documents -> places with a repeated context, and (place, fingerprint, whether repeated) of contexts to fetch."""
+    parts = [unpack(blob) for blob in table["data"].to_pylist()]
+    docs = np.concatenate([unpack_runs(a[0], a[1]) for a in parts])
+    places, flags = (np.concatenate([a[i].astype(np.int64) for a in parts]) for i in (2, 3))
+    prints = np.zeros(len(docs), np.uint64)
+    prints[(flags & ASKED) > 0] = np.concatenate([a[4].astype(np.uint64) for a in parts])
+    # A place that is known twice (a hot context's copy) keeps its row that asks.
+    order = np.lexsort((-flags, places, docs))
+    order = order[np.append(True, (docs[order][1:] != docs[order][:-1]) | (places[order][1:] != places[order][:-1]))[: len(order)]]
+    docs, places, flags, prints = docs[order], places[order], flags[order], prints[order]
+    out = {name: [] for name in HITS.names}
+    for doc, s in _runs(docs):
+        f = flags[s]
+        wanted = lambda m, s=s, f=f: pack(places[s][m], prints[s][m], (f[m] & WHOLE).astype(np.uint8)) if m.any() else None
+        crowded = (f & CROWDED) > 0
+        ordered = ((f & ASKED) > 0) & ~crowded
+        for name, v in zip(HITS.names, (doc, pack(places[s][(f & WHOLE) > 0]), wanted(ordered), wanted(crowded), int(ordered.sum())), strict=True):
+            out[name].append(v)
+    return pa.Table.from_pydict(out, HITS)
+
+
+#: Bytes of contexts that are packed at once.
+CONTEXT_BYTES = 4 << 20
+
+
+def _contexts(parts: int, length: int, window: int):
+    """Texts and what is asked of them -> contexts by bucket: ids, places, fingerprints, whether repeated, sizes left and right, bytes."""
+    reach = length - window + 1
 
+    def packed(rows) -> pa.RecordBatch:
+        prints = np.array([r[2] for r in rows], np.uint64)
+        bucket = (mix(prints) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        blobs = []
+        for k, s in _runs(bucket[order]):
+            some = [rows[i] for i in order[s].tolist()]
+            ids, places, whole, left, right = (np.array([r[i] for r in some], np.int64) for i in (0, 1, 3, 4, 5))
+            data = b"".join(r[6] for r in some)
+            small = pa.compress(data, codec="zstd", asbytes=True)
+            blobs.append((k, pack(*pack_runs(ids), places, prints[order[s]], whole, left, right, np.array([len(data)]), np.frombuffer(small, np.uint8))))
+        return _blobs(blobs)
 
-def _contexts(length: int, window: int):
     def run(batches):
         for batch in batches:
-            out = []
-            texts = batch.column(1).cast(pa.large_binary())
+            texts, rows, size = batch.column(1).cast(pa.large_binary()), [], 0
             for i, (doc, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 data = texts[i].as_py() or b""
-                for p in unpack(blob)[0].tolist():
-                    left = min(p, window - 1)
-                    context = data[p - left : p + length]
-                    key = xxhash.xxh3_128_digest(left.to_bytes(2, "big") + context)
-                    out.append((key, doc, p, left, xxhash.xxh3_64_intdigest(data[p : p + length - window + 1]) >> 1, context))
-                if len(out) >= 5000 or i + 1 == batch.num_rows:
-                    cols = list(zip(*out, strict=True)) if out else [()] * 6
-                    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["context_key", "doc", "place", "left", "print", "context"])
-                    out = []
+                for p, fingerprint, whole in zip(*(a.tolist() for a in unpack(blob)), strict=True):
+                    left = data[max(0, p - window + 1) : p]
+                    right = data[p + reach : p + length]
+                    rows.append((doc, p, fingerprint, whole, len(left), len(right), left + right))
+                    size += len(left) + len(right)
+                if rows and (size > CONTEXT_BYTES or i + 1 == batch.num_rows):
+                    yield packed(rows)
+                    rows, size = [], 0
 
     return run
 
@@ -212,15 +335,14 @@ def repeated_places(groups: np.ndarray, lefts: list[bytes], rights: list[bytes],
     """Which strings occur twice: a matrix [context, offset]; the string of an offset starts that many bytes left of the anchor.
 
     groups: contexts of one group agree on the length - window + 1 bytes from
-    the anchor on. counts: occurrences of each context.
+    the anchor on, which rights leave out. counts: occurrences of each context.
     """
-    n = len(groups)
+    n, reach = len(groups), length - window + 1
     repeated = np.zeros((n, window), bool)
     if not n:
         return repeated
-    # Blocks from the anchor on as symbols in order of their bytes; 0 ends a context.
-    skip = (length - window + 1) // BLOCK
-    cut = [[r[b : b + BLOCK] for b in range(skip * BLOCK, len(r), BLOCK)] for r in rights]
+    # Blocks of the rights as symbols in order of their bytes; 0 ends a context.
+    cut = [[r[b : b + BLOCK] for b in range(0, len(r), BLOCK)] for r in rights]
     rank_of = {b: k + 1 for k, b in enumerate(sorted({b for c in cut for b in c}))}
     text, starts = [], []
     for c in cut:
@@ -232,16 +354,17 @@ def repeated_places(groups: np.ndarray, lefts: list[bytes], rights: list[bytes],
     order = ordered[np.argsort(groups[ordered], kind="stable")]
     # Agreement to the right of neighbours in this order.
     sizes = np.array([len(r) for r in rights])[order]
-    matrix = np.zeros((n, length), np.uint8)
+    matrix = np.zeros((n, window), np.uint8)
     for k, i in enumerate(order.tolist()):
         matrix[k, : len(rights[i])] = np.frombuffer(rights[i], np.uint8)
     agree = np.zeros(max(n - 1, 1), np.int64)
     for a in range(0, n - 1, 4096):
         b = min(n - 1, a + 4096)
         differ = matrix[a + 1 : b + 1] != matrix[a:b]
-        run = np.where(differ.any(1), differ.argmax(1), length)
-        agree[a:b] = np.minimum(run, np.minimum(sizes[a:b], sizes[a + 1 : b + 1]))
+        run = np.where(differ.any(1), differ.argmax(1), window)
+        agree[a:b] = reach + np.minimum(run, np.minimum(sizes[a:b], sizes[a + 1 : b + 1]))
     del matrix
+    sizes = reach + sizes
     least = RangeLeast(agree)
     left_size = np.array([len(x) for x in lefts])[order]
     left = np.zeros((n, window), np.uint8)
@@ -290,124 +413,171 @@ def spans_of(repeated: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-FOUND = "context_key binary, spans array<struct<a:int,b:int>>"
+FOUND = "doc bigint, a bigint, b bigint"
+
+
+def _found(docs, places, spans) -> pa.RecordBatch:
+    """Spans from the anchor as ranges of the document."""
+    flat = [(d, p + a, p + b) for d, p, s in zip(docs, places, spans, strict=True) for a, b in s]
+    cols = list(zip(*flat, strict=True)) if flat else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "a", "b"])
 
 
 def _order(length: int, window: int):
+    """A bucket of contexts -> ranges to remove of those that aren't known to be repeated whole."""
+
     def run(table: pa.Table) -> pa.Table:
-        keys, prints = table["context_key"].to_pylist(), table["print"].to_numpy()
-        left, contexts = table["left"].to_pylist(), table["context"].to_pylist()
-        _, groups = np.unique(prints, return_inverse=True)
-        lefts = [c[:k] for c, k in zip(contexts, left, strict=True)]
-        rights = [c[k:] for c, k in zip(contexts, left, strict=True)]
-        found = spans_of(repeated_places(groups, lefts, rights, table["n"].to_numpy(), length, window), length)
-        some = [i for i, s in enumerate(found) if s]
-        return pa.Table.from_arrays(
-            [pa.array([keys[i] for i in some], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in found[i]] for i in some], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["context_key", "spans"])
+        docs, places, prints, whole, lefts, rights = [], [], [], [], [], []
+        for blob in table["data"].to_pylist():
+            steps, runs, place, fingerprint, known, left, right, size, small = unpack(blob)
+            data = pa.decompress(small.tobytes(), int(size[0]), codec="zstd", asbytes=True)
+            docs += unpack_runs(steps, runs).tolist()
+            places += place.tolist()
+            prints.append(fingerprint.astype(np.uint64))
+            whole.append(known.astype(bool))
+            at = 0
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                lefts.append(data[at : at + a])
+                rights.append(data[at + a : at + a + b])
+                at += a + b
+        _, groups = np.unique(np.concatenate(prints), return_inverse=True)
+        whole = np.concatenate(whole)
+        spans = spans_of(repeated_places(groups, lefts, rights, 1 + whole.astype(np.int64), length, window), length)
+        some = [i for i in range(len(docs)) if spans[i] and not whole[i]]
+        return pa.Table.from_batches([_found([docs[i] for i in some], [places[i] for i in some], [spans[i] for i in some])])
 
     return run
 
 
 STEP = 16
+CROWD = "doc bigint, place bigint, left int, print bigint, n int, context binary"
+
+
+def _crowd(length: int, window: int):
+    """Texts and what is asked of them -> one row for each context, n being 2 if it is known to be repeated."""
+
+    def run(batches):
+        for batch in batches:
+            texts, out = batch.column(1).cast(pa.large_binary()), []
+            for i, (doc, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                data = texts[i].as_py() or b""
+                for p, fingerprint, whole in zip(*(a.tolist() for a in unpack(blob)), strict=True):
+                    left = min(p, window - 1)
+                    out.append((doc, p, left, fingerprint - (1 << 64) if fingerprint >> 63 else fingerprint, 1 + whole, data[p - left : p + length]))
+                if out and (len(out) >= 5000 or i + 1 == batch.num_rows):
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["doc", "place", "left", "print", "n", "context"])
+                    out = []
+
+    return run
+
+
+STRINGS = "doc bigint, place bigint, offset int, h binary, n int"
 
 
 def _strings(length: int, blocks: bool):
-    """Contexts -> one row for each string of them: context, offset, hash; or, by blocks of offsets, what all strings of a block have in common."""
+    """Contexts -> one row for each string of them: anchor, offset, hash; or, by blocks of offsets, what all strings of a block have in common."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for key, left, context, n, mark, wanted in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                # A string counts once for each place of the anchor, so anchor and offset are part of its name.
-                name = mark.to_bytes(8, "big")
+            for doc, place, left, fingerprint, n, context, wanted in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                # A string counts once for each place of the anchor, so fingerprint and offset are part of its name.
+                name = fingerprint.to_bytes(8, "big", signed=True)
                 for j in range(left // STEP + 1) if blocks else wanted:
                     low, high = j * STEP, j * STEP + STEP - 1
                     for o in [low] if blocks else range(low, min(left, high) + 1):
-                        a, b = (left - low, left - high + length) if blocks else (left - o, left - o + length)
+                        a, b = (max(left - low, 0), left - high + length) if blocks else (left - o, left - o + length)
                         if b <= len(context):
-                            out.append((key, j if blocks else o, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[a:b]), n))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["context_key", "offset", "h", "n"])
+                            out.append((doc, place, j if blocks else o, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[a:b]), n))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "h", "n"])
 
     return run
 
 
-def _twice(contexts: DataFrame, length: int, blocks: bool) -> DataFrame:
-    """(context_key, offset) of the strings, or blocks of offsets, that occur twice."""
-    strings = contexts.repartition(max(1, -(-contexts.count() // 2000))).mapInArrow(_strings(length, blocks), "context_key binary, offset int, h binary, n bigint")
-    often = strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h"))
-    return strings.join(often, F.col("h") == F.col("_h"), "left_semi").select("context_key", "offset")
+def _twice(contexts: DataFrame, n: int, length: int, blocks: bool) -> DataFrame:
+    """(doc, place, offset) of the strings, or blocks of offsets, that occur twice."""
+    strings = contexts.repartition(max(1, -(-n // 2000))).mapInArrow(_strings(length, blocks), STRINGS)
+    # Written first, so that the join is of plain exchanges and a hot string's rows can be split.
+    often = stored(strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h")), "often")
+    return strings.join(often, F.col("h") == F.col("_h"), "left_semi").select("doc", "place", "offset")
+
+
+def _crowded_ranges(texts: DataFrame, hits: DataFrame, length: int, window: int) -> DataFrame:
+    """The ranges to remove that lie in contexts of crowded fingerprints."""
+    asked = hits.where("crowded is not null").select(F.col("doc").alias("_d"), "crowded")
+    contexts = stored(texts.join(asked, F.col("doc") == F.col("_d")).select("doc", "text", "crowded").mapInArrow(_crowd(length, window), CROWD), "contexts")
+    n = contexts.count()
+    columns = ["doc", "place", "left", "print", "n", "context", "wanted"]
+    blocks = _twice(contexts.withColumn("wanted", F.lit(None).cast("array<int>")).select(*columns), n, length, True)
+    blocks = stored(blocks.groupBy(F.col("doc").alias("_d"), F.col("place").alias("_p")).agg(F.collect_set("offset").alias("wanted")), "blocks")
+    strings = _twice(contexts.join(blocks, (F.col("doc") == F.col("_d")) & (F.col("place") == F.col("_p"))).select(*columns), n, length, False)
+    # All strings of a context overlap (offsets are less than `length` apart), so they cover one range.
+    found = stored(strings.groupBy("doc", "place").agg((F.col("place") - F.max("offset")).alias("a"), (F.col("place") - F.min("offset") + length).alias("b")).select("doc", "a", "b"), "crowded")
+    discard(contexts, blocks)
+    return found
 
 
-def repeated_spans(documents: DataFrame, id_column: str, text_column: str, length: int = LENGTH, window: int = WINDOW, group_most: int = GROUP_MOST) -> DataFrame:
-    """(doc, spans): for each id the byte ranges to remove, not yet merged."""
+def repeated_spans(documents: DataFrame, id_column: str, text_column: str, length: int = LENGTH, window: int = WINDOW, group_most: int = GROUP_MOST, hot: int = HOT) -> DataFrame:
+    """(_d, whole, spans): for each id the places of repeated contexts, packed, and further byte ranges to remove, not yet merged."""
     rows, size = volume(documents, text_column)
     buckets, doc_buckets = max(1, -(-size // BUCKET_BYTES)), max(1, -(-rows // BUCKET_DOCS))
-    texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text"))
-    blobs = "bucket int, data binary"
-    hits = (
-        texts.mapInArrow(_fingerprints(buckets, length, window), blobs).groupBy("bucket").applyInArrow(_repeated(doc_buckets), blobs)
-        .groupBy("bucket").applyInArrow(_by_document, "doc bigint, places binary")
-    )
-    members = stored(texts.join(hits.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("doc", "text", "places").mapInArrow(_contexts(length, window), CONTEXT), "contexts")
-    different = members.groupBy("context_key").agg(F.first("left").alias("left"), F.first("print").alias("print"), F.first("context").alias("context"), F.count(F.lit(1)).alias("n"))
-    different = stored(different, "different")
-    groups = different.groupBy("print").agg(F.count(F.lit(1)).alias("_m"))
-    large = groups.where(F.col("_m") > group_most).select(F.col("print").alias("_p"))
-    any_large = bool(large.take(1))
-    usual = different.join(large, F.col("print") == F.col("_p"), "left_anti") if any_large else different
-    n = different.count()
-    parts = max(1, -(-n // 10_000))
-    found = usual.withColumn("bucket", F.pmod(F.col("print"), F.lit(parts))).groupBy("bucket").applyInArrow(_order(length, window), FOUND)
-    if any_large:
-        crowded = different.join(large, F.col("print") == F.col("_p"), "left_semi").select("context_key", "left", "context", "n", "print")
-        blocks = stored(_twice(crowded.withColumn("wanted", F.lit(None).cast("array<int>")), length, True).groupBy("context_key").agg(F.collect_set("offset").alias("wanted")).withColumnRenamed("context_key", "_k"), "blocks")
-        strings = _twice(crowded.join(blocks, F.col("context_key") == F.col("_k")).select("context_key", "left", "context", "n", "print", "wanted"), length, False)
-        # All strings of a context overlap (offsets are less than `length` apart), so they cover one range.
-        covered = strings.groupBy("context_key").agg(
-            F.array(F.struct((-F.max("offset")).alias("a"), (F.lit(length) - F.min("offset")).cast("int").alias("b"))).alias("spans"))
-        found = found.unionByName(covered)
-    found = stored(found, "found")
-    placed = members.select("context_key", "doc", "place").join(found.withColumnRenamed("context_key", "_k"), F.col("context_key") == F.col("_k"))
-    spans = stored(placed.select("doc", F.explode(F.expr("transform(spans, s -> struct(place + s.a as a, place + s.b as b))")).alias("s")).groupBy("doc").agg(F.collect_set("s").alias("spans")), "spans")
-    discard(members, different, found)
-    return spans
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    texts = documents.where(F.col(id_column).isNotNull() & (F.octet_length(text_column) >= length)).select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(hot_fingerprints(texts, length, window, hot))
+    known = texts.mapInArrow(_fingerprints(buckets, doc_buckets, length, window, shared), BLOBS).groupBy("kind", "bucket").applyInArrow(_repeated(doc_buckets, group_most, shared), BLOBS)
+    hits = stored(known.groupBy("bucket").applyInArrow(_by_document, HITS_DDL), "hits")
+    n, crowded = hits.agg(F.coalesce(F.sum("n_asked"), F.lit(0)), F.count("crowded")).first()
+    asked = hits.where("asked is not null").select(F.col("doc").alias("_d"), "asked")
+    contexts = texts.join(asked, F.col("doc") == F.col("_d")).select("doc", "text", "asked").mapInArrow(_contexts(max(1, -(-n // 10_000)), length, window), BLOBS)
+    found = contexts.groupBy("bucket").applyInArrow(_order(length, window), FOUND)
+    if crowded:
+        found = found.unionByName(_crowded_ranges(texts, hits, length, window))
+    found = stored(found, "found").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return hits.select(F.col("doc").alias("_d"), "whole").join(found, F.col("_d") == F.col("doc"), "left").select("_d", "whole", "spans")
+
+
+def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch, joined."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(stops[order])
+    first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
+    return list(zip(starts[first].tolist(), reach[np.append(first[1:] - 1, len(reach) - 1)].tolist(), strict=True))
 
 
 CUT = "n_bytes bigint, removed array<struct<a:bigint,b:bigint>>, n_removed bigint, kept binary, kept_sha256 string"
 
 
-def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_column: str = "doc_id", text_column: str = "text",
-                    length: int = LENGTH, window: int = WINDOW, with_text: bool = True, group_most: int = GROUP_MOST) -> DataFrame:
-    """Each row: row (struct of `keep`, all columns by default) and found: n_bytes, removed (byte ranges), n_removed, kept (the bytes left; null unless with_text), kept_sha256."""
+def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, **options) -> DataFrame:
+    """Each row: row (struct of `keep`, all columns by default) and found: n_bytes, removed (byte ranges), n_removed, kept (the bytes left; null unless with_text), kept_sha256.
+
+    options: those of repeated_spans.
+    """
     keep = list(keep or documents.columns)
-    spans = repeated_spans(documents, id_column, text_column, length, window, group_most)
+    length, window = options.get("length", LENGTH), options.get("window", WINDOW)
+    spans = repeated_spans(documents, id_column, text_column, **options)
     joined = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(id_column).cast("bigint").alias("_id"), F.col(text_column).alias("_text")).join(
-        spans.withColumnRenamed("doc", "_d"), F.col("_id") == F.col("_d"), "left").select("row", "_text", "spans")
+        spans, F.col("_id") == F.col("_d"), "left").select("row", "_text", "whole", "spans")
     row_type = joined.schema["row"].dataType
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             out = []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            for i, (whole, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 data = texts[i].as_py() or b""
-                cut = merge([(s["a"], s["b"]) for s in spans or ()])
-                kept, at = [], 0
+                at = unpack(whole)[0].astype(np.int64) if whole else np.zeros(0, np.int64)
+                starts = np.concatenate([np.maximum(0, at - window + 1), np.array([s["a"] for s in spans or ()], np.int64)])
+                stops = np.concatenate([np.minimum(len(data), at + length), np.array([s["b"] for s in spans or ()], np.int64)])
+                cut = merged(starts, stops)
+                kept, last = [], 0
                 for a, b in cut:
-                    kept.append(data[at:a])
-                    at = b
-                kept = b"".join([*kept, data[at:]])
+                    kept.append(data[last:a])
+                    last = b
+                kept = b"".join([*kept, data[last:]])
                 out.append({"n_bytes": len(data), "removed": [{"a": a, "b": b} for a, b in cut], "n_removed": len(data) - len(kept), "kept": kept if with_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, found_arrow)], names=["row", "found"])
 
