@@ -28,10 +28,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import uuid
 import zlib
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -42,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import TASK_BYTES, shared_dir, sliced, volume
-from .words import PLAIN, Words, text_bytes
+from .words import FOLDED, PLAIN, Words, text_bytes
 
 END_ID = 1
 #: Words kept by a worker's cache, over its tasks; beyond that the later half goes.
@@ -55,63 +53,101 @@ CACHE_WORD_BYTES = 64
 MANIFEST = "part int, docs bigint, tokens bigint, width int, file string"
 
 
-#: A word that ends in a letter or digit, then ASCII marks: the pre-tokeniser parts them there, whatever surrounds the word.
-TAIL = re.compile(rb"(?s)(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)")
+#: What opens a special token's string; one that stands between words that are encoded at once.
+SPECIAL = b"<|"
+PARTING = "<|startoftext|>"
+#: ASCII marks but the apostrophe, which begins endings like 's.
+MARKS = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum() and c != 39])
+PLAIN_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: Marks at a word's end that are looked at; a word with more stays whole.
+MOST_MARKS = 16
+
+
+class Pieces(Words):
+    """Words with A-Z folded, as the vocabulary's normaliser does it, and parted before the marks at their end.
+
+    The pre-tokeniser parts a letter or digit and the marks after it whatever
+    surrounds them, so ids of pieces follow each other. Words that may hold a
+    special token's string, which isn't folded, stay as they are, and so do
+    those with an apostrophe.
+    """
+
+    def __init__(self, column):
+        super().__init__(column, PLAIN)
+
+    @staticmethod
+    def cut(raw, inside, starts, ends, of):
+        folded = FOLDED.folded[raw]
+        opens = np.flatnonzero((raw[:-1] == SPECIAL[0]) & (raw[1:] == SPECIAL[1]))
+        special = np.unique(np.searchsorted(starts, opens, "right") - 1)
+        for a, b in zip(starts[special].tolist(), ends[special].tolist(), strict=True):
+            folded[a:b] = raw[a:b]
+        whole = np.zeros(len(starts), bool)
+        whole[special] = True
+        whole[np.searchsorted(starts, np.flatnonzero(raw == 39), "right") - 1] = True
+        left = np.flatnonzero(MARKS[folded[ends - 1]] & ~whole) if len(ends) else np.zeros(0, np.int64)
+        at, first, found = ends[left] - 1, starts[left], []
+        for _ in range(MOST_MARKS):
+            on = at > first
+            at, first = at[on] - 1, first[on]
+            mark = MARKS[folded[at]]
+            found.append(at[~mark & PLAIN_ALNUM[folded[at]]] + 1)
+            at, first = at[mark], first[mark]
+        parted = np.concatenate(found)
+        return np.sort(np.append(starts, parted)), np.sort(np.append(ends, parted)), folded[inside]
 
 
 class WordEncoder:
-    """Token ids of texts, by distinct words."""
+    """Token ids of texts, by the distinct pieces of their words."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.parting = self.tokenizer.token_to_id(PARTING)
         self.cache: dict[bytes, bytes] = {}
 
-    def pieces(self, word: bytes) -> tuple[bytes, ...]:
-        """Parts whose ids follow each other, the letters folded as the vocabulary's normaliser does it; special tokens stay whole."""
-        if b"<|" in word:
-            return (word,)
-        word = word.lower()
-        if not word[-1:].isalnum() and b"'" not in word and (m := TAIL.fullmatch(word)):
-            return m.groups()
-        return (word,)
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, encoded many at a time with a special token between them where there is one."""
+        if self.parting is None or any(SPECIAL in w for w in words):
+            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        texts = [PARTING.join([w.decode("utf-8", "replace") for w in words[a : a + 1000]]) + PARTING for a in range(0, len(words), 1000)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        data, ends = flat.tobytes(), np.flatnonzero(flat == self.parting)
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary doesn't keep special tokens apart")
+        return [data[a:b] for a, b in zip((4 * np.append(0, ends[:-1] + 1)).tolist(), (4 * ends).tolist(), strict=True)]
 
     def words(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the words."""
-        cache = self.cache
-        parts = {w: self.pieces(w) for w in vocab if w not in cache}
-        new = list({p for ps in parts.values() for p in ps if p not in cache})
-        fresh: dict[bytes, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            fresh |= {w: array("I", e.ids).tobytes() for w, e in zip(some, encoded, strict=True)}
-        whole = {w: b"".join([cache[p] if p in cache else fresh[p] for p in ps]) for w, ps in parts.items()}
-        ids = [cache[w] if w in cache else whole[w] for w in vocab]
-        for found in (fresh, whole):
-            cache.update((w, x) for w, x in found.items() if len(w) <= CACHE_WORD_BYTES)
-        if len(cache) > CACHE_WORDS:  # the first to come are the most frequent
-            self.cache = dict(islice(cache.items(), CACHE_WORDS // 2))
+        ids = list(map(self.cache.get, vocab))
+        new = [i for i, x in enumerate(ids) if x is None]
+        odd = [i for i in new if SPECIAL in vocab[i]]
+        usual = [i for i in new if SPECIAL not in vocab[i]] if odd else new
+        for some in (usual[a : a + 20_000] for a in range(0, len(usual), 20_000)):
+            for i, x in zip(some, self.encoded([vocab[i] for i in some]), strict=True):
+                ids[i] = x
+        for i, x in zip(odd, self.encoded([vocab[i] for i in odd]) if odd else (), strict=True):
+            ids[i] = x
+        self.cache.update((vocab[i], ids[i]) for i in new if len(vocab[i]) <= CACHE_WORD_BYTES)
+        if len(self.cache) > CACHE_WORDS:  # the first to come are the most frequent
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(ids), np.uint32)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets of documents, all ids), the end id after each document."""
-        words = Words(texts, PLAIN)
+        words = Pieces(texts)
         bounds, flat = self.words(words.vocab)
-        begin, n = bounds[:-1], np.diff(bounds)[words.codes]
-        # Places of the words' ids in the output, one end id after each document.
-        per_row = np.add.reduceat(np.append(n, 0), np.minimum(words.offsets[:-1], len(n))) if len(texts) else np.zeros(0, np.int64)
-        per_row = np.where(words.counts() > 0, per_row, 0) + 1
-        offsets = np.append(0, np.cumsum(per_row))
-        out = np.full(offsets[-1], end_id, np.uint32)
-        total = int(n.sum())
-        inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        to = np.arange(total) + np.repeat(words.rows(), n)
-        out[to] = flat[np.repeat(begin[words.codes], n) + inner]
-        return offsets, out
+        begin, n = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)[words.codes]
+        # The end id is one more word, after each document's last.
+        begin = np.insert(begin[words.codes], words.offsets[1:], len(flat))
+        n = np.insert(n, words.offsets[1:], 1)
+        total = np.cumsum(n, dtype=np.int64)
+        offsets = np.append(0, total[words.offsets[1:] + np.arange(len(texts))])
+        where = np.arange(offsets[-1], dtype=np.int64) + np.repeat(begin - (total - n), n)
+        return offsets, np.append(flat, np.uint32(end_id))[where]
 
 
 _encoders: dict[str, WordEncoder] = {}

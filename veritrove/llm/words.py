@@ -8,6 +8,7 @@ distinct word of a batch.
 from __future__ import annotations
 
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,27 @@ import xxhash
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def byte_table(lower: bool, separators: bytes = SPACES) -> np.ndarray:
-    """A 256-entry map of bytes: separators become 0, A-Z are folded if asked."""
-    table = np.arange(256, dtype=np.uint8)
+class Alphabet(NamedTuple):
+    """What bytes stand for: whether each belongs to a word, and what it is folded to there."""
+
+    inside: np.ndarray
+    folded: np.ndarray
+
+
+def alphabet(lower: bool, separators: bytes = SPACES) -> Alphabet:
+    """Every byte that is no separator belongs to a word, U+0000 too; A-Z are folded if asked."""
+    inside, folded = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+    inside[list(separators)] = False
     if lower:
-        table[65:91] += 32
-    for b in separators:
-        table[b] = 0
-    return table
+        folded[65:91] += 32
+    return Alphabet(inside, folded)
 
 
 #: Words of non-space characters, as written and with A-Z folded.
-PLAIN = byte_table(False)
-FOLDED = byte_table(True)
+PLAIN = alphabet(False)
+FOLDED = alphabet(True)
 #: Words of letters, digits and everything beyond ASCII, with A-Z folded.
-ALNUM = byte_table(True, bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+ALNUM = alphabet(True, bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +60,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw
 
 
+def word_bounds(off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of word bytes; none crosses a row's end."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[off] = True
+    before = np.append(False, inside)
+    starts = np.flatnonzero(inside & (~before[:-1] | edge[:-1]))
+    ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1 if len(inside) else starts
+    return starts, ends
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -60,28 +77,24 @@ class Words:
     into vocab, a list of bytes.
     """
 
-    def __init__(self, column, table: np.ndarray = PLAIN):
+    def __init__(self, column, of: Alphabet = PLAIN):
         off, raw = text_bytes(column)
-        folded = table[raw]
-        inside = folded != 0
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[off] = True
-        before = np.empty(len(raw) + 1, bool)
-        before[0] = False
-        before[1:] = inside
-        starts = np.flatnonzero(inside & (~before[:-1] | edge[:-1]))
-        ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1 if len(raw) else starts
+        inside = of.inside[raw]
+        starts, ends, packed = self.cut(raw, inside, *word_bounds(off, inside), of)
         self.starts, self.ends = starts, ends
         self.offsets = np.searchsorted(starts, off)
-        sizes = ends - starts
-        packed = folded[inside]
         bounds = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(sizes, out=bounds[1:])
+        np.cumsum(ends - starts, out=bounds[1:])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
         coded = words.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.vocab: list[bytes] = coded.dictionary.to_pylist()
 
+    @staticmethod
+    def cut(raw: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: Alphabet):
+        """(starts, ends, the words' bytes one after the other); subclasses may part words and fold them otherwise."""
+        return starts, ends, of.folded[raw[inside]]
+
     def __len__(self) -> int:
         return len(self.codes)
 
