@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, sliced, stored, volume
+from .shared import sliced, stored, volume
 from .suffix_array import suffix_array
 from .words import mix, pack, pack_runs, text_bytes, unpack, unpack_runs
 
@@ -280,9 +280,9 @@ def _contexts(parts: int, length: int, window: int):
     """Texts and what is asked of them -> contexts by bucket: ids, places, fingerprints, whether repeated, sizes left and right, bytes."""
     reach = length - window + 1
 
-    def packed(rows) -> pa.RecordBatch:
+    def packed(rows, kind: int) -> pa.RecordBatch:
         prints = np.array([r[2] for r in rows], np.uint64)
-        bucket = (mix(prints) % np.uint64(parts)).astype(np.int64)
+        bucket = (mix(prints) % np.uint64(parts)).astype(np.int64) if kind == 0 else np.zeros(len(rows), np.int64)
         order = np.argsort(bucket, kind="stable")
         blobs = []
         for k, s in _runs(bucket[order]):
@@ -291,25 +291,37 @@ def _contexts(parts: int, length: int, window: int):
             data = b"".join(r[6] for r in some)
             small = pa.compress(data, codec="zstd", asbytes=True)
             blobs.append((k, pack(*pack_runs(ids), places, prints[order[s]], whole, left, right, np.array([len(data)]), np.frombuffer(small, np.uint8))))
-        return _blobs(blobs)
+        return _blobs(blobs, kind)
 
     def run(batches):
         for batch in batches:
-            texts, rows, size = batch.column(1).cast(pa.large_binary()), [], 0
-            for i, (doc, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            texts, rows, size = batch.column(1).cast(pa.large_binary()), ([], []), [0, 0]
+            for i, (doc, *wanted) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 data = texts[i].as_py() or b""
-                for p, fingerprint, whole in zip(*(a.tolist() for a in unpack(blob)), strict=True):
-                    left = data[max(0, p - window + 1) : p]
-                    right = data[p + reach : p + length]
-                    rows.append((doc, p, fingerprint, whole, len(left), len(right), left + right))
-                    size += len(left) + len(right)
-                if rows and (size > CONTEXT_BYTES or i + 1 == batch.num_rows):
-                    yield packed(rows)
-                    rows, size = [], 0
+                for kind, blob in enumerate(wanted):
+                    for p, fingerprint, whole in zip(*(a.tolist() for a in unpack(blob)), strict=True) if blob else ():
+                        left = data[max(0, p - window + 1) : p]
+                        # Crowded contexts are hashed as they are; others agree on what follows the anchor.
+                        right = data[p + reach * (kind == 0) : p + length]
+                        rows[kind].append((doc, p, fingerprint, whole, len(left), len(right), left + right))
+                        size[kind] += len(left) + len(right)
+                    if rows[kind] and (size[kind] > CONTEXT_BYTES or i + 1 == batch.num_rows):
+                        yield packed(rows[kind], kind)
+                        rows[kind].clear()
+                        size[kind] = 0
 
     return run
 
 
+def _unpacked(blob: bytes):
+    """(docs, places, fingerprints, whether repeated, lefts, rights) of packed contexts."""
+    steps, runs, place, prints, whole, left, right, size, small = unpack(blob)
+    data = pa.decompress(small.tobytes(), int(size[0]), codec="zstd", asbytes=True)
+    middle = np.cumsum(left.astype(np.int64) + right) - right
+    cut = list(zip((middle - left).tolist(), middle.tolist(), (middle + right).tolist(), strict=True))
+    return unpack_runs(steps, runs), place.astype(np.int64), prints.astype(np.uint64), whole.astype(bool), [data[a:b] for a, b, _ in cut], [data[b:c] for _, b, c in cut]
+
+
 class RangeLeast:
     """The least value of any range of an array, by a sparse table."""
 
@@ -427,21 +439,11 @@ def _order(length: int, window: int):
     """A bucket of contexts -> ranges to remove of those that aren't known to be repeated whole."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, places, prints, whole, lefts, rights = [], [], [], [], [], []
-        for blob in table["data"].to_pylist():
-            steps, runs, place, fingerprint, known, left, right, size, small = unpack(blob)
-            data = pa.decompress(small.tobytes(), int(size[0]), codec="zstd", asbytes=True)
-            docs += unpack_runs(steps, runs).tolist()
-            places += place.tolist()
-            prints.append(fingerprint.astype(np.uint64))
-            whole.append(known.astype(bool))
-            at = 0
-            for a, b in zip(left.tolist(), right.tolist(), strict=True):
-                lefts.append(data[at : at + a])
-                rights.append(data[at + a : at + a + b])
-                at += a + b
-        _, groups = np.unique(np.concatenate(prints), return_inverse=True)
-        whole = np.concatenate(whole)
+        parts = [_unpacked(blob) for blob in table["data"].to_pylist()]
+        docs, places, prints, whole = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        lefts, rights = ([x for p in parts for x in p[i]] for i in (4, 5))
+        del parts
+        _, groups = np.unique(prints, return_inverse=True)
         spans = spans_of(repeated_places(groups, lefts, rights, 1 + whole.astype(np.int64), length, window), length)
         some = [i for i in range(len(docs)) if spans[i] and not whole[i]]
         return pa.Table.from_batches([_found([docs[i] for i in some], [places[i] for i in some], [spans[i] for i in some])])
@@ -449,75 +451,74 @@ def _order(length: int, window: int):
     return run
 
 
-STEP = 16
+#: Neighbouring offsets whose strings are first counted by what they have in common.
+STEP = 32
 CROWD = "doc bigint, place bigint, left int, print bigint, n int, context binary"
+STRINGS = "doc bigint, place bigint, offset int, n int"
 
 
-def _crowd(length: int, window: int):
-    """Texts and what is asked of them -> one row for each context, n being 2 if it is known to be repeated."""
+def _crowd(batches):
+    """Packed contexts -> one row for each, n being 2 if it is known to be repeated."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            docs, places, prints, whole, lefts, rights = _unpacked(blob)
+            cols = (docs, places, [len(x) for x in lefts], prints.view(np.int64), 1 + whole.astype(np.int32), [a + b for a, b in zip(lefts, rights, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "left", "print", "n", "context"])
+
+
+def _blocks(length: int):
+    """Contexts -> for each block of offsets a short hash of what its strings have in common; it may be equal by chance."""
 
     def run(batches):
         for batch in batches:
-            texts, out = batch.column(1).cast(pa.large_binary()), []
-            for i, (doc, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                data = texts[i].as_py() or b""
-                for p, fingerprint, whole in zip(*(a.tolist() for a in unpack(blob)), strict=True):
-                    left = min(p, window - 1)
-                    out.append((doc, p, left, fingerprint - (1 << 64) if fingerprint >> 63 else fingerprint, 1 + whole, data[p - left : p + length]))
-                if out and (len(out) >= 5000 or i + 1 == batch.num_rows):
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["doc", "place", "left", "print", "n", "context"])
-                    out = []
+            out = []
+            for doc, place, left, fingerprint, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j in range(left // STEP + 1):
+                    a, b = left - j * STEP, left - j * STEP - STEP + 1 + length
+                    if b <= len(context):
+                        out.append((doc, place, j, n, (xxhash.xxh3_64_intdigest(context[a:b], seed=(fingerprint + j) & (1 << 64) - 1) >> 1)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "n", "h"])
 
     return run
 
 
-STRINGS = "doc bigint, place bigint, offset int, h binary, n int"
-
-
-def _strings(length: int, blocks: bool):
-    """Contexts -> one row for each string of them: anchor, offset, hash; or, by blocks of offsets, what all strings of a block have in common."""
+def _strings(length: int):
+    """Contexts and blocks of offsets -> one row for each string, its hash."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, place, left, fingerprint, n, context, wanted in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for doc, place, left, fingerprint, n, context, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # A string counts once for each place of the anchor, so fingerprint and offset are part of its name.
                 name = fingerprint.to_bytes(8, "big", signed=True)
-                for j in range(left // STEP + 1) if blocks else wanted:
-                    low, high = j * STEP, j * STEP + STEP - 1
-                    for o in [low] if blocks else range(low, min(left, high) + 1):
-                        a, b = (max(left - low, 0), left - high + length) if blocks else (left - o, left - o + length)
-                        if b <= len(context):
-                            out.append((doc, place, j if blocks else o, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[a:b]), n))
+                for o in (o for j in wanted for o in range(j * STEP, min(left, j * STEP + STEP - 1) + 1)):
+                    if left - o + length <= len(context):
+                        out.append((doc, place, o, n, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[left - o : left - o + length])))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "h", "n"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "n", "h"])
 
     return run
 
 
-def _twice(contexts: DataFrame, n: int, length: int, blocks: bool) -> DataFrame:
-    """(doc, place, offset) of the strings, or blocks of offsets, that occur twice."""
-    strings = contexts.repartition(max(1, -(-n // 2000))).mapInArrow(_strings(length, blocks), STRINGS)
-    # Written first, so that the join is of plain exchanges and a hot string's rows can be split.
+def _twice(strings: DataFrame) -> DataFrame:
+    """(doc, place, offset) of hashes that occur twice. Hashes are written first, so that the join is of plain exchanges and a hot one's rows can be split."""
+    strings = stored(strings, "strings")
     often = stored(strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("h").alias("_h")), "often")
     return strings.join(often, F.col("h") == F.col("_h"), "left_semi").select("doc", "place", "offset")
 
 
-def _crowded_ranges(texts: DataFrame, hits: DataFrame, length: int, window: int) -> DataFrame:
+def _crowded_ranges(packed: DataFrame, length: int) -> DataFrame:
     """The ranges to remove that lie in contexts of crowded fingerprints."""
-    asked = hits.where("crowded is not null").select(F.col("doc").alias("_d"), "crowded")
-    contexts = stored(texts.join(asked, F.col("doc") == F.col("_d")).select("doc", "text", "crowded").mapInArrow(_crowd(length, window), CROWD), "contexts")
-    n = contexts.count()
-    columns = ["doc", "place", "left", "print", "n", "context", "wanted"]
-    blocks = _twice(contexts.withColumn("wanted", F.lit(None).cast("array<int>")).select(*columns), n, length, True)
-    blocks = stored(blocks.groupBy(F.col("doc").alias("_d"), F.col("place").alias("_p")).agg(F.collect_set("offset").alias("wanted")), "blocks")
-    strings = _twice(contexts.join(blocks, (F.col("doc") == F.col("_d")) & (F.col("place") == F.col("_p"))).select(*columns), n, length, False)
+    contexts = stored(packed.mapInArrow(_crowd, CROWD), "crowd")  # one Python worker a task at a time: each stage has one map
+    blocks = _twice(contexts.mapInArrow(_blocks(length), f"{STRINGS}, h bigint")).groupBy(F.col("doc").alias("_d"), F.col("place").alias("_p")).agg(F.collect_set("offset").alias("wanted"))
+    wanted = contexts.join(blocks, (F.col("doc") == F.col("_d")) & (F.col("place") == F.col("_p"))).select("doc", "place", "left", "print", "n", "context", "wanted")
+    strings = _twice(wanted.mapInArrow(_strings(length), f"{STRINGS}, h binary"))
     # All strings of a context overlap (offsets are less than `length` apart), so they cover one range.
-    found = stored(strings.groupBy("doc", "place").agg((F.col("place") - F.max("offset")).alias("a"), (F.col("place") - F.min("offset") + length).alias("b")).select("doc", "a", "b"), "crowded")
-    discard(contexts, blocks)
-    return found
+    return strings.groupBy("doc", "place").agg((F.col("place") - F.max("offset")).alias("a"), (F.col("place") - F.min("offset") + length).alias("b")).select("doc", "a", "b")
 
 
 def repeated_spans(documents: DataFrame, id_column: str, text_column: str, length: int = LENGTH, window: int = WINDOW, group_most: int = GROUP_MOST, hot: int = HOT) -> DataFrame:
@@ -529,11 +530,13 @@ def repeated_spans(documents: DataFrame, id_column: str, text_column: str, lengt
     known = texts.mapInArrow(_fingerprints(buckets, doc_buckets, length, window, shared), BLOBS).groupBy("kind", "bucket").applyInArrow(_repeated(doc_buckets, group_most, shared), BLOBS)
     hits = stored(known.groupBy("bucket").applyInArrow(_by_document, HITS_DDL), "hits")
     n, crowded = hits.agg(F.coalesce(F.sum("n_asked"), F.lit(0)), F.count("crowded")).first()
-    asked = hits.where("asked is not null").select(F.col("doc").alias("_d"), "asked")
-    contexts = texts.join(asked, F.col("doc") == F.col("_d")).select("doc", "text", "asked").mapInArrow(_contexts(max(1, -(-n // 10_000)), length, window), BLOBS)
-    found = contexts.groupBy("bucket").applyInArrow(_order(length, window), FOUND)
+    asked = hits.where("asked is not null or crowded is not null").select(F.col("doc").alias("_d"), "asked", "crowded")
+    contexts = texts.join(asked, F.col("doc") == F.col("_d")).select("doc", "text", "asked", "crowded").mapInArrow(_contexts(max(1, -(-n // 10_000)), length, window), BLOBS)
+    if crowded:
+        contexts = stored(contexts, "contexts")
+    found = contexts.where("kind = 0").groupBy("bucket").applyInArrow(_order(length, window), FOUND)
     if crowded:
-        found = found.unionByName(_crowded_ranges(texts, hits, length, window))
+        found = found.unionByName(_crowded_ranges(contexts.where("kind = 1").select("data"), length))
     found = stored(found, "found").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return hits.select(F.col("doc").alias("_d"), "whole").join(found, F.col("_d") == F.col("doc"), "left").select("_d", "whole", "spans")
 
