@@ -7,13 +7,14 @@ matching run in Python. Rows without a digit or number word never reach them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from .text import PUNCTUATION, text
+from .text import ARTICLES, PUNCTUATION, text
 
 # Number words.
 UNITS = {
@@ -25,66 +26,66 @@ UNITS = {
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 
-_PART = re.compile(r"(-?\d[\d,]*(?:\.\d+)?)|([a-z]+)")
-_JOIN = re.compile(r"[ \t\r\n-]*")
-
-
-class Phrase:
-    """One quantity being read: whole groups so far, and the value that still waits for a scale."""
-
-    __slots__ = ("groups", "waiting", "smallest", "step", "open")
-
-    def __init__(self) -> None:
-        self.groups, self.waiting, self.smallest, self.step, self.open = 0.0, 0.0, None, 0.0, False
-
-    def value(self) -> float:
-        return round(self.groups + self.waiting, 6)
+# How digits and words are written, what may stand inside a phrase, and the word that never ends one.
+LEXEMES = r"(-?\d[\d,]*(?:\.\d+)?)|([a-z]+)|((?:[ \t\r\n]|-(?!\d))+)|."
+LINK = "and"
+
+_LEXEME = re.compile(LEXEMES, re.DOTALL)
+#: A lexeme's letter in a phrase's shape: d digits, o digits that are 0, u units, z zero, T ten and more, h hundred, s scales.
+_LETTERS = (
+    {w: ("u" if 0 < v < 10 else "T" if v else "z", float(v)) for w, v in {**UNITS, **TENS}.items()}
+    | {w: ("s", float(v)) for w, v in SCALES.items()}
+    | {"hundred": ("h", 100.0)}
+)
+#: A term of a quantity: a value, a scale, or both. Zeros before a value are no value yet; digits only begin one.
+_TERM = re.compile("[zo]*(?:d|u|T[uz]?)?(?:h+(?:T[uz]?|[uz])?)*s?")
+
+
+def phrases(source: str) -> list[tuple[str, list[float]]]:
+    """Runs of number lexemes, each as its shape and the lexemes' amounts; any other word or mark ends a run."""
+    runs: list[tuple[str, list[float]]] = [("", [])]
+    for digits, word, gap in _LEXEME.findall(source.lower()):
+        if digits:
+            amount = float(digits.replace(",", ""))
+            letter = "d" if amount else "o"
+        elif word in _LETTERS:
+            letter, amount = _LETTERS[word]
+        elif gap or word == LINK:
+            continue
+        else:
+            runs.append(("", []))
+            continue
+        shape, amounts = runs[-1]
+        runs[-1] = (shape + letter, [*amounts, amount])
+    return [r for r in runs if r[0]]
+
+
+def terms(shape: str, amounts: list[float]) -> list[tuple[float, float]]:
+    """(value, scale) of each term of a phrase; the scale of a bare value is 1."""
+    out = []
+    for m in _TERM.finditer(shape):
+        value = 0.0
+        for letter, amount in zip(m[0].rstrip("s"), amounts[m.start() : m.end()], strict=False):
+            value = (value or 1.0) * amount if letter == "h" else value + amount
+        if m[0].endswith("s"):
+            out.append((value or 1.0, amounts[m.end() - 1]))
+        elif m[0]:
+            out.append((value, 1.0))
+    return out
 
 
 def parse_numbers(source: str | None) -> list[float]:
-    """The quantities of a text in order, each phrase composed to one value.
-
-    Scales that descend add up, one that repeats or rises starts a quantity of
-    its own; written-out terms add up while they get smaller; digits never add
-    to a value before them. A word that is no number, and any mark other than
-    white space and hyphens, ends a phrase; 'and' doesn't.
-    """
-    low, out, phrase, end = (source or "").lower(), [], Phrase(), 0
-
-    def close() -> Phrase:
-        if phrase.open:
-            out.append(phrase.value())
-        return Phrase()
-
-    for m in _PART.finditer(low):
-        if not _JOIN.fullmatch(low, end, m.start()):
-            phrase = close()
-        end = m.end()
-        digits, word = m.groups()
-        if digits is not None:
-            if phrase.waiting:
-                phrase = close()
-            phrase.waiting, phrase.step, phrase.open = phrase.waiting + float(digits.replace(",", "")), 1.0, True
-        elif word in UNITS or word in TENS:
-            amount = UNITS.get(word, TENS.get(word))
-            step = 10.0 if word in TENS or amount >= 10 else 1.0
-            if phrase.waiting and step >= phrase.step:
-                phrase = close()
-            phrase.waiting, phrase.step, phrase.open = phrase.waiting + amount, step, True
-        elif word == "hundred":
-            phrase.waiting, phrase.step, phrase.open = (phrase.waiting or 1.0) * 100.0, 100.0, True
-        elif word in SCALES:
-            scale = float(SCALES[word])
-            if phrase.smallest is not None and scale >= phrase.smallest:
-                if phrase.groups:
-                    out.append(round(phrase.groups, 6))
-                phrase.groups = 0.0
-            phrase.groups += (phrase.waiting or 1.0) * scale
-            phrase.waiting, phrase.smallest, phrase.step, phrase.open = 0.0, scale, 0.0, True
-        elif not (word == "and" and phrase.open):
-            phrase = close()
-    close()
-    return out
+    """The quantities of a text in order: sums of neighbouring terms while their scales descend."""
+    out: list[float] = []
+    for shape, amounts in phrases(source or ""):
+        before = 0.0
+        for value, scale in terms(shape, amounts):
+            if scale < before:
+                out[-1] += value * scale
+            else:
+                out.append(value * scale)
+            before = scale
+    return [round(x, 6) for x in out]
 
 
 @F.pandas_udf(ST.ArrayType(ST.DoubleType()))
@@ -121,60 +122,58 @@ def as_number(c: Column | str) -> Column:
     return F.when(points > 1, F.translate(bare, ".", "")).otherwise(bare).try_cast("double")
 
 
-_DROP = str.maketrans("", "", PUNCTUATION)
-_SPLIT = re.compile(r"[,;\n]|\band\b|&", re.IGNORECASE)
-_MARK = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s*")
+# What parts the items of a list in prose, a list mark before an item, the least token F1 of a match.
+ITEM_BREAK = r"[,;\n]|\band\b|&"
+LIST_MARK = r"^\s*(?:[-*•]|\d+[.)])\s*"
+LEAST_F1 = 0.5
+
+_BREAK, _MARK = re.compile(ITEM_BREAK, re.IGNORECASE), re.compile(LIST_MARK)
+_BARE = {ord(c): None for c in PUNCTUATION}
+
+
+def bare_words(s: str) -> list[str]:
+    return [w for w in s.lower().translate(_BARE).split() if w not in ARTICLES]
 
 
-def bag(s: str) -> list[str]:
-    return [w for w in s.lower().translate(_DROP).split() if w not in ("a", "an", "the")]
+def bag_f1(a: Counter[str], b: Counter[str]) -> float:
+    """Token F1 of two multisets."""
+    return 2 * (a & b).total() / max(1, a.total() + b.total())
 
 
-def bag_f1(a: list[str], b: list[str]) -> float:
-    left, both = list(b), 0
-    for w in a:
-        if w in left:
-            left.remove(w)
-            both += 1
-    return 2 * both / (len(a) + len(b)) if both else 0.0
+def said_whole(text: str, member: str) -> tuple[str, int]:
+    """The text without a member that an item break would part, and how often it was said."""
+    if not _BREAK.search(member):
+        return text, 0
+    return re.subn(r"\s+".join(re.escape(w) for w in member.split()), ";", text, flags=re.IGNORECASE)
+
+
+def assigned(items: list[Counter[str]], golds: list[Counter[str]]) -> int:
+    """Items that get a member of their own: each in turn takes the closest that is left, of equal ones the later."""
+    free = list(range(len(golds)))
+    for item in items:
+        ranked = sorted((bag_f1(item, golds[g]), g) for g in free)
+        if ranked and ranked[-1][0] >= LEAST_F1:
+            free.remove(ranked[-1][1])
+    return len(golds) - len(free)
 
 
 def set_scores(pred: str | None, members: list[str] | None) -> dict[str, float]:
     """Precision, recall and F1 of the items of an answer against a gold set, matched one to one.
 
-    Members that the splitter would part are looked for as a whole first. An
+    Members that an item break would part are looked for as a whole first. An
     item said twice counts against precision and matches nothing.
     """
-    zero = {"precision": 0.0, "recall": 0.0, "f1": 0.0, "exact": 0.0}
-    if members is None or not len(members):
-        return zero
-    rest, open_, hits, claims = pred or "", {}, 0, 0
-    for i, member in enumerate(members):
-        if _SPLIT.search(member):
-            rest, n = re.subn(r"\s+".join(map(re.escape, member.split())), " ; ", rest, flags=re.IGNORECASE)
-            claims += n
-            if n:
-                hits += 1
-                continue
-        open_[i] = bag(member)
-    seen = set()
-    for item in (_MARK.sub("", p).strip() for p in _SPLIT.split(rest)):
-        words = bag(item)
-        if not words:
-            continue
-        claims += 1
-        if " ".join(words) in seen:
-            continue
-        seen.add(" ".join(words))
-        close = [(bag_f1(words, m), i) for i, m in open_.items()]
-        best = max((c for c in close if c[0] >= 0.5), default=None)  # of equal ones the later member
-        if best:
-            del open_[best[1]]
-            hits += 1
-    if not claims:
-        return zero
-    p, r = hits / claims, hits / len(members)
-    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0, "exact": float(p == 1 and r == 1)}
+    golds = [] if members is None else list(members)
+    rest, times = pred or "", []
+    for member in golds:
+        rest, n = said_whole(rest, member)
+        times.append(n)
+    items = [tuple(w) for w in (bare_words(_MARK.sub("", part)) for part in _BREAK.split(rest)) if w]
+    open_ = [Counter(bare_words(m)) for m, n in zip(golds, times, strict=True) if not n]
+    hits = sum(n > 0 for n in times) + assigned([Counter(w) for w in dict.fromkeys(items)], open_)
+    claims = sum(times) + len(items)
+    p, r = hits / max(1, claims), hits / max(1, len(golds))
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if hits else 0.0, "exact": float(bool(golds) and claims == hits == len(golds))}
 
 
 @F.pandas_udf(ST.StructType([ST.StructField(c, ST.DoubleType()) for c in ("precision", "recall", "f1", "exact")]))
