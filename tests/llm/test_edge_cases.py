@@ -132,6 +132,22 @@ def test_tokens(docs, empty):
     assert token_files(empty, vocabulary).count() == 0
 
 
+def test_tokens_of_any_text():
+    """Ids by pieces are those of whole texts: marks, cases, special tokens, composed letters, U+0000 and odd white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from veritrove.llm.tokens import WordEncoder
+
+    vocabulary = corpus_pipeline.word_vocabulary()
+    whole, encode, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), WordEncoder(vocabulary), random.Random(8)
+    parts = ["a", "B", "é", "É", "e\u0301", "\u0301", "'s", "'S", "!", "--", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", " ", "\n", "\x00", "\x0b", "\x1c", "\u00a0", "9", "don't", "ß", "İ", "日本", "x.y!", "?!?", "abc!!!", "\x7f"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(5000)] + ["x" + "!" * 40, "", None, "<|a!"]
+    bounds, ids = encode(pa.array(texts, pa.string()), 1)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_warc(spark):
     rows = [(1, "http://www.A.example.com/x/", "same"), (2, "https://b.example.com", "same"), (3, None, None), (4, "", ""), (5, "http://[bad", "other"), (6, "http://a.example.com/x", "same")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("range", F.lit(1)).withColumn("file", F.lit("f"))
@@ -139,6 +155,9 @@ def test_warc(spark):
     assert got == {1: ("response", None, 4), 2: ("revisit", 1, 4), 3: ("response", None, 0), 4: ("revisit", 3, 0), 5: ("response", None, 5), 6: ("revisit", 1, 4)}
     assert capture_index(pages.where("page_id < 0")).count() == 0
     assert url_key("http://www.A.example.com:80/x/?b=2&a=1") == "com,example,a)/x?a=1&b=2" and url_key(None) == ""
+    odd = spark.createDataFrame([(None, "http://z.org", "same"), (None, None, None), (2**50, "http://a.org", "b"), (-5, "http://a.org", "b"), (7, "x", "y"), (7, "x", "y")], "page_id bigint, url string, html string")
+    got = sorted(((r.history, r.page_id, r.record_type, r.refers_to) for r in capture_index(odd, archive_bytes=1, range_rows=2).collect()))
+    assert [r[0] for r in got] == list(range(6)) and {r[1:] for r in got} == {(None, "response", None), (-5, "response", None), (2**50, "revisit", -5), (7, "response", None)}
     runs = [sorted(rng.choices(range(9), k=k)) for k in (5, 0, 3, 8, 1)]
     assert list(LoserTree(runs, lambda v: v)) == sorted(sum(runs, []))
 
@@ -173,6 +192,21 @@ def test_mixing_schedules_every_copy(spark):
     assert all(len(r.positions) == 3 and r.positions[0] == r.position for r in found if r.row.source == "b")
 
 
+def test_segments_are_linear():
+    """Scores whose candidates never join cost no more for each token in a text that is 16 times as long."""
+    import time
+
+    import numpy as np
+
+    def took(n):
+        start = time.process_time()
+        segments(np.tile([1.0, -2.0], n))
+        return time.process_time() - start
+
+    took(1000)
+    assert took(160_000) < 64 * max(took(10_000), 0.005)
+
+
 def test_toxicity(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r.found.score for r in toxicity(docs, fit(docs, none)).collect()] == [0.0] * len(TEXTS)
@@ -206,6 +240,9 @@ def test_decontamination(spark, docs, empty, block):
     assert D.decontaminated(docs, bench).columns == docs.columns
     assert D.contamination(empty, bench).count() == 0 and D.contamination(docs, bench.where("false")).where("found.n_hit > 0").count() == 0
     assert D.longest_matches(pa.array([SOME]), [("1", items[0][1])]) == [(0, "1", 50, 0, 15)]
+    twice = spark.createDataFrame([("a", items[0][1]), ("a", items[0][1]), ("a", items[0][1] + " y"), ("b", "Term1 term2")], "item_id string, text string")
+    got = {(r.row.doc_id): (r.found.n_hit, r.found.items, r.found.longest) for r in D.contamination(docs, twice, block_bytes=block).collect()}
+    assert got[5] == (17, ["a", "b"], 15) and got[0] == (0, [], 0)
 
 
 def test_language_scores(docs, empty):
@@ -236,6 +273,14 @@ def test_language_root_has_every_word(spark):
 def test_kernels():
     w = Words(pa.array(["Ab, c-d", None, "", "É1  x"]), ALNUM)
     assert [w.vocab[c] for c in w.codes] == [b"ab", b"c", b"d", "É1".encode(), b"x"] and w.counts().tolist() == [3, 0, 0, 2]
+    import re
+
+    for of, pattern in ((PLAIN, rb"[^\x20\x09-\x0D]+"), (ALNUM, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        for byte in range(256):  # as binary: most bytes are no text of their own
+            data = b"a" + bytes([byte]) + b"b " + bytes([byte])
+            w = Words(pa.array([data], pa.binary()), of)
+            folded = data.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) if of is ALNUM else data
+            assert [w.vocab[c] for c in w.codes] == re.findall(rb"(?:(?![A-Z])" + pattern[:-1] + rb")+" if of is ALNUM else pattern, folded)
     p = Words(pa.array(["a b", "c"]).slice(1), PLAIN)
     assert p.vocab == [b"c"]
     off, h = windows(Words(pa.array(["a b c", "a b", "a"]), PLAIN).hashes()[[0, 1, 2, 0, 1, 0]], Words(pa.array(["a b c", "a b", "a"]), PLAIN).offsets, 2)

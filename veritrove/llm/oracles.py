@@ -30,13 +30,16 @@ def quality_sql() -> str:
 DECONTAMINATION = """
 with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w from documents),
 b as (select item_id::varchar item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w from benchmark),
-p as (select distinct item, k, array_to_string(w[i:i + k - 1], ' ') g from (select item, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from b where len(w) > 0)),
+p as (select distinct item, i pos, k, array_to_string(w[i:i + k - 1], ' ') g from (select item, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from b where len(w) > 0)),
 s as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from p) where len(w) >= k)),
-m as (select s.doc_id, s.i, s.k, p.item from s join p using (k, g)),
+m as (select s.doc_id, s.i, s.k, p.item, s.i - p.pos diagonal from s join p using (k, g)),
+x as (select *, case when i <= max(i + k) over (partition by doc_id, item, diagonal order by i, k rows between unbounded preceding and 1 preceding) then 0 else 1 end fresh from m),
+y as (select *, sum(fresh) over (partition by doc_id, item, diagonal order by i, k rows unbounded preceding) run from x),
+z as (select doc_id, max(n)::bigint longest from (select doc_id, max(i + k) - min(i) n from y group by doc_id, item, diagonal, run) group by 1),
 h as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i, i + k)) j from m) group by 1),
 t as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by 1)
-select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join h using (doc_id) left join t using (doc_id)"""
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(longest, 0) longest
+from d left join h using (doc_id) left join t using (doc_id) left join z using (doc_id)"""
 
 JACCARD = """
 with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '') w from documents),
@@ -49,4 +52,15 @@ r(x, y) as (select doc_id, doc_id from d union select r.x, u.b from r join u on
 c as (select x doc_id, min(y) component_id from r group by 1)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id from d left join n using (doc_id) join c using (doc_id)"""
 
-ORACLE_SQL = {"op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op9_decontamination": DECONTAMINATION}
+WARC = """
+with p as (select page_id, coalesce(html, '') h, coalesce(url, '') u, min(page_id) over (partition by coalesce(html, '')) f from pages),
+x as (select *, sha1(encode(h)) sha, lower(regexp_extract(u, '^https?://([^/?#]*)', 1)) host, regexp_replace(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') path,
+  regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) q, strftime(timestamp '2024-01-01' + to_seconds(page_id % 2147483648), '%Y%m%d%H%M%S') "timestamp" from p),
+k as (select *, case when u = '' then '' else lower(array_to_string(list_reverse(string_split(regexp_replace(host, '^www[0-9]*[.]', ''), '.')), ',') || ')' || case when path = '' then '/' else path end
+  || case when q = '' then '' else '?' || array_to_string(list_sort(string_split(q, '&')), '&') end) end url_key from x)
+select page_id, octet_length(encode(h))::bigint payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') payload_digest,
+  case when f = page_id then 'response' else 'revisit' end record_type, case when f <> page_id then f end refers_to,
+  row_number() over (order by url_key, "timestamp", page_id) - 1 history, url_key, "timestamp" from k"""
+
+ORACLE_SQL = {"op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}

@@ -54,7 +54,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, from the merged index of the archives."""
     return capture_index(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range", "place", "url_key", "timestamp"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "history", "url_key", "timestamp"
     )
 
 
@@ -93,7 +93,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "found.n_words", "found.n_hit",
         F.size("found.items").cast("bigint").alias("n_items"),
         items_digest(F.col("found.items")).alias("items_sha256"),
-        (F.col("found.n_hit") > 0).alias("contaminated"),
+        (F.col("found.n_hit") > 0).alias("contaminated"), "found.longest",
     )
 
 

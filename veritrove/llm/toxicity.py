@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import annotate, stored
-from .words import ALNUM, Words
+from .shared import annotate, sliced, stored
+from .words import ALNUM, Words, text_bytes
 
 MAX_TRAIN = 20_000
 PRIOR = 1000.0
 SIGNIFICANT_Z = 3.0
 LEAST_DOCS = 3
-LEAST_SHARE = 0.005
 DRIFT = 0.05
 #: Weight bound, so that one token can't decide beyond all others.
 MOST_WEIGHT = 6.0
@@ -60,27 +59,33 @@ class Model:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, stop, score), in linear time.
 
-    Each candidate keeps the cumulative score before and at its end; a new
-    positive run joins the nearest candidate to its left that starts lower, as
-    long as the whole rises above that candidate's end.
+    Each candidate keeps the cumulative score before and at its end, and the
+    nearest candidate to its left that starts lower. A new one joins that as
+    long as the whole rises above its end; where no candidate starts lower, all
+    are final, since nothing later can reach them.
     """
     up = np.flatnonzero(scores > 0)
     if not len(up):
         return []
     total = np.append(0.0, np.cumsum(scores))
-    stack: list[tuple[int, int, float, float]] = []
-    for i in up.tolist():
-        a, b, low, high = i, i + 1, float(total[i]), float(total[i + 1])
+    done: list[tuple[int, int, float, float, int]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
+    for i, low, high in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist(), strict=True):
+        a, j = i, len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
+                j = stack[j][4]
+            if j < 0:
+                done += stack
+                stack.clear()
+                break
+            if stack[j][3] >= high:
                 break
             a, low = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append((a, b, low, high))
-    return [(a, b, high - low) for a, b, low, high in stack]
+            j -= 1
+        stack.append((a, i + 1, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in done + stack]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +149,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def _presence(batches):
-    """(token, toxic texts, clean texts) of a batch."""
+def pieces(batches):
+    """Batches (anything, text) cut to slices of bounded bytes of text."""
     for batch in batches:
+        off, _ = text_bytes(batch.column(1))
+        for a, b in sliced(off):
+            yield batch.slice(a, b - a)
+
+
+def _presence(batches):
+    """(token, toxic texts, clean texts) of each slice."""
+    for batch in pieces(batches):
         words = Words(batch.column(1), ALNUM)
         toxic = np.array(batch.column(0).to_pylist(), bool)
         pairs = np.unique(words.rows() * (len(words.vocab) + 1) + words.codes)
@@ -187,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     def weighed(t: np.ndarray, c: np.ndarray, n_toxic: float, n_clean: float) -> Model:
         m = Model()
         delta, z = log_odds(t, c, n_toxic, n_clean, PRIOR * min(1.0, (n_toxic + n_clean) / 10_000))
-        use = (np.abs(z) >= SIGNIFICANT_Z) & ((t >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) | (delta < 0))
+        use = (np.abs(z) >= SIGNIFICANT_Z) & ((t >= LEAST_DOCS) | (delta < 0))
         m.weights = {w: float(np.clip(d, -1.0, MOST_WEIGHT)) for w, d, u in zip(tokens, delta, use, strict=True) if u}
         m.scale = lambda_of(np.array([m.weights.get(w, 0.0) for w in tokens]) - DRIFT, (c + 0.5) / (c + 0.5).sum())
         return m
@@ -197,12 +210,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     x, y, ks = [], [], []
     for half in (0, 1):
         m = weighed(table[:, 2 - 2 * half], table[:, 3 - 2 * half], of(1 - half, True), of(1 - half, False))
-        held = _scores(rows.where(F.col("half") == half).select("toxic", "text"), m).collect()
-        clean = [(r.n, r.best) for r in held if not r.toxic and r.n]
+        held = rows.where(F.col("half") == half).select("toxic", "text")
+        clean = [(r.n, r.best) for r in _measured(held.where("not toxic"), m, "n bigint, best double").where("n > 0").collect()]
         m.k = max(1e-9, len(clean) / max(1e-9, sum(a * float(np.exp(-min(m.scale * s, 700.0))) for a, s in clean))) if clean else 1.0
         ks.append(m.k)
-        x += [features([(0, 0, s) for s in r.scores], r.n, m) for r in held]
-        y += [float(r.toxic) for r in held]
+        for r in _measured(held, m, "toxic boolean, x array<double>").collect():  # five numbers for each of at most max_train texts
+            x.append(r.x)
+            y.append(float(r.toxic))
     model.k = float(np.exp(np.mean(np.log(ks))))
     x, y = np.array(x).reshape(-1, 4), np.array(y)
     model.centre, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -210,15 +224,20 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     return model
 
 
-def _scores(rows: DataFrame, model: Model) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            out = [([s for _, _, s in found], n) for found, n, _ in scored_rows(batch.column(1), model)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([max(s, default=0.0) for s, _ in out], pa.float64()), pa.array([s for s, _ in out], pa.list_(pa.float64()))],
-                names=["toxic", "n", "best", "scores"])
+def _measured(rows: DataFrame, model: Model, schema: str) -> DataFrame:
+    """Of each (toxic, text): toxic, n (tokens), best (the largest segment's score) and x (features), as `schema` asks."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    return rows.mapInArrow(run, "toxic boolean, n bigint, best double, scores array<double>")
+    def run(batches):
+        for batch in pieces(batches):
+            found = list(scored_rows(batch.column(1), model))
+            columns = {
+                "toxic": batch.column(0), "n": pa.array([n for _, n, _ in found], pa.int64()),
+                "best": pa.array([max((s for _, _, s in f), default=0.0) for f, _, _ in found], pa.float64()), "x": pa.array([list(x) for _, _, x in found], pa.list_(pa.float64())),
+            }
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 FIELDS = "score double, n_words bigint, passages array<struct<start:bigint,stop:bigint,score:double,e_value:double>>"

@@ -3,17 +3,25 @@
 write_warc makes one gzip member for each record, response or revisit, and
 read_warc parses the archives again. The index follows the external-merge
 method: the captures of every archive are a run, sorted locally by (URL key,
-timestamp, record id); splitters taken from the runs cut the key space into
-ranges; each range merges its slice of every run with a loser tree, and the
-ranges in order are the capture history of every URL.
+timestamp, record id); a range partitioning by that key, whose bounds Spark
+takes from a bounded sample, cuts every run; each range merges its slices of
+all runs with a loser tree, and the ranges in order are the capture history of
+every URL.
 
 A capture whose payload (of at least `min_bytes`) equals that of a smaller id
 is a revisit of the smallest.
 
+Archives end at about ARCHIVE_BYTES and are read as streams, a range has about
+RANGE_ROWS captures, and the index lines of one archive or range are all that a
+task holds.
+
 Defined cases: a null payload is empty; a null URL has the key ''; equal URLs
-and timestamps are ordered by id; an empty table gives an empty index; other
-columns are not read. Splitters include the id, so one URL or host that holds
-most captures still spreads over ranges.
+and timestamps are ordered by id; rows that share the smallest id are all
+responses, and so are rows without an id, to which nothing refers and which
+come first among equal keys; a time outside of the years 1 to 9999 is the
+nearest one inside; an empty table gives an empty index; other columns are not
+read. The range key includes the id, so one URL or host that holds most
+captures still spreads over ranges.
 """
 
 from __future__ import annotations
@@ -24,18 +32,26 @@ import re
 import uuid
 import zlib
 from datetime import datetime, timedelta, timezone
+from itertools import chain, islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import TASK_BYTES, shared_dir, stored, volume
+from .shared import shared_dir, stored
 from .tokens import filesystem
 
-#: The default capture time of id k is this plus k seconds.
+#: The default capture time of id k is this plus (k mod 2^31) seconds.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+#: Payload bytes after which a task begins another archive.
+ARCHIVE_BYTES = 64 << 20
+#: Captures of one range of the index.
+RANGE_ROWS = 50_000
+#: A table of repeated payloads up to this many rows (of some 60 bytes) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def url_key(url: str | None) -> str:
@@ -61,11 +77,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to: int | None, when: datetime) -> bytes:
+def moment(seconds: int | None) -> datetime:
+    """Seconds since 1970 as a time of the years 1 to 9999."""
+    start, zero = datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(1, 1, 1, tzinfo=timezone.utc)
+    least, most = -((start - zero) // timedelta(seconds=1)), (datetime(9999, 12, 31, 23, 59, 59, tzinfo=timezone.utc) - start) // timedelta(seconds=1)
+    return start + timedelta(seconds=min(max(seconds or 0, least), most))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, when: datetime) -> bytes:
     """One WARC/1.1 record, as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    stamp = when.strftime("%Y-%m-%dT%H:%M:%SZ")
+    stamp = when.replace(tzinfo=None).isoformat(timespec="seconds") + "Z"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -73,8 +96,9 @@ def record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to:
         f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}",
         f"WARC-Date: {stamp}",
         f"WARC-Payload-Digest: sha1:{sha1}",
-        f"X-Capture-ID: {page_id}",
     ]
+    if page_id is not None:
+        head.append(f"X-Capture-ID: {page_id}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'capture:{refers_to}')}>", f"X-Refers-To-Capture: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -82,17 +106,17 @@ def record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to:
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(data: bytes):
-    """(offset, length, headers, block) of each gzip member of an archive."""
-    at = 0
-    while at < len(data):
-        one, parts, to = zlib.decompressobj(31), [], at
-        while not one.eof and to < len(data):
-            parts.append(one.decompress(data[to : to + (1 << 16)]))
-            to += 1 << 16
-        if not one.eof:
-            raise ValueError("an archive ends inside a record")
-        length = min(to, len(data)) - len(one.unused_data) - at
+def records(stream, chunk: int = 1 << 20):
+    """(offset, length, headers, block) of each gzip member of an archive, read piece by piece."""
+    at, data = 0, b""
+    while data or (data := stream.read(chunk)):
+        one, parts, length = zlib.decompressobj(31), [], 0
+        while not one.eof:
+            if not data and not (data := stream.read(chunk)):
+                raise ValueError("an archive ends inside a record")
+            parts.append(one.decompress(data))
+            length += len(data) - len(one.unused_data)
+            data = one.unused_data
         raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
@@ -104,7 +128,9 @@ def with_origins(pages: DataFrame, id_column: str, payload_column: str, min_byte
     """Adds refers_to: for all but the smallest id of equal payloads, that id.
 
     Digests are grouped with partial aggregation, so a payload that holds most
-    rows costs a row for each task; its group then joins back as one small row.
+    rows costs a row for each task. Groups of several are written and counted;
+    up to BROADCAST_ROWS of them are broadcast, so that payloads stay where
+    they are, and more are joined by digest.
     """
     payload = F.coalesce(F.col(payload_column), F.lit(""))
     keyed = pages.withColumn("_sha", F.sha1(payload.cast("binary"))).withColumn("_len", F.octet_length(payload))
@@ -112,33 +138,43 @@ def with_origins(pages: DataFrame, id_column: str, payload_column: str, min_byte
         keyed.where(F.col("_len") >= min_bytes).groupBy(F.col("_sha").alias("_s"), F.col("_len").alias("_l"))
         .agg(F.min(id_column).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     )
+    first = stored(first, "repeated")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     joined = keyed.join(first, (F.col("_sha") == F.col("_s")) & (F.col("_len") == F.col("_l")), "left")
     return joined.withColumn("refers_to", F.when(F.col("_first") != F.col(id_column), F.col("_first"))).drop("_sha", "_len", "_s", "_l", "_first")
 
 
 def write_warc(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
-               time_column: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes <folder>/<name>.warc.gz, a file for each partition; returns (file, records)."""
-    when = F.unix_timestamp(time_column) if time_column else F.col(id_column) + int(EPOCH.timestamp())
+               time_column: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes <folder>/<name>.warc.gz, one or more files for each partition; returns (file, records)."""
+    when = F.unix_timestamp(time_column) if time_column else F.pmod(F.col(id_column).cast("bigint"), F.lit(1 << 31)) + int(EPOCH.timestamp())
     rows = with_origins(pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload"), when.alias("at")), "page_id", "payload", min_bytes)
 
-    def run(batches):
-        fs, root = filesystem(folder)
-        name, out, n = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", None, 0
+    def archived(fs, root, captures):
+        """One archive of captures, as many as fit; its name and their number."""
+        name, n, size = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0, 0
+        with fs.open_output_stream(f"{root}/_{name}", compression=None) as out:
+            for page, url, at, first, body in captures:
+                out.write(record(page, url, body, digest(body), first, moment(at)))
+                n, size = n + 1, size + len(body)
+                if size >= archive_bytes:
+                    break
+        fs.move(f"{root}/_{name}", f"{root}/{name}")
+        return name, n
+
+    def captures_of(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/_{name}", compression=None)
             payloads = batch.column(2).cast(pa.large_binary())
-            for i, (page, url, at, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                body = payloads[i].as_py() or b""
-                out.write(record(page, url, body, digest(body), first, datetime.fromtimestamp(at or 0, timezone.utc)))
-                n += 1
-        if out is not None:
-            out.close()
-            fs.move(f"{root}/_{name}", f"{root}/{name}")
+            for i, (page, url, at, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
+                yield page, url, at, first, payloads[i].as_py() or b""
+
+    def run(batches):
+        fs, root = filesystem(folder)
+        captures = captures_of(batches)
+        for one in captures:
+            fs.create_dir(root, recursive=True)
+            name, n = archived(fs, root, chain([one], captures))
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
     rows.select("page_id", "url", "payload", "at", "refers_to").mapInArrow(run, "file string, records bigint").write.parquet(f"{folder}/files")
@@ -163,9 +199,9 @@ def capture(file: str, offset: int, length: int, headers: dict, block: bytes) ->
             raise ValueError(f"{file}: the payload at {offset} doesn't match its digest")
     else:
         size, sha1 = int(re.search(rb"Content-Length: (\d+)", http)[1]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    refers = headers.get("X-Refers-To-Capture")
+    refers, page = headers.get("X-Refers-To-Capture"), headers.get("X-Capture-ID")
     return dict(zip(CAPTURE.names, (
-        url_key(headers["WARC-Target-URI"]), re.sub(r"\D", "", headers["WARC-Date"]), int(headers["X-Capture-ID"]), headers["WARC-Target-URI"], size, sha1, kind,
+        url_key(headers["WARC-Target-URI"]), re.sub(r"\D", "", headers["WARC-Date"]), int(page) if page else None, headers["WARC-Target-URI"], size, sha1, kind,
         int(refers) if refers else None, file, offset, length), strict=True))
 
 
@@ -212,18 +248,21 @@ class LoserTree:
             self._replay(i)
 
 
+def in_order(url_key: str, timestamp: str, page_id: int | None) -> tuple:
+    """A capture's key; no id comes before any."""
+    return url_key, timestamp, page_id is not None, page_id or 0
+
+
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
     """The captures of every archive; each archive is one run, sorted by key: columns run, place and the index line."""
-    spark = files.sparkSession
     n = max(1, min(files.count(), 10_000))
 
     def run(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 fs, root = filesystem(folder)
-                with fs.open_input_file(f"{root}/{file}") as f:
-                    data = f.read()
-                lines = sorted((capture(file, *r) for r in records(data)), key=lambda c: (c["url_key"], c["timestamp"], c["page_id"]))
+                with fs.open_input_stream(f"{root}/{file}", compression=None) as f:
+                    lines = sorted((capture(file, *r) for r in records(f)), key=lambda c: in_order(*(c[k] for k in KEY)))
                 for a in range(0, len(lines), 10_000):
                     part = lines[a : a + 10_000]
                     t = pa.Table.from_pylist(part, CAPTURE)
@@ -233,56 +272,43 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
     return files.select("file").repartition(n).mapInArrow(run, f"run string, place bigint, {CAPTURE_DDL}")
 
 
-def splitters(runs: DataFrame, ranges: int, per_run: int = 64) -> list[tuple]:
-    """Keys that cut the merged order into about equal ranges: evenly spaced places of each run, at most per_run each."""
-    places = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select(F.col("run").alias("_r"), "n")
-    every = F.greatest(F.lit(1), F.floor(F.col("n") / per_run))
-    sample = runs.join(places, F.col("run") == F.col("_r")).where(F.col("place") % every == 0).select(*KEY)
-    at = F.percentile_approx("_n", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)) if ranges > 1 else None
-    if at is None:
-        return []
-    from pyspark.sql import Window
-
-    numbered = sample.withColumn("_n", F.row_number().over(Window.orderBy(*KEY)))
-    total = numbered.agg(F.max("_n")).first()[0] or 0
-    cuts = sorted({max(1, total * i // ranges) for i in range(1, ranges)}) if total else []
-    return [tuple(r) for r in numbered.where(F.col("_n").isin(cuts)).orderBy("_n").select(*KEY).collect()] if cuts else []
-
-
 def merged(runs: DataFrame, ranges: int) -> DataFrame:
     """The global capture history: range after range, each merged from its slice of every run."""
-    cuts = splitters(runs, ranges)
-    key = F.struct(*KEY)
-    which: Column = F.lit(0)
-    for c in cuts:
-        which = which + (key >= F.struct(F.lit(c[0]), F.lit(c[1]), F.lit(c[2]).cast("bigint"))).cast("int")
-
-    def merge(table: pa.Table) -> pa.Table:
-        slices: dict[str, list] = {}
-        for line in table.to_pylist():
-            slices.setdefault(line.pop("run"), []).append(line)
-        for s in slices.values():  # a shuffle delivers blocks of a run in any order
-            if any(a["place"] > b["place"] for a, b in zip(s, s[1:], strict=False)):
-                s.sort(key=lambda c: c["place"])
-        tree = LoserTree([slices[k] for k in sorted(slices)], key=lambda c: (c["url_key"], c["timestamp"], c["page_id"]))
-        lines = [{**c, "range": table_range} for table_range in [slices and next(iter(slices.values()))[0]["range"]] for c in tree]
-        for i, c in enumerate(lines):
-            c["place"] = i
-        return pa.Table.from_pylist(lines, pa.schema([("range", pa.int32()), ("place", pa.int64()), *CAPTURE]))
-
-    return runs.withColumn("range", which).groupBy("range").applyInArrow(merge, f"range int, place bigint, {CAPTURE_DDL}")
+
+    def merge(batches):
+        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if table is None or not len(table):
+            return
+        run = table["run"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        place = table["place"].to_numpy()
+        by_run = np.lexsort((place, run))  # a shuffle delivers the blocks of runs in any order
+        cuts = np.flatnonzero(np.diff(run[by_run])) + 1
+        keys = [in_order(*k) for k in zip(*(table[c].to_pylist() for c in KEY), strict=True)]
+        order = iter(LoserTree([s.tolist() for s in np.split(by_run, cuts)], key=keys.__getitem__))
+        lines, here, at = table.select(CAPTURE.names), TaskContext.get().partitionId(), 0
+        while part := list(islice(order, 10_000)):
+            some = lines.take(pa.array(part)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array([here] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64()), *some.columns], names=["range", "place", *CAPTURE.names])
+            at += len(part)
+
+    schema = pa.schema([("run", pa.string()), ("place", pa.int64()), *CAPTURE])
+    return runs.repartitionByRange(ranges, *KEY).mapInArrow(merge, f"range int, place bigint, {CAPTURE_DDL}")
 
 
 def capture_index(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Writes the pages' archives (to a new shared folder, unless one is given) and returns their capture history.
 
-    Columns: range and place (the global order), then the index line.
+    Columns: history (the capture's place in the global order), then the index line.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc"
-    _, size = volume(pages, options.get("payload_column", "html"))
+    range_rows = options.pop("range_rows", RANGE_ROWS)
     files = write_warc(pages, folder, **options)
-    runs = stored(read_warc(files, folder), "runs")
-    return merged(runs, max(1, min(1000, size // (8 * TASK_BYTES))))
+    n = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    lines = stored(merged(stored(read_warc(files, folder), "runs"), max(1, -(-n // range_rows))), "index")
+    # One row for each range, so a window over all of them is small.
+    bases = lines.groupBy("range").agg(F.count(F.lit(1)).alias("_n"))
+    bases = bases.select(F.col("range").alias("_range"), (F.sum("_n").over(Window.orderBy("range")) - F.col("_n")).alias("_base"))
+    return lines.join(bases, F.col("range") == F.col("_range")).select((F.col("_base") + F.col("place")).alias("history"), *CAPTURE.names)
 
 
 __all__ = ["LoserTree", "capture_index", "merged", "read_warc", "url_key", "with_origins", "write_warc"]
