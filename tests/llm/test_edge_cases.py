@@ -247,18 +247,65 @@ def test_decontamination(spark, docs, empty, block):
 
 def test_language_scores(docs, empty):
     for trains in (F.col("doc_id") < 7, F.lit(False)):
-        got = {r.id: r for r in language_scores(docs, trains).collect()}
-        assert got[0].n_tokens == 1 and got[7].n_tokens == 30_001 and all(r.score <= 0 for r in got.values())
+        rows = language_scores(docs, trains).collect()
+        got = {r.id: r for r in rows}
+        assert got[0].n_tokens == 1 and got[7].n_tokens == 30_001 and all(r.score <= 0 and r.perplexity >= 1 for r in rows)
+        assert [r.n_tokens for r in rows if r.id == 5] == [201, 201] and len(rows) == len(TEXTS) - 1
     assert language_scores(empty, F.lit(True)).count() == 0
 
 
-def test_language_model_sums_to_one(spark):
-    """The probabilities of all known words and one unknown type after a context add up to one."""
-    rows = [(i, " ".join(rng.choice("abcde") for _ in range(50))) for i in range(20)]
-    probes = [(100 + i, w) for i, w in enumerate([*"abcde", "", "zzz"])]
-    df = spark.createDataFrame(rows + probes, "doc_id bigint, text string")
-    got = {r.id: r.score for r in language_scores(df, F.col("doc_id") < 100).collect()}
-    assert all(got[100 + i] > got[106] for i in range(5)) and got[105] < 0
+def test_language_hot_words(spark):
+    """Words of several restaurants: the same counts, and scores that are still probabilities near those of one restaurant."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{int(40 * r.random() ** 3)}" for _ in range(60))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, several = ({x.id: x for x in language_scores(df, F.col("doc_id") < 60, hot_tokens=n).collect()} for n in (10**6, 100))
+    for i, x in one.items():
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (several[i].n_tokens, several[i].n_known, several[i].train_tokens) and x.base_score == pytest.approx(several[i].base_score, rel=1e-12)
+        assert x.score == pytest.approx(several[i].score, rel=0.2)
+
+
+def test_language_model_sums_to_one():
+    """The probabilities of all words after a pair add up to one, whatever is known of the pair and its last word."""
+    import numpy as np
+
+    from veritrove.llm.pitman_yor import predictive
+
+    draw, words, pairs, contexts = np.random.default_rng(3), 30, 12, 4
+    root = draw.dirichlet(np.ones(words))
+    pair, word = np.repeat(np.arange(pairs), words), np.tile(np.arange(words), pairs)
+    context = pair % contexts
+    customers = draw.poisson(draw.choice([0.0, 0.3, 4.0, 200.0], pairs * words))
+    customers[pair < 2] = 0
+    p = predictive(context, pair, context * words + word, np.repeat(np.arange(contexts), words), customers, np.tile(root, contexts), draw)
+    assert np.bincount(pair, p) == pytest.approx(np.ones(pairs), abs=1e-12) and (p > 0).all()
+
+
+def test_language_seating_is_exact():
+    """Draws of a dish's tables follow the distribution that all ways to seat its customers give."""
+    import numpy as np
+
+    from veritrove.llm.pitman_yor import drawn_tables, stirling
+
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for rest in partitions(n - 1):
+            yield [*rest, 1]
+            for k in range(len(rest)):
+                yield [*rest[:k], rest[k] + 1, *rest[k + 1 :]]
+
+    c, d, strength, others, parent = 6, 0.75, 1.0, 3, 0.05
+    weights, ways = np.zeros(c + 1), np.zeros(c + 1)
+    for sizes in partitions(c):
+        inside = np.prod([j - d for n in sizes for j in range(1, n)])
+        ways[len(sizes)] += inside
+        weights[len(sizes)] += inside * np.prod([(strength + d * (others + j)) * parent for j in range(len(sizes))])
+    assert np.exp(stirling(d, 96)[c, 1 : c + 1]) == pytest.approx(ways[1:])
+    n = 200_000
+    drawn = drawn_tables(np.full(n, c), np.full(n, 2), np.full(n, others + 2), np.full(n, parent), strength, d, np.random.default_rng(1))
+    assert np.bincount(drawn, minlength=c + 1) / n == pytest.approx(weights / weights.sum(), abs=0.005)
 
 
 def test_language_root_has_every_word(spark):

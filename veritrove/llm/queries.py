@@ -102,7 +102,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = language_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) != 1)
     return scores.select(
         F.col("id").alias("doc_id"), (remainder(F.col("id"), 5) == 1).alias("held_out"),
-        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity",
     )
 
 

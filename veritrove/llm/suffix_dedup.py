@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -467,41 +468,44 @@ def _crowd(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "left", "print", "n", "context"])
 
 
+#: Hashes that a task gathers before it hands them on.
+HASHES_AT_ONCE = 20_000
+
+
+def _hashes(rows, kind: pa.DataType):
+    """Batches of (doc, place, offset, n, h)."""
+    while some := list(islice(rows, HASHES_AT_ONCE)):
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), types, strict=True)], names=["doc", "place", "offset", "n", "h"])
+
+
 def _blocks(length: int):
     """Contexts -> for each block of offsets a short hash of what its strings have in common; it may be equal by chance."""
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
-            out = []
             for doc, place, left, fingerprint, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for j in range(left // STEP + 1):
                     a, b = left - j * STEP, left - j * STEP - STEP + 1 + length
                     if b <= len(context):
-                        out.append((doc, place, j, n, (xxhash.xxh3_64_intdigest(context[a:b], seed=(fingerprint + j) & (1 << 64) - 1) >> 1)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "n", "h"])
+                        yield doc, place, j, n, xxhash.xxh3_64_intdigest(context[a:b], seed=(fingerprint + j) & (1 << 64) - 1) >> 1
 
-    return run
+    return lambda batches: _hashes(rows(batches), pa.int64())
 
 
 def _strings(length: int):
     """Contexts and blocks of offsets -> one row for each string, its hash."""
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
-            out = []
             for doc, place, left, fingerprint, n, context, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # A string counts once for each place of the anchor, so fingerprint and offset are part of its name.
                 name = fingerprint.to_bytes(8, "big", signed=True)
                 for o in (o for j in wanted for o in range(j * STEP, min(left, j * STEP + STEP - 1) + 1)):
                     if left - o + length <= len(context):
-                        out.append((doc, place, o, n, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[left - o : left - o + length])))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc", "place", "offset", "n", "h"])
+                        yield doc, place, o, n, xxhash.xxh3_128_digest(name + o.to_bytes(4, "big") + context[left - o : left - o + length])
 
-    return run
+    return lambda batches: _hashes(rows(batches), pa.binary())
 
 
 def _twice(strings: DataFrame) -> DataFrame:
