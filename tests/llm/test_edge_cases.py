@@ -130,6 +130,7 @@ def test_tokens(docs, empty):
     rows = sorted(token_files(docs.where("doc_id is not null"), vocabulary).collect(), key=lambda r: (r.doc_id, r.start))
     assert [r.n_tokens for r in rows[:3]] == [1, 1, 1] and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
     assert token_files(empty, vocabulary).count() == 0
+    assert sorted(((r.start, r.doc_id) for r in token_files(docs.where("doc_id is null or doc_id = 5"), vocabulary).collect()))[0] == (0, None)
 
 
 def test_tokens_of_any_text():
@@ -348,6 +349,9 @@ def test_pipeline_stages(spark, tmp_path):
             if name in ("toxicity", "near_duplicates", "decontamination"):
                 assert out.join(now, "doc_id", "left_anti").isEmpty()
             path = str(tmp_path / f"{name}-{where}")
+            if name == "mixing":
+                order = [r.doc_id for r in out.collect()]
             out.write.parquet(path)
             now = spark.read.schema(out.schema).parquet(path)
+        assert [r.doc_id for r in now.orderBy("start").collect()] == order  # token files hold the training order
         assert (now.count() > 0) == (where == "true")

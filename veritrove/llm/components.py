@@ -21,7 +21,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         all_ways = both(edges)
-        low = all_ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "_a")
+        # Written, so that the join is of plain exchanges and a hub's links can be split over tasks.
+        low = stored(all_ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "_a"), "low")
         large = all_ways.join(low, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
         small = large.join(least, F.col("a") == F.col("_a")).select(

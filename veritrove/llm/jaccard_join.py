@@ -235,8 +235,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """One row for each id: doc_id, n_shingles, component_id, class_id (smallest id of the same set)."""
     sets = document_sets(documents, id_column, text_column)
     open_ = sets.where("class_key is not null").select("doc_id", "class_key", "group_key")
-    by_class = open_.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    member = stored(open_.join(by_class, "class_key").select("doc_id", "class_id", "group_key"), "members")
+    # Written, so that the join is of plain exchanges and a large class can be split over tasks.
+    by_class = stored(open_.groupBy(F.col("class_key").alias("_k")).agg(F.min("doc_id").alias("class_id")), "classes")
+    member = stored(open_.join(by_class, F.col("class_key") == F.col("_k")).select("doc_id", "class_id", "group_key"), "members")
     reps = member.where("doc_id = class_id").select("class_id", "group_key")
     groups = stored(reps.join(reps.groupBy("group_key").agg(F.min("class_id").alias("group_id")), "group_key").select("class_id", "group_id"), "groups")
     heads = groups.where("class_id = group_id").select("group_id")

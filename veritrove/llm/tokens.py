@@ -7,8 +7,8 @@ Format, one folder:
                    from the part's start; then the doc_ids, signed 64-bit
   manifest/        Parquet: part, docs, tokens, width, file
 
-Documents are range-partitioned by id, so parts in order hold ascending ids.
-A part's base - the ids before it - is the prefix sum of the parts' totals.
+Documents are range-partitioned by id, or by another order that is asked for,
+so parts in order hold ascending ids, or that order. A part's base - the ids before it - is the prefix sum of the parts' totals.
 Files are memory-mapped where the folder is local and read whole otherwise.
 
 Tokenising: white space always separates tokens of the word vocabulary, so a
@@ -19,8 +19,10 @@ A task writes its files under a name of its own attempt and renames them, so a
 lost executor's task can be run again.
 
 Defined cases: null and empty texts are the end id only; repeated rows and
-equal ids are documents of their own, in an unspecified order among equals; an
-empty table gives an empty folder and result; other columns are not read.
+equal ids are documents of their own, in an unspecified order among equals;
+rows without an id come first, are stored as the least 64-bit number and read
+back as null; an empty table gives an empty folder and result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import TASK_BYTES, shared_dir, sliced, volume
 from .words import FOLDED, PLAIN, Words, text_bytes
 
 END_ID = 1
+#: What the files have for a document without an id.
+NO_ID = -(1 << 63)
 #: Words kept by a worker's cache, over its tasks; beyond that the later half goes.
 CACHE_WORDS = 250_000
 #: Bytes of text encoded at once.
@@ -166,8 +170,8 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes the folder and returns its manifest. Ascending ids, parts of about TASK_BYTES * 4 of text."""
+def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, order: list[Column] | None = None) -> DataFrame:
+    """Writes the folder and returns its manifest. Ascending ids, or the order of the columns `order`; parts of about TASK_BYTES * 4 of text."""
     spark = documents.sparkSession
     rows, size = volume(documents, text_column)
     parts = max(1, min(rows, -(-size // (4 * TASK_BYTES))))
@@ -198,7 +202,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_colu
                 out.write(flat.astype(f"<u{width}").tobytes())
                 lengths.append(np.diff(bounds))
                 tokens += int(bounds[-1])
-            ids.append(batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False))
+            ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
         if out is None:
             return
         out.close()
@@ -212,7 +216,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_json: str, id_colu
             {"part": pa.array([part], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "width": pa.array([width], pa.int32()), "file": [name]}
         )
 
-    ordered = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+    by = ["id"] if order is None else [f"_order{i}" for i in range(len(order))]
+    columns = [F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), *[c.alias(n) for c, n in zip(order or (), by, strict=False)]]
+    ordered = documents.select(*columns).repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "text")
     ordered.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
@@ -251,7 +257,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 for a in range(0, len(ids), 10_000):
                     b = min(len(ids), a + 10_000)
                     crc = [zlib.crc32(flat[s:e].astype("<u4").tobytes()) for s, e in zip(off[a:b], off[a + 1 : b + 1], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(off[a:b] + r["base"]), pa.array(np.diff(off[a : b + 1])), pa.array(crc, pa.int64())], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], mask=ids[a:b] == NO_ID), pa.array(off[a:b] + r["base"]), pa.array(np.diff(off[a : b + 1])), pa.array(crc, pa.int64())], schema=out)
 
     files = max(1, min(manifest.count(), 10_000))
     return manifest.repartition(files).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
