@@ -12,17 +12,26 @@ next stage's documents. All stages but the last return the columns they got.
 - mixing: sources are mixed to target weights; the rows come in training order,
   a document as often as the mix takes it, the last partial time if over half
   of it is taken.
-- token_files: the rows are tokenised and written as flat binary files, in
-  ascending doc_id; copies of a document follow each other. Returns doc_id,
+- token_files: the rows are tokenised and written as flat binary files, in the
+  order in which they lie in the Parquet files read: the training order. Rows
+  that come from elsewhere are written in ascending doc_id. Returns doc_id,
   start, n_tokens, ids_crc32, read back from the files.
 
+Defined cases: null and empty texts aren't toxic, have no copies and no
+benchmark windows, and are taken no words by the mix, so they go there; rows
+without an id pass all stages but are never copies of another; repeated rows
+of an id are one document after near_duplicates; an empty table passes as an
+empty table, and so does one without labels or benchmark items; columns beyond
+doc_id, text and source pass untouched, whatever their names.
+
 SQL can't express the first stage (a trained model), so ORACLE_SQL is None and
 the tests hold the stages against brute force.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrove.llm.decontamination import decontaminated
@@ -53,8 +62,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum(docs)
 
 
+def reading_order(docs: DataFrame) -> list[Column] | None:
+    """Columns by which rows read from Parquet files stand as they were written; None for other rows."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        docs.select(file, row)
+    except AnalysisException:
+        return None
+    return [F.regexp_extract(file, "part-(\\d+)", 1).try_cast("int"), file, row]
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files(docs, word_vocabulary())
+    return token_files(docs, word_vocabulary(), order=reading_order(docs))
 
 
 STAGES = [
