@@ -278,7 +278,7 @@ def test_language_model_sums_to_one():
     context = pair % contexts
     customers = draw.poisson(draw.choice([0.0, 0.3, 4.0, 200.0], pairs * words))
     customers[pair < 2] = 0
-    p = predictive(context, pair, context * words + word, np.repeat(np.arange(contexts), words), customers, np.tile(root, contexts), draw)
+    p = predictive(pair, context * words + word, np.repeat(np.arange(contexts), words), customers, np.tile(root, contexts), draw)
     assert np.bincount(pair, p) == pytest.approx(np.ones(pairs), abs=1e-12) and (p > 0).all()
 
 
