@@ -173,3 +173,29 @@ def gold_answer(answer: Column) -> Column:
 
 def without_prefix(c: Column) -> Column:
     return F.regexp_replace(c, "^[cqa]_", "")
+
+
+PACKAGE = "struct<kind:string,name:string,label:string,mentions:array<string>,surface:string,span:struct<a:int,b:int>,linked:boolean>"
+
+
+def packages_to_json(p: Column) -> Column:
+    """Packages as JSON text."""
+    return F.to_json(p)
+
+
+def packages_from_json(j: Column) -> Column:
+    return F.from_json(j, f"array<{PACKAGE}>")
+
+
+def evidence_of(config: Column, context: Column) -> Column:
+    """A context's parts as a reader sees them: statement lines of graph configs, blank-line separated texts of others; none without a context."""
+    lines = F.filter(F.transform(F.split(context, "\n"), lambda x: F.regexp_replace(strip(x), "^- ", "")), lambda x: (x != "") & x.startswith("["))
+    texts = F.filter(F.transform(F.split(context, "\n\n"), strip), lambda x: x != "")
+    return F.when(F.coalesce(strip(context), F.lit("")) == "", F.array().cast("array<string>")).when(config.isin("graph_rag", "rerank"), lines).otherwise(texts)
+
+
+def badge(outcome: Column, answer: Column) -> Column:
+    """What a reader is told of an answer: abstained, refusal-shaped, empty or answered."""
+    from .text import is_abstention
+
+    return F.when(outcome == "abstention", "abstained").when(strip(answer) == "", "empty").when((outcome == "other") & is_abstention(answer), "refusal-shaped").otherwise("answered")

@@ -87,12 +87,22 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def f1_of_tokens(p: Column, g: Column) -> Column:
-    """Harmonic mean of precision and recall of two token lists, as multisets; 0 if they share none."""
-    shared = F.aggregate(
-        F.array_distinct(p), F.lit(0),
-        lambda s, t: s + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(g, lambda x: x == t))),
-    )
-    return F.when(shared == 0, F.lit(0.0)).otherwise(2.0 * (shared / F.size(p)) * (shared / F.size(g)) / ((shared / F.size(p)) + (shared / F.size(g))))
+    """Harmonic mean of precision and recall of two token lists, as multisets; 0 if they share none.
+
+    One pass over both lists sorted together: of equal tokens those of the
+    first list come before, and each of the second uses one up.
+    """
+    marked = F.array_sort(F.concat(F.transform(p, lambda t: F.struct(t.alias("t"), F.lit(0).alias("side"))), F.transform(g, lambda t: F.struct(t.alias("t"), F.lit(1).alias("side")))))
+    nothing = F.struct(F.lit("").alias("t"), F.lit(0).alias("open"), F.lit(0).alias("both"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["t"] == x["t"], s["open"]).otherwise(0)
+        used = (x["side"] == 1) & (left > 0)
+        return F.struct(
+            x["t"].alias("t"), F.when(x["side"] == 0, left + 1).when(used, left - 1).otherwise(left).alias("open"),
+            (s["both"] + used.cast("int")).alias("both"), (s["n"] + 1).alias("n"))
+
+    return F.aggregate(marked, nothing, step, lambda s: F.when(s["both"] == 0, F.lit(0.0)).otherwise(2.0 * s["both"] / s["n"]))
 
 
 def token_f1(pred: Column | str, gold: Column | str) -> Column:

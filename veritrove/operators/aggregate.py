@@ -152,9 +152,18 @@ def cohorts(scores: DataFrame, judged: DataFrame | None = None, configs: tuple[s
     return flags.select(F.explode(names).alias("cohort"), "question_id")
 
 
-def membership_hash(rows: DataFrame, by: str, item: str) -> DataFrame:
-    """Count and SHA-256 of the newline-joined sorted distinct members of each group."""
-    return rows.groupBy(by).agg(F.count_distinct(item).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(item).cast("string"))), "\n"), 256).alias("members_sha256"))
+def membership_hash(rows: DataFrame, by: str, item: str, most: int = 20_000_000) -> DataFrame:
+    """Count and SHA-256 of the newline-joined sorted distinct members of each group.
+
+    The digest is of one string, so a group's members must fit a task; a group
+    of more than `most` fails at run time. Repeats go before the members meet.
+    """
+    distinct = rows.select(by, F.col(item).cast("string").alias("_m")).where("_m is not null").distinct()
+    sizes = distinct.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    too_many = F.raise_error(F.concat(F.lit("too many members for one digest: "), F.coalesce(F.col(by).cast("string"), F.lit("null"))))
+    sizes = sizes.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(too_many.cast("bigint"))).where("n is not null").withColumnRenamed(by, "_by")
+    digests = distinct.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_m")), "\n"), 256).alias("members_sha256"))
+    return sizes.join(digests, F.col("_by").eqNullSafe(F.col(by))).select(by, "n", "members_sha256")
 
 
 def transitions(scores: DataFrame, a: str, b: str) -> DataFrame:
@@ -183,10 +192,13 @@ def context_sizes(rows: DataFrame, by: str, words: str) -> DataFrame:
         F.min(words).alias("least"), F.max(words).alias("most"))
 
 
+#: Just over one half: the place of the upper median for up to 10^11 values.
+UPPER_HALF = 0.5 + 1e-12
+
+
 def upper_median(c: str) -> Column:
-    """The element at half of the sorted list, rounded up; null over nothing."""
-    sorted_ = F.array_sort(F.collect_list(c))
-    return F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))
+    """The element at half of the sorted list, rounded up; null over nothing. Counts of different values are gathered, not the values."""
+    return F.expr(f"percentile_disc({UPPER_HALF!r}D) within group (order by `{c}`)")
 
 
 def condense_stats(rows: DataFrame, by: str) -> DataFrame:
@@ -246,10 +258,20 @@ def latency(samples: DataFrame, by: str, parts: tuple[str, ...]) -> DataFrame:
 
 
 def judge_agreement(cases: DataFrame, judged: DataFrame) -> DataFrame:
-    """Human against judge scores of the same (config, id): exact share, mean absolute difference."""
-    j = cases.join(judged.select("config", "id", F.col("score").alias("judge")), ["config", "id"]).where(F.col("human").isNotNull() & F.col("judge").isNotNull())
-    d = F.abs(F.col("human") - F.col("judge"))
-    return j.agg(F.count(F.lit(1)).alias("n"), rate(d < 0.005).alias("exact_share"), F.avg(d).alias("mean_abs_difference"))
+    """Human against judge scores of the same (config, id): exact share and mean absolute difference, rejected claims, incomplete decompositions.
+
+    Optional columns of cases: claims (array of struct(valid, supported)) and
+    complete (whether the decomposition covers the answer).
+    """
+    j = cases.join(judged.select("config", "id", F.col("score").alias("judge")), ["config", "id"])
+    both = F.col("human").isNotNull() & F.col("judge").isNotNull()
+    d = F.when(both, F.abs(F.col("human") - F.col("judge")))
+    claims = "claims" in cases.columns
+    rejected = F.size(F.filter("claims", lambda c: ~c["valid"])) if claims else F.lit(0)
+    return j.agg(
+        F.count_if(both).alias("n"), rate(d < 0.005, both).alias("exact_share"), F.avg(d).alias("mean_abs_difference"),
+        F.coalesce(F.sum(F.when(both, F.greatest(rejected, F.lit(0)))), F.lit(0)).alias("n_rejected_claims"),
+        (F.count_if(both & ~F.col("complete")) if "complete" in cases.columns else F.lit(0).cast("bigint")).alias("n_incomplete"))
 
 
 def truncated_keys(rows: DataFrame, key: str, truncated: str) -> DataFrame:

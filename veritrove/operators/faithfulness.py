@@ -69,3 +69,33 @@ def scored(rows: DataFrame) -> DataFrame:
         r.withColumn("status", status).withColumn("score", F.when(F.col("status") == "ok", share))
         .withColumn("partial_score", F.when(F.col("status") == "unparsed_verdicts", share)).withColumn("instrument_version", F.lit(VERSION))
     )
+
+
+# What the judge is asked.
+DECOMPOSE = "List the factual claims of the answer, one a line, each with a dash."
+VERIFY = "For each numbered claim write its number and SUPPORTED or UNSUPPORTED by the context."
+
+
+def judged(rows: DataFrame, complete) -> DataFrame:
+    """Scores answers by a judge: claims are asked for, then verdicts, then once more where some are missing.
+
+    Needs question, answer, context. complete: prompt -> text. A call that
+    fails leaves the status 'error' and no score; rows without a context or an
+    answer are never sent.
+    """
+    from ..plans.pipelines import completed
+
+    ask = lambda *parts: F.concat_ws("\n\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    numbered = F.array_join(F.transform("_claims", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
+    sent = (strip("context") != "") & (strip("answer") != "")
+    calls = rows.where(sent).withColumn("_p", ask(DECOMPOSE, F.col("question"), F.col("answer")))
+    calls = completed(calls, "_p", complete, "raw_claims", "_e1").withColumn("_claims", claims("raw_claims"))
+    calls = completed(calls.withColumn("_p", ask(VERIFY, F.col("context"), numbered)), "_p", complete, "raw_verdicts", "_e2")
+    open_ = F.exists(verdicts("raw_verdicts", F.size("_claims")), lambda v: v.isNull())
+    again = completed(calls.where(open_).withColumn("_p", ask(VERIFY, F.col("context"), numbered, "Some verdicts were missing.")), "_p", complete, "raw_repair", "_e3")
+    none = F.lit(None).cast("string")
+    failed = F.col("_e1").isNotNull() | F.col("_e2").isNotNull()
+    every = again.drop("_e3").unionByName(calls.where(~F.coalesce(open_, F.lit(False))).withColumn("raw_repair", none)).withColumn("_failed", failed).drop("_p", "_claims", "_e1", "_e2")
+    unsent = rows.where(~sent).withColumn("raw_claims", none).withColumn("raw_verdicts", none).withColumn("raw_repair", none).withColumn("_failed", F.lit(False))
+    done = scored(every.unionByName(unsent))
+    return done.withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status"))).withColumn("score", F.when(~F.col("_failed"), F.col("score"))).drop("_failed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,24 @@ def forward(statements: DataFrame, keys: DataFrame, key: str, most: int) -> Data
     return found.withColumn("_rn", F.row_number().over(w.orderBy("statement_id"))).withColumn("truncated", F.count(F.lit(1)).over(w) >= most).where(F.col("_rn") <= most).drop("_rn")
 
 
+def forward_bindings(statements: DataFrame, qualifiers: DataFrame, value_nodes: DataFrame, labels: DataFrame, keys: DataFrame, key: str, most: int, languages: tuple[str, ...] = ("en", "mul")) -> DataFrame:
+    """One row for each statement of a key and qualifier of it, with unit and precision of its value node and labels by language.
+
+    statements: statement_id, subject_id, property_id, value_id, rank;
+    qualifiers: statement_id, qualifier_id, qualifier_value; value_nodes:
+    statement_id, unit, precision; labels: id, lang, label - the first language
+    that has one wins. truncated says that a key has `most` rows or more.
+    """
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    named = labels.where(F.col("lang").isin(*languages)).groupBy(F.col("id").alias("_l")).agg(F.min_by("label", F.element_at(place, F.col("lang"))).alias("_label"))
+    rows = statements.join(keys.select(F.col(key).alias("subject_id")).distinct(), "subject_id", "left_semi").join(qualifiers, "statement_id", "left").join(value_nodes, "statement_id", "left")
+    for c, out in (("subject_id", "subject_label"), ("property_id", "property_label"), ("value_id", "value_label")):
+        rows = rows.join(named, F.col(c) == F.col("_l"), "left").withColumnRenamed("_label", out).drop("_l")
+    w = Window.partitionBy("subject_id")
+    ranked = rows.withColumn("_rn", F.row_number().over(w.orderBy("statement_id", "qualifier_id"))).withColumn("truncated", F.count(F.lit(1)).over(w) >= most)
+    return ranked.where(F.col("_rn") <= most).drop("_rn")
+
+
 def reverse_properties(statements: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Properties by which anything points at the given keys, sorted by number."""
     found = statements.join(keys.select(F.col(key).alias("_k")).distinct(), F.col("value_id") == F.col("_k"), "left_semi").select(F.col("value_id").alias(key), "property_id").distinct()
@@ -135,29 +155,43 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def zscores(rows: DataFrame, score: str, question: list[str], group: str) -> DataFrame:
-    """Adds z: the score against its group's mean and population deviation; 0 where all are equal."""
-    w = Window.partitionBy(*question, group)
-    sd = F.stddev_pop(score).over(w)
-    return rows.withColumn("z", F.when(sd > 1e-9, (F.col(score) - F.avg(score).over(w)) / sd).otherwise(F.lit(0.0)))
+    """Adds z: the score against its group's mean and population deviation; 0 where all are equal.
+
+    Moments are summed before the shuffle and joined back, so a group may be of any size.
+    """
+    keys = [*question, group]
+    moments = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_sd"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    z = F.when(F.col("_sd") > 1e-9, (F.col(score) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
+    return rows.join(moments, same, "left").withColumn("z", z).drop("_mean", "_sd", *[f"_{k}" for k in keys])
 
 
 def topk(rows: DataFrame, value: str, question: list[str], tie: str, k: int) -> DataFrame:
-    """The k best of each question, best first by rank; ties by `tie` ascending."""
-    w = Window.partitionBy(*question) if question else Window.partitionBy(F.lit(0))
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc(value), tie))).where(F.col("rank") <= k)
+    """The k best of each question, best first by rank; ties by `tie` ascending. Without a question, of all rows."""
+    order = [F.desc(value), tie]
+    if question:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*question).orderBy(*order))).where(F.col("rank") <= k)
+    # The limit leaves k rows of each task and then of all, so the window has no more than that.
+    return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def floor_topk(rows: DataFrame, value: str, question: list[str], group: str, tie: str, k: int) -> DataFrame:
-    """k of each question with floor(k / groups) places for each group first, the rest filled globally; in order of value."""
-    w = Window.partitionBy(*question) if question else Window.partitionBy(F.lit(0))
-    g = Window.partitionBy(*question, group)
-    r = (
-        rows.withColumn("_groups", F.size(F.collect_set(group).over(w)))
-        .withColumn("_rg", F.row_number().over(g.orderBy(F.desc(value), tie)))
-        .withColumn("_reserved", F.col("_rg") <= F.floor(F.lit(k) / F.col("_groups")))
-    )
-    r = r.withColumn("_rn", F.row_number().over(w.orderBy(F.desc("_reserved"), F.desc(value), tie))).where(F.col("_rn") <= k)
-    return r.withColumn("rank", F.row_number().over(w.orderBy(F.desc(value), tie))).drop("_groups", "_rg", "_reserved", "_rn")
+    """k of each question with floor(k / groups) places for each group first, the rest filled globally; in order of value.
+
+    A group's rows beyond its k best can't be among the question's, so windows
+    over groups leave at most k of each to the question's window.
+    """
+    order, keys = [F.desc(value), tie], question or [F.lit(0).alias("_all")]
+    n = rows.groupBy(*question, group).agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups")).select(*[F.col(c).alias(f"_{c}") for c in question], "_groups")
+    best = rows.withColumn("_rg", F.row_number().over(Window.partitionBy(*question, group).orderBy(*order))).where(F.col("_rg") <= k)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in question]) if question else F.lit(True)
+    r = best.join(n, same).drop(*[f"_{c}" for c in question]) if question else best.crossJoin(F.broadcast(n))
+    first = [(F.col("_rg") <= F.floor(F.lit(k) / F.col("_groups"))).desc(), *order]
+    if question:
+        r = r.withColumn("_rn", F.row_number().over(Window.partitionBy(*question).orderBy(*first))).where(F.col("_rn") <= k).drop("_rn")
+    else:
+        r = r.orderBy(*first).limit(k)
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy(*(question or [F.lit(0)])).orderBy(*order))).drop("_groups", "_rg")
 
 
 def joined_context(ranked: DataFrame, question: list[str], line: str) -> DataFrame:

@@ -87,3 +87,34 @@ def scored(rows: DataFrame, threshold: float = T.THRESHOLD) -> DataFrame:
     for c in ("em", "f1", "score"):
         rows = rows.withColumn(c, F.when(attempted, F.col(f"raw_{c}")).otherwise(0.0))
     return rows.withColumn("abstained", F.col("outcome") == T.ABSTENTION).drop("_members", "_set", "_pred", "_gold", "_rivals")
+
+
+def enriched(scores: DataFrame, results: DataFrame, golds: DataFrame) -> DataFrame:
+    """Scores with their contexts and golds: (question_id, config) to the results' contexts, question_id to the golds.
+
+    Adds context, context_words, forms, answer_type and present: whether a gold
+    form stands in the context, null where that means nothing.
+    """
+    c = results.select(F.col("question_id").alias("_q"), F.col("config").alias("_c"), "context", "context_words")
+    g = golds.select(F.col("question_id").alias("_g"), "forms", F.col("answer_type").alias("_kind"))
+    rows = scores.drop("context", "context_words", "forms").join(c, (F.col("question_id") == F.col("_q")) & (F.col("config") == F.col("_c"))).join(g, F.col("question_id") == F.col("_g"))
+    return rows.withColumn("answer_type", F.col("_kind")).withColumn("present", T.gold_in_context("context", F.col("forms"), "answer_type")).drop("_q", "_c", "_g", "_kind")
+
+
+def presence_table(rows: DataFrame, axes: tuple[str, ...] = ("outcome", "complexity", "answer_type")) -> DataFrame:
+    """(config, axis, value): eligible and detected rows and median context words, per config and along each axis, in one pass."""
+    d = rows.where(F.col("present").isNotNull())
+    sets = [[F.col("config")], *[[F.col("config"), F.col(a)] for a in axes]]
+    bit = {a: 1 << (len(axes) - 1 - i) for i, a in enumerate(axes)}
+    grouped = d.groupingSets(sets, F.col("config"), *[F.col(a) for a in axes]).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("eligible"), F.count_if("present").alias("detected"), F.percentile("context_words", 0.5).alias("median_words"))
+    named = [(F.col("_g") == sum(bit.values()) - bit[a], a) for a in axes]
+    axis = F.coalesce(*[F.when(here, F.lit(a)) for here, a in named], F.lit("all"))
+    value = F.coalesce(*[F.when(here, F.col(a).cast("string")) for here, a in named])
+    return grouped.select("config", axis.alias("axis"), value.alias("value"), "eligible", "detected", "median_words")
+
+
+def parsed_gold_forms(gold: Column) -> Column:
+    """(forms, members) of a parsed gold struct; forms are [''] where there are none."""
+    forms = F.coalesce(gold["forms"], F.array().cast("array<string>"))
+    return F.struct(F.when(F.size(forms) == 0, F.array(F.lit(""))).otherwise(forms).alias("forms"), F.coalesce(gold["members"], F.array().cast("array<string>")).alias("members"))

@@ -148,11 +148,6 @@ def mcnemar_counts(spark, sf):
     return rounded(Q.vs_baseline(scores(spark, sf), "view", "hallucination").drop("p_value"))
 
 
-@register()
-def mcnemar_exact(spark, sf):
-    return rounded(Q.vs_baseline(scores(spark, sf), "view", "hallucination"))
-
-
 @register()
 def bootstrap_ci(spark, sf):
     return rounded(Q.compare_configs(scores(spark, sf), "click", "view", F.col("f1"), resamples=1000))
@@ -288,34 +283,45 @@ def normalize_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(T.normalize("text")).alias("normal_md5"), T.word_count("text").alias("n_words"))
 
 
-FIRST_SQL = "trim(string_split(d.text, chr(10))[1])"
+ITEMS_SQL = "i as (select *, row_number() over (order by item_id) - 1 r from benchmark), d as (select *, doc_id % (select count(*) from benchmark) r from documents)"
 
 
-@register(f"""with p as (select d.doc_id, b.item_id, {NORM_SQL.format(FIRST_SQL)} p, {NORM_SQL.format('b.text')} g from documents d join benchmark b on d.doc_id % 40 = b.item_id),
-s as (select *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) n from p)
-select doc_id, item_id, round(case when n = 0 then 0 else 2.0 * n / (len(p) + len(g)) end, 6) f1, (p = g)::int::double em from s""")
+def paired_items(spark, sf) -> DataFrame:
+    """Every document beside one benchmark item; all items have their turn, by rank."""
+    b = t(spark, sf, "benchmark")
+    items = b.select("item_id", F.col("text").alias("item"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) - 1).alias("r"))  # one small table
+    d = t(spark, sf, "documents").crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("n"))))
+    return d.withColumn("_r", F.pmod("doc_id", F.col("n"))).join(items, F.col("_r") == F.col("r")).select("doc_id", "text", "item_id", "item")
+
+
+@register(f"""with {ITEMS_SQL}, p as (select doc_id, item_id, {NORM_SQL.format('d.text')} p, {NORM_SQL.format('i.text')} g from d join i using (r)),
+x as (select doc_id, w, count(*) c from (select doc_id, unnest(p) w from p) group by all), y as (select doc_id, w, count(*) c from (select doc_id, unnest(g) w from p) group by all),
+s as (select doc_id, sum(least(x.c, y.c)) n from x join y using (doc_id, w) group by 1)
+select doc_id, item_id, round(case when coalesce(n, 0) = 0 then 0 else 2.0 * n / (len(p) + len(g)) end, 6) f1, (p = g)::int::double em from p left join s using (doc_id)""")
 def token_f1(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.trim(F.get(F.split("text", "\n"), F.lit(0))).alias("p"))
-    j = d.join(t(spark, sf, "benchmark").select("item_id", F.col("text").alias("g")), F.col("doc_id") % 40 == F.col("item_id"))
-    return rounded(j.select("doc_id", "item_id", T.token_f1("p", "g").alias("f1"), T.exact_match("p", "g").alias("em")))
+    j = paired_items(spark, sf)
+    return rounded(j.select("doc_id", "item_id", T.token_f1("text", "item").alias("f1"), T.exact_match("text", "item").alias("em")))
 
 
-@register(f"""with n as (select item_id, ' ' || array_to_string(({NORM_SQL.format('text')})[1:3], ' ') || ' ' g from benchmark), d as (select doc_id, ' ' || array_to_string({NORM_SQL.format('text')}, ' ') || ' ' h from documents)
-select doc_id, item_id, contains(h, g) found from d join n on doc_id % 40 = item_id""")
+@register(f"""with {ITEMS_SQL}, p as (select doc_id, item_id, d.text h, case when doc_id % 2 = 0 then i.text else string_split(d.text, chr(10))[-1] end g from d join i using (r)),
+n as (select doc_id, item_id, {NORM_SQL.format('h')} h, {NORM_SQL.format('g')} g from p)
+select doc_id, item_id, len(g) > 0 and contains(' ' || array_to_string(h, ' ') || ' ', ' ' || array_to_string(g, ' ') || ' ') found from n""")
 def contains_span(spark, sf):
-    b = t(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("g"))
-    return t(spark, sf, "documents").join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "item_id", T.contains_span("text", "g").alias("found"))
+    """Whole texts looked through for an item, or for their own last line."""
+    needle = F.when(F.col("doc_id") % 2 == 0, F.col("item")).otherwise(F.element_at(F.split("text", "\n"), -1))
+    return paired_items(spark, sf).select("doc_id", "item_id", T.contains_span("text", needle).alias("found"))
 
 
 REFUSAL_SQL = "|".join(p.replace("{g}", r"(?:\w+\s+){0,2}").replace("'", "''") for p in T.REFUSALS)
 
 
 @register(f"""with a as (select conv_id, turn, case turn % 4 when 0 then 'The context does not mention it. ' when 1 then 'Yes, ' when 2 then 'It cannot be said. ' else '' end || text t from conversations where role = 'assistant')
-select conv_id, turn, regexp_matches(t, '(?i){REFUSAL_SQL}') refuses, regexp_matches(substr(t, 1, 90), '(?i){REFUSAL_SQL}') in_head from a""")
+select conv_id, turn, regexp_matches(t, '(?i){REFUSAL_SQL}') refuses, regexp_matches(substr(t, 1, 90), '(?i){REFUSAL_SQL}') in_head,
+regexp_matches(substr(t, 1, 90), '(?i){REFUSAL_SQL}') and length(regexp_replace(substr(t, 1, 90), '(?is)({REFUSAL_SQL}).*$', '')) <= 30 opens from a""")
 def refusal_flags(spark, sf):
     lead = F.when(F.col("turn") % 4 == 0, "The context does not mention it. ").when(F.col("turn") % 4 == 1, "Yes, ").when(F.col("turn") % 4 == 2, "It cannot be said. ").otherwise("")
     c = t(spark, sf, "conversations").where("role = 'assistant'").withColumn("t", F.concat(lead, "text"))
-    return c.select("conv_id", "turn", T.is_abstention("t").alias("refuses"), T.refuses_in_head("t").alias("in_head"))
+    return c.select("conv_id", "turn", T.is_abstention("t").alias("refuses"), T.refuses_in_head("t").alias("in_head"), T.opens_with_refusal("t").alias("opens"))
 
 
 @register(f"""with a as (select conv_id, turn, {NORM_SQL.format("(case turn % 3 when 0 then 'Yes, ' when 1 then 'No. ' else '' end || text)")} k from conversations)
@@ -453,9 +459,11 @@ def entity_meta(spark, sf):
 
 @register("select s_suppkey, coalesce(case when n_regionkey < 3 then 'our ' || n_name end, n_name) shown from supplier join nation on s_nationkey = n_nationkey")
 def label_override(spark, sf):
-    n = t(spark, sf, "nation")
-    own = n.where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("our "), "n_name").alias("own"))
-    return t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(own), F.col("n_nationkey") == F.col("k"), "left").select("s_suppkey", F.coalesce("own", "n_name").alias("shown"))
+    """Suppliers as statements about their nation, whose name a question may give."""
+    n = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    st = n.select("s_suppkey", "n_name", "n_regionkey", F.col("n_nationkey").cast("string").alias("source_entity_id"), F.lit("outgoing").alias("direction"), F.col("n_name").alias("subject_label"), F.struct(F.col("s_name").alias("label")).alias("value"))
+    names = F.when(F.col("n_regionkey") < 3, F.create_map("source_entity_id", F.concat(F.lit("our "), "n_name"))).otherwise(F.create_map().cast("map<string,string>"))
+    return R.override_labels(st, names).select("s_suppkey", F.col("subject_label").alias("shown"))
 
 
 @register("select c_custkey question_id, line from (select c_custkey, n_name || ' ' || s_name line, row_number() over (partition by c_custkey, n_name || ' ' || s_name order by s_suppkey) r from customer join supplier on s_nationkey = c_nationkey join nation on n_nationkey = s_nationkey) where r = 1")

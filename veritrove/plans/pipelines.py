@@ -83,6 +83,28 @@ def variant(defaults: dict[str, str], variants: dict[str, dict[str, str]], name:
     return {**defaults, **variants[name]}
 
 
+# The defaults of prompts, and variants that override some of them.
+SLOTS = {"persona": "", "style": "", "instruction": WITH_CONTEXT, "abstain": ABSTAIN}
+VARIANTS = {
+    "plain": {},
+    "expert": {"persona": "You are an expert of the question's field."},
+    "brief": {"style": "Answer in as few words as possible."},
+    "no_abstain": {"abstain": ""},
+}
+#: How a model takes its system text: as a message of its own, or before the prompt.
+ROLES = {"system": True, "user": False}
+
+
+def role_slots(prompts: DataFrame, name: str = "plain", role: str = "system", variants: dict[str, dict[str, str]] = VARIANTS) -> DataFrame:
+    """Adds system and user texts for a named variant; models without a system role get both as one user text."""
+    slots = variant(SLOTS, variants, name)
+    system = " ".join(x for x in (slots["persona"], slots["style"]) if x)
+    body = F.concat_ws("\n\n", F.nullif(F.lit(" ".join(x for x in (slots["instruction"], slots["abstain"]) if x)), F.lit("")), F.nullif(F.coalesce("context", F.lit("")), F.lit("")), F.col("question"))
+    if ROLES[role]:
+        return prompts.withColumn("system", F.lit(system)).withColumn("user", body)
+    return prompts.withColumn("system", F.lit("")).withColumn("user", F.concat_ws("\n\n", F.nullif(F.lit(system), F.lit("")), body))
+
+
 def base_answers(questions: DataFrame, complete: Completer = extractive) -> DataFrame:
     return completed(questions.withColumn("prompt", prompt(F.col("question"))), "prompt", complete)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.text import is_attempted
 
 STATEMENT_VERSION, ARTICLE_VERSION = 8, 1
 
@@ -23,10 +25,15 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.where(F.trim("value") != "").select(F.posexplode(items).alias("pos", "v")).select("pos", F.to_json("v").alias("record"))
 
 
-def read_questions(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """Questions in file order (pos). Fails if the first record isn't one."""
-    records = json_records(spark, path)
-    first = records.where("pos = 0").first()
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The records of files with one JSON text a line, as (pos, record); pos ascends in file order. Large files are split over tasks."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
+
+
+def read_questions(spark: SparkSession, path: str, ids: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """Questions in file order (pos), of an array file or of one with a record a line. Fails if the first record isn't one."""
+    records = json_lines(spark, path) if lines else json_records(spark, path)
+    first = records.orderBy("pos").first()
     if first and ("questionEntity" not in first.record or '"answer"' not in first.record):
         raise NotQuestions(path)
     q = records.select("pos", F.from_json("record", schemas.QUESTION).alias("q"), F.get_json_object("record", "$.answer").alias("_a")).select("pos", "q.*", "_a")
@@ -46,6 +53,19 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_r")).select(key, "_r.*")
 
 
+def resolve_source(spark: SparkSession, ids: DataFrame, explicit: str | None = None, recorded: str | None = None, fallbacks: tuple[str, ...] = ()) -> tuple[str, DataFrame]:
+    """The first question file, in the order explicit, recorded, fallbacks, that is there, holds questions and has every id; and its questions."""
+    tried = [p for p in (explicit, recorded, *fallbacks) if p]
+    for path in tried:
+        try:
+            questions = read_questions(spark, path)
+        except (NotQuestions, AnalysisException):
+            continue
+        if ids.join(questions.select("id"), "id", "left_anti").isEmpty():
+            return path, questions
+    raise LookupError(f"no source covers every id; tried {', '.join(tried) or 'nothing'}")
+
+
 def covering(ids: DataFrame, candidates: dict[str, DataFrame]) -> str:
     """The first candidate table that has every id; none is an error that names all."""
     for name, gold in candidates.items():
@@ -54,8 +74,12 @@ def covering(ids: DataFrame, candidates: dict[str, DataFrame]) -> str:
     raise LookupError(f"no source covers every id; tried {', '.join(candidates)}")
 
 
-def _cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).withColumn("key", F.regexp_extract(F.input_file_name(), "([^/]+)\\.json$", 1))
+def cache_files(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value): the text of each file, named by its key."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)\\.json$", 1).alias("key"), "value")
+
+
+def _cache(raw: DataFrame, schema: str) -> DataFrame:
     return raw.withColumn("json", F.try_parse_json("value")).withColumn("entry", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
 
 
@@ -64,8 +88,12 @@ def _fingerprint_differs(fingerprint: dict[str, str]):
 
 
 def statement_cache(spark: SparkSession, path: str, fingerprint: dict[str, str] | None = None, version: int = STATEMENT_VERSION) -> DataFrame:
-    """(key, state, entry): malformed, stale, incomplete or ok, the first that holds."""
-    c = _cache(spark, path, schemas.STATEMENT_CACHE)
+    return statement_states(cache_files(spark, path), fingerprint, version)
+
+
+def statement_states(raw: DataFrame, fingerprint: dict[str, str] | None = None, version: int = STATEMENT_VERSION) -> DataFrame:
+    """(key, state, entry) of JSON texts (key, value): malformed, stale, incomplete or ok, the first that holds."""
+    c = _cache(raw, schemas.STATEMENT_CACHE)
     done = F.map_values("entry.query_succeeded")
     bad = F.coalesce(F.size(done), F.lit(0)) == 0
     state = (
@@ -76,8 +104,12 @@ def statement_cache(spark: SparkSession, path: str, fingerprint: dict[str, str]
 
 
 def article_cache(spark: SparkSession, path: str, fingerprint: dict[str, str] | None = None, version: int = ARTICLE_VERSION) -> DataFrame:
-    """(key, state, entry): malformed, stale (the old bare list too), failed or ok - an entity without an article is ok."""
-    c = _cache(spark, path, schemas.ARTICLE_CACHE)
+    return article_states(cache_files(spark, path), fingerprint, version)
+
+
+def article_states(raw: DataFrame, fingerprint: dict[str, str] | None = None, version: int = ARTICLE_VERSION) -> DataFrame:
+    """(key, state, entry) of JSON texts (key, value): malformed, stale (the old bare list too), failed or ok - an entity without an article is ok."""
+    c = _cache(raw, schemas.ARTICLE_CACHE)
     state = (
         F.when(F.col("json").isNull(), "malformed")
         .when(~F.trim("value").startswith("{") | F.get_json_object("value", "$.chunks").isNull(), "stale")
@@ -109,14 +141,24 @@ def run_results(spark: SparkSession, path: str, cell: str | None = None) -> Data
     return text.select(F.from_json(inside, f"array<struct<{', '.join(schemas.RESULT.split(', '))}>>".replace(" string", ":string").replace(" array", ":array").replace(" map", ":map")).alias("r")).select(F.posexplode("r").alias("pos", "r")).select("pos", "r.*")
 
 
-def judge_records(spark: SparkSession, path: str) -> DataFrame:
-    """Judge records; two of one (config, id) are an error."""
-    rows = json_records(spark, path).select(F.from_json("record", schemas.JUDGED).alias("r")).select("r.*")
+def judge_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Judge records of an array file, or of one with a record a line; two of one (config, id) are an error."""
+    rows = (json_lines if lines else json_records)(spark, path).select(F.from_json("record", schemas.JUDGED).alias("r")).select("r.*")
     if not rows.groupBy("config", "id").count().where("count > 1").isEmpty():
         raise ValueError("a judge record occurs twice")
     return rows
 
 
+def only_file(spark: SparkSession, pattern: str) -> str:
+    """The one file that a pattern names; none or several are an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    names = [f.getPath().toString() for f in found or ()]
+    if len(names) != 1:
+        raise LookupError(f"{pattern} names {len(names)} files")
+    return names[0]
+
+
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """(source_hash, case): an annotation file with a hash, or a bare list."""
     text = spark.read.text(path, wholetext=True)
@@ -124,8 +166,12 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.get_json_object("value", "$.judge_sha256").alias("source_hash"), F.explode(F.from_json(cases, "array<variant>")).alias("v")).select("source_hash", F.to_json("v").alias("case"))
 
 
-def cross_checked(results: DataFrame, golds: DataFrame, judged: DataFrame, configs: tuple[str, ...]) -> None:
-    """What several sources of one run must agree on; any breach is an error that names it."""
+def cross_checked(results: DataFrame, golds: DataFrame, judged: DataFrame, configs: tuple[str, ...], scores: DataFrame | None = None) -> None:
+    """What several sources of one run must agree on; any breach is an error that names it.
+
+    With scores (question_id, config, outcome), judge records must be of
+    exactly the attempted answers and have their outcomes.
+    """
     faults = {
         "an id is empty or occurs twice": results.groupBy("id").count().where("count > 1 or id is null or id = ''"),
         "an id has no gold answer": results.join(golds.select("id"), "id", "left_anti"),
@@ -133,6 +179,11 @@ def cross_checked(results: DataFrame, golds: DataFrame, judged: DataFrame, confi
         "a judge record is of an unknown config": judged.where(~F.col("config").isin(*configs)),
         "a run failed somewhere": results.where(F.coalesce(F.size("errors"), F.lit(0)) > 0),
     }
+    if scores is not None:
+        tried = scores.where(is_attempted("outcome")).select(F.col("question_id").alias("id"), "config", F.col("outcome").alias("_o"))
+        both = judged.select("id", "config", F.col("outcome").alias("_j")).join(tried, ["id", "config"], "full_outer")
+        faults["judge records don't cover the attempts"] = both.where("_o is null or _j is null")
+        faults["a judge record has another outcome"] = both.where("_o <> _j")
     for what, rows in faults.items():
         if not rows.isEmpty():
             raise ValueError(what)

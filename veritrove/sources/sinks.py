@@ -22,6 +22,26 @@ def signature_matches(old: dict, new: dict, fields: tuple[str, ...]) -> list[str
     return [f for f in fields if old.get(f) != new.get(f)]
 
 
+#: What a stored run must share with the one that resumes it.
+SIGNATURE = (
+    "code", "sample", "model", "temperature", "prompts", "retrieval", "embedding", "top_k", "allocation", "noise_filter", "rank_policy", "configs", "workers", "rate", "preflight",
+)
+
+
+def read_partial(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Finished rows of partial results; a line that isn't whole JSON fails and names itself."""
+    lines = spark.read.text(path)
+    torn = F.raise_error(F.concat(F.lit("a torn line: "), F.substring("value", 1, 80))).cast("string")
+    whole = lines.where(F.trim("value") != "").select(F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(torn).alias("value"))
+    return whole.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def resumable(old: dict, new: dict) -> None:
+    """Fails unless a stored run's signature is that of the run that would resume it."""
+    if different := signature_matches(old, new, SIGNATURE):
+        raise ValueError(f"can't resume: {', '.join(different)} changed")
+
+
 def resume(questions: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Questions still open. Results of unknown questions, or two of one, are errors."""
     if not done.groupBy(key).count().where("count > 1").isEmpty():
@@ -52,8 +72,14 @@ def latest(history: DataFrame, order: str, most: int = 20) -> DataFrame:
     return history.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
 
 
-def merge_annotations(existing: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("config", "id")) -> DataFrame:
-    """Existing cases as they are, and new ones of keys that they lack."""
+def merge_annotations(existing: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("config", "id"), hashes: tuple[str | None, str | None] = (None, None), filled: str | None = None) -> DataFrame:
+    """Existing cases as they are, and new ones of keys that they lack.
+
+    hashes: of the judge files of both. Where they differ and a case has its
+    hand-filled column set, the merge is refused.
+    """
+    if filled and hashes[0] != hashes[1] and not existing.where(F.col(filled).isNotNull()).isEmpty():
+        raise ValueError("cases annotated for another judge file")
     return existing.unionByName(fresh.join(existing.select(*keys), list(keys), "left_anti"))
 
 
@@ -63,6 +89,84 @@ def overlay(frozen: DataFrame, demo: DataFrame, key: str, value: str) -> DataFra
     return f.join(d, key, "full_outer").select(key, F.coalesce("_f", "_d").alias(value))
 
 
+def _text(spark: SparkSession, path: str) -> str | None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def start_snapshot(spark: SparkSession, folder: str, settings: dict) -> None:
+    """A run's settings, written once at its start; a second start with others is refused."""
+    text, there = json.dumps(settings, sort_keys=True), _text(spark, f"{folder}/start.json")
+    if there is not None and json.loads(there) != settings:
+        raise ValueError("the run has started with other settings")
+    if there is None:
+        _write_text(spark, f"{folder}/start.json", text)
+
+
+def finalise(spark: SparkSession, folder: str, raw_hash: str, scorer: str, figures: dict) -> list[dict]:
+    """A run's scoring records. The raw results must be those of the first record; another scorer appends a record, the same one renews the last."""
+    there = _text(spark, f"{folder}/final.json")
+    records = json.loads(there) if there else []
+    if records and records[0]["raw_hash"] != raw_hash:
+        raise ValueError("the raw results aren't those that were finalised")
+    record = {"raw_hash": raw_hash, "scorer": scorer, "figures": figures}
+    records = [*(records[:-1] if records and records[-1]["scorer"] == scorer else records), record]
+    _write_text(spark, f"{folder}/final.json", json.dumps(records, sort_keys=True))
+    return records
+
+
+def log_call(rows: DataFrame, path: str) -> str | None:
+    """Appends call records as JSON lines; what goes wrong is returned and stops nothing."""
+    try:
+        rows.write.mode("append").json(path)
+    except Exception as e:  # noqa: BLE001  a log must not end what it logs
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+def write_reports(spark: SparkSession, folder: str, texts: dict[str, str], check: bool = False) -> list[str]:
+    """Report files by name. With check nothing is written: the names whose files differ from the texts are returned."""
+    different = [n for n, t in sorted(texts.items()) if _text(spark, f"{folder}/{n}") != t]
+    if not check:
+        for n in different:
+            _write_text(spark, f"{folder}/{n}", texts[n])
+    return different
+
+
+def json_report(table: DataFrame, most: int = 10_000) -> str:
+    """A small result table as a JSON list, in its order."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("a report table must be an aggregate")
+    return json.dumps([r.asDict(recursive=True) for r in rows], default=str, sort_keys=True, indent=1)
+
+
+def fmt_delta(share: float | None) -> str:
+    """A signed difference of shares in percentage points."""
+    return "—" if share is None else f"{100 * share:+.1f}"
+
+
+def fmt_interval(low: float | None, high: float | None) -> str:
+    return "—" if low is None or high is None else f"[{fmt_delta(low)}, {fmt_delta(high)}]"
+
+
+def fmt_small(text: str, n: int, least: int = 50) -> str:
+    """Marks a figure of few rows."""
+    return f"{text}†" if n < least else text
+
+
 def markdown(table: DataFrame, most: int = 10_000) -> str:
     """A small result table as Markdown; rounding is the caller's."""
     rows = table.limit(most + 1).collect()
