@@ -5,8 +5,8 @@ by its values at the start and the end and linear between. Its integral is the
 source's share. Shares of sources that would be repeated more than
 `max_repeats` times are cut there and the rest is dealt anew by weight.
 
-A source's documents stand in a pseudo-random order that depends on content
-ids only (reruns agree), and are passed through again and again until the
+A source's documents stand in a pseudo-random order that depends on ids only,
+on texts where there is none (reruns agree), and are passed through again and again until the
 source's target is used up. The words before a document's copy, those of the
 passes before it included, are the cumulative demand at which it is wanted;
 inverting the integral of the schedule gives the training time, and so the
@@ -97,6 +97,11 @@ def training_time(u: Column, slope: Column) -> Column:
     return 2.0 * u / (a + root)
 
 
+def shuffled(name: Column, seed: int) -> Column:
+    """60 bits of a digest of a name and a seed."""
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 15), 16, 10).cast("bigint")
+
+
 def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
           keep: list[str] | None = None, weights=WEIGHTS, slopes=SLOPES, max_repeats: float = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """Each document once: row (struct of `keep`), size, source_size, target, taken, position, positions.
@@ -112,9 +117,9 @@ def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col(source_column).alias("_source"),
         n_words(F.col(text_column)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(seed)), 1).alias("_order"),
-        F.col(id_column).alias("_id"),
-    ).withColumn("_bucket", F.least(F.floor(F.col("_order") / F.lit(float(1 << 63)) * n_buckets), F.lit(n_buckets - 1)))
+        shuffled(F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text_column, F.lit(""))))), seed).alias("_order"),
+        F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_tie"),
+    ).withColumn("_bucket", F.least(F.floor(F.col("_order") / F.lit(float(1 << 60)) * n_buckets), F.lit(n_buckets - 1)))
     sums = stored(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum")), "sums")
     per_source = sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(per_source, "_source", weights, slopes, max_repeats)
@@ -126,7 +131,7 @@ def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     if sums.count() <= BROADCAST_ROWS:
         info = F.broadcast(info)
     placed = base.join(info, base["_source"].eqNullSafe(info["_s"]) & (base["_bucket"] == info["_b"])).drop("_s", "_b")
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     want = F.round(F.col("target")).cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")

@@ -63,4 +63,34 @@ select page_id, octet_length(encode(h))::bigint payload_bytes,
   case when f = page_id then 'response' else 'revisit' end record_type, case when f <> page_id then f end refers_to,
   row_number() over (order by url_key, "timestamp", page_id) - 1 history, url_key, "timestamp" from k"""
 
-ORACLE_SQL = {"op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}
+SUFFIXES = """
+with d as (select doc_id, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select doc_id, i, md5(b[i:i + 399]) h from (select doc_id, b, unnest(range(1, n - 398)) i from d where n >= 400)),
+r as (select doc_id, i from w qualify count(*) over (partition by h) > 1),
+x as (select doc_id, i, (i - lag(i) over (partition by doc_id order by i) > 400)::int apart from r),
+y as (select doc_id, i, coalesce(sum(apart) over (partition by doc_id order by i), 0) run from x),
+s as (select doc_id, min(i) a, max(i) + 399 z from y group by doc_id, run),
+p as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) before from s),
+k as (select doc_id, string_agg(case when a > before + 1 then hex(b[before + 1:a - 1]) else '' end, '' order by a) head, max(z) last, sum(z - a + 1)::bigint n_removed, count(*)::bigint n_spans from p join d using (doc_id) group by 1)
+select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(coalesce(head, '') || case when coalesce(last, 0) < n then hex(b[coalesce(last, 0) + 1:n]) else '' end)) kept_sha256 from d left join k using (doc_id)"""
+
+
+MIXING = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, ('0x' || substr(md5(doc_id::varchar || ':7'), 1, 15))::bigint o from documents),
+r as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by 1),
+w as (select *, [5::double, 2::double, 1::double][1 + rank % 3] weight, [0.5::double, 0::double, -0.5::double][1 + rank % 3] slope from r),
+x as (select *, (sum(source_size) over ())::double total, coalesce(sum(source_size) over c, 0)::double * 3 before, sum(weight) over () - coalesce(sum(weight) over c, 0) weights from w
+  window c as (order by source_size / weight, rank rows between unbounded preceding and 1 preceding)),
+z as (select *, (total - before) / weights lev, weight * ((total - before) / weights) >= 3.0::double * source_size is_full from x),
+f as (select (select lev from z where not is_full order by source_size / weight, rank limit 1) final),
+t as (select source, source_size, slope, case when final is null then 3.0::double * source_size else least(3.0::double * source_size, weight * final) end target from z, f),
+m as (select d.doc_id, size, source_size, slope, target, round(target)::bigint want, coalesce(sum(size) over (partition by d.source order by o, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint place from d join t on d.source is not distinct from t.source),
+n as (select *, case when source_size > 0 then floor(want::double / source_size)::bigint else 0 end passes from m),
+c as (select *, (passes * size + greatest(0, least(size, want - passes * source_size - place)))::bigint taken from n),
+e as (select *, case when size > 0 then floor(taken::double / size + 0.5)::bigint else 0 end copies, 1 + slope a from c)
+select doc_id, size, source_size, target, taken,
+  case when taken > 0 then list_transform([case when want > 0 then least(1.0::double, place::double / want) else 0.0::double end], lambda u: 2 * u / (a + sqrt(greatest(a * a - 4 * slope * u, 0))))[1] end "position",
+  list_transform(list_transform(range(0, copies), lambda k: case when want > 0 then least(1.0::double, (place + k * source_size)::double / want) else 0.0::double end), lambda u: 2 * u / (a + sqrt(greatest(a * a - 4 * slope * u, 0)))) positions from e"""
+
+ORACLE_SQL = {"op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}
