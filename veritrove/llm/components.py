@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("_a")).select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
-        edges = stored(small, "links")
+        old, edges = edges, stored(small, "links")
+        discard(old, low)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if before is not None and tuple(now) == before:
             break

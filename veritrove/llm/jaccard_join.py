@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, stored, volume
+from .shared import discard, sliced, stored, volume
 from .words import FOLDED, Words, distinct, mix, pack, pack_runs, text_bytes, unpack, unpack_runs, windows
 
 SHINGLE = 5
@@ -276,6 +276,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xk") < F.col("yk")) & fits("x", "y")).select(F.col("xc").alias("a"), F.col("yc").alias("b")).distinct()
     second = verified(pairs, sets)
     label = components(first.unionByName(second)).withColumnRenamed("node", "_n")
+    discard(by_class, groups, entries, first, rest)
     # A component's smallest id is the smallest of its classes: a class is named by its smallest member.
     named = member.join(label, F.col("class_id") == F.col("_n"), "left").select(F.col("doc_id").alias("_d"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return sets.select("doc_id", "n").join(named, F.col("doc_id") == F.col("_d"), "left").select(

@@ -62,6 +62,12 @@ def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
 
+def same(step: str) -> str:
+    """SQL: whether the window g at place k of the sorted ones equals the one `step` further."""
+    words = " and ".join(f"get(_w, cast(g & _m as int) + {j}) = get(_w, cast(get(_g, k + {step}) & _m as int) + {j})" for j in range(3))
+    return f"coalesce((g | _m) = (get(_g, k + {step}) | _m) and {words}, false)"
+
+
 def figures(text: str) -> list[tuple[str, str]]:
     """(name, SQL) of each figure, in an order in which later ones may use earlier ones."""
     seps = "\\t\\n\\u000b\\u000c\\r "
@@ -77,11 +83,11 @@ def figures(text: str) -> list[tuple[str, str]]:
         ("n_lines", "cast(coalesce(size(_l), 0) as bigint)"),
         ("n_dup_lines", "cast(coalesce(size(_l) - size(array_distinct(_l)), 0) as bigint)"),
         # Windows of three words: the high bits of a hash over the place in the text. Sorted as
-        # longs, equal windows are neighbours.
+        # longs, equal windows are neighbours; neighbours of one hash are compared word by word.
         ("_m", "shiftleft(1L, cast(ceil(log2(n_words + 1)) as int)) - 1"),
         ("_g", "sort_array(transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (w, i) -> "
                "xxhash64(w, get(_w, i + 1), get(_w, i + 2)) & ~_m | i))"),
-        ("_r", "sort_array(transform(filter(_g, (g, k) -> (g | _m) = (get(_g, k + 1) | _m) or (g | _m) = (get(_g, k - 1) | _m)), g -> g & _m))"),
+        ("_r", f"sort_array(transform(filter(_g, (g, k) -> {same('1')} or {same('-1')}), g -> g & _m))"),
         # Words that windows at sorted places cover: three each, less what overlaps the one before.
         ("n_repeat_words", "coalesce(aggregate(transform(_r, (p, k) -> if(k = 0, 3L, least(3L, p - get(_r, k - 1)))), 0L, (s, x) -> s + x), 0L)"),
     ]

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, volume
+from .shared import discard, sliced, stored, volume
 from .suffix_array import suffix_array
 from .words import mix, pack, pack_runs, text_bytes, unpack, unpack_runs
 
@@ -541,7 +541,10 @@ def repeated_spans(documents: DataFrame, id_column: str, text_column: str, lengt
     found = contexts.where("kind = 0").groupBy("bucket").applyInArrow(_order(length, window), FOUND)
     if crowded:
         found = found.unionByName(_crowded_ranges(contexts.where("kind = 1").select("data"), length))
-    found = stored(found, "found").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = stored(found, "found")
+    if crowded:
+        discard(contexts)
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return hits.select(F.col("doc").alias("_d"), "whole").join(found, F.col("_d") == F.col("doc"), "left").select("_d", "whole", "spans")
 
 

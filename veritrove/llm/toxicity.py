@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import annotate, sliced, stored
+from .shared import annotate, discard, sliced, stored
 from .words import ALNUM, Words, text_bytes
 
 MAX_TRAIN = 20_000
@@ -219,6 +219,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
             y.append(float(r.toxic))
     model.k = float(np.exp(np.mean(np.log(ks))))
     x, y = np.array(x).reshape(-1, 4), np.array(y)
+    discard(rows)
     model.centre, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     model.coefficients = _logistic((x - model.centre) / model.spread, y)
     return model

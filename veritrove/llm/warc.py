@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from .shared import discard, shared_dir, stored
 from .tokens import filesystem
 
 #: The default capture time of id k is this plus (k mod 2^31) seconds.
@@ -304,7 +304,9 @@ def capture_index(pages: DataFrame, folder: str | None = None, **options) -> Dat
     range_rows = options.pop("range_rows", RANGE_ROWS)
     files = write_warc(pages, folder, **options)
     n = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    lines = stored(merged(stored(read_warc(files, folder), "runs"), max(1, -(-n // range_rows))), "index")
+    runs = stored(read_warc(files, folder), "runs")
+    lines = stored(merged(runs, max(1, -(-n // range_rows))), "index")
+    discard(runs)
     # One row for each range, so a window over all of them is small.
     bases = lines.groupBy("range").agg(F.count(F.lit(1)).alias("_n"))
     bases = bases.select(F.col("range").alias("_range"), (F.sum("_n").over(Window.orderBy("range")) - F.col("_n")).alias("_base"))
