@@ -105,7 +105,11 @@ def test_suffix_dedup(docs, empty, most, hot):
     assert X.without_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_random(spark):
+@pytest.mark.parametrize("small", [{}, {"BUCKET_BYTES": 2000, "BUCKET_DOCS": 3, "SLICE": 3000, "CONTEXT_BYTES": 500}])
+def test_suffix_dedup_random(spark, monkeypatch, small):
+    """Against every byte's window, with one bucket and with many."""
+    for name, value in small.items():
+        monkeypatch.setattr(X, name, value)
     r = random.Random(3)
     parts = ["".join(r.choice("abcdé ") for _ in range(r.randrange(150, 700))) for _ in range(12)]
     rows = [(i, "".join(r.choice(parts) + r.choice(["", "-", "—" * 3]) for _ in range(r.randrange(1, 4)))) for i in range(40)]
@@ -335,6 +339,50 @@ def test_language_seating_is_exact():
     assert np.bincount(drawn, minlength=c + 1) / n == pytest.approx(weights / weights.sum(), abs=0.005)
 
 
+def test_language_scores_by_hand(spark):
+    """Where every word occurs once all dishes have one table, and scores follow from counts alone."""
+    import math
+
+    from veritrove.llm.pitman_yor import DISCOUNTS, STRENGTHS
+
+    train, rows = ["a b c", "d e", "f"], [(0, "a b c"), (1, "d e"), (2, "f"), (10, "a b x"), (11, "b c"), (12, ""), (13, "y d e")]
+    seen, types, pairs, contexts = set(), set(), {}, {}
+    for t in train:
+        words = ["^", "^", *t.split(), "$"]
+        for u, v, w in zip(words, words[1:], words[2:], strict=False):
+            types.add(w)
+            seen.add((v, w))
+            pairs.setdefault((u, v), {}).setdefault(w, 0)
+            pairs[u, v][w] += 1
+    for (_, v), dishes in pairs.items():
+        for w in dishes:
+            contexts.setdefault(v, {}).setdefault(w, 0)
+            contexts[v][w] += 1
+    n1 = {w: sum(1 for _, x in seen if x == w) for w in types}
+    (d0, d1, d2), (s0, s1, s2) = DISCOUNTS, STRENGTHS
+    # The end stands after three words: its number of tables in the root is drawn, and the only one that is.
+    base = 1 / (len(types) + 1)
+    table_sums = []
+    for ends in range(1, n1["$"] + 1):
+        total = len(types) - 1 + ends
+        table_sums.append({w: (n1.get(w, 0) - (0 if w not in types else d0 * (ends if w == "$" else 1)) + (s0 + d0 * total) * base) / (s0 + len(seen)) for w in [*types, "?"]})
+
+    def score(t, root):
+        total, words = 0.0, ["^", "^", *t.split(), "$"]
+        for u, v, w in zip(words, words[1:], words[2:], strict=False):
+            p = root.get(w, root["?"])
+            for dishes, d, s in ((contexts.get(v, {}), d1, s1), (pairs.get((u, v), {}), d2, s2)):
+                c = dishes.get(w, 0)
+                p = (c - (d if c else 0) + (s + d * len(dishes)) * p) / (s + sum(dishes.values()))
+            total += math.log10(p)
+        return total
+
+    got = {r.id: r.score for r in language_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 10).collect()}
+    for i, t in rows:
+        every = [score(t, root) for root in table_sums]
+        assert min(every) - 1e-9 <= got[i] <= max(every) + 1e-9 and max(every) - min(every) < 0.5
+
+
 def test_language_root_has_every_word(spark):
     """A word's score doesn't depend on how many root probabilities are broadcast, and a rare word beats an unseen one."""
     r = random.Random(6)

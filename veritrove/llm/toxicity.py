@@ -2,8 +2,10 @@
 
 Model. Token log-odds between toxic and clean training texts under an
 informative Dirichlet prior (the prior of a token is its share of all training
-texts); tokens whose z-score isn't significant weigh nothing, and every token
-pays a small drift, so that clean text sinks. A linear-time scan over a text's
+texts); counts are of texts that hold a token, so that one text can't decide.
+Tokens in fewer than LEAST_DOCS toxic texts, and those whose z-score isn't
+significant, weigh nothing, and every token pays a small drift, so that clean
+text sinks. A linear-time scan over a text's
 token weights finds all its maximal scoring segments. Under the clean token
 distribution the largest segment follows an extreme-value law: lambda solves
 E[exp(lambda * weight)] = 1, K is fitted by maximum likelihood on clean texts,
