@@ -141,3 +141,36 @@ def test_role_slots(spark):
     assert P.role_slots(q, "no_abstain", "user").first().user == f"{P.WITH_CONTEXT}\n\nc\n\nq?"
     with pytest.raises(ValueError):
         P.role_slots(q, "nobody")
+
+
+def test_requests(spark):
+    from veritrove.plans import requests as W
+
+    lines = spark.createDataFrame([("Q1", 0, "[Paris] capital of: France")], "qid string, line_pos int, line string")
+    configs = ("base_llm_abstain", "rag", "graph_rag", "rerank")
+    ask = lambda **body: W.answer_request(spark, body, lines, configs, presets={"p": {"question": "Where?", "config": "rag", "entities": [{"qid": "Q1"}]}})
+    got = ask(preset="p")
+    assert got["answer"] == "[Paris] capital of: France" and got["evidence"] == ["[Paris] capital of: France"] and got["badge"] == "answered" and got["error"] is None
+    assert ask(question="Who?", config="graph_rag", entities=[{"qid": "Q1", "label": "France"}])["evidence"] == ["[Paris] capital of: France"]
+    assert ask(question="Who?", config="base_llm_abstain")["badge"] == "abstained" and "error" in ask(question="", config="rag") and ask(question="x", config="rag", entities=[{"qid": "1"}])["error"]
+    assert W._running.acquire(blocking=False)
+    try:
+        with pytest.raises(W.Busy):
+            ask(preset="p")
+    finally:
+        W._running.release()
+
+
+def test_settings_and_seals(spark):
+    from veritrove.operators import checks as C
+
+    assert C.captured_settings({"k": 1}, lambda: ["out/a", "src/b"], ("out/",)) == {"k": 1, "clean": False, "changed": ["src/b"]}
+
+    def unknown():
+        raise OSError
+
+    assert C.captured_settings({}, unknown)["clean"] is None
+    with pytest.raises(RuntimeError):
+        C.captured_settings({}, unknown, strict=True)
+    q = spark.createDataFrame([("a",)], "id string")
+    assert C.sealed_faults(q, q, True, None, "x", "y") and len(C.sealed_faults(q, q, True, None, "x", "y")) == 4 and C.sealed_faults(q, q.where("false"), False, True, "x", "x") == []

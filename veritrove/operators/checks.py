@@ -84,3 +84,28 @@ def request_fault(body: object, configs: tuple[str, ...], most_chars: int = 500,
         if not isinstance(e, dict) or not isinstance(e.get("qid"), str) or not re.fullmatch(r"Q[1-9]\d*", e["qid"]):
             return "an entity's key is malformed"
     return None
+
+
+def captured_settings(settings: dict[str, object], changed_files, outputs: tuple[str, ...] = (), strict: bool = False) -> dict:
+    """A run's settings with whether the code was clean. changed_files: a call that gives changed paths, or raises where that can't be told.
+
+    Paths below `outputs` don't count; strict fails where cleanliness isn't known, otherwise it is recorded as None.
+    """
+    try:
+        changed = [p for p in changed_files() if not p.startswith(outputs)]
+    except Exception as e:
+        if strict:
+            raise RuntimeError("whether the code is clean can't be told") from e
+        return {**settings, "clean": None, "changed": []}
+    return {**settings, "clean": not changed, "changed": sorted(changed)}
+
+
+def sealed_faults(questions: DataFrame, sealed: DataFrame, spent: bool, clean: bool | None, digest: str, expected: str, key: str = "id") -> list[str]:
+    """Why a sealed set may not be run: its questions are in use, its hash differs, it was spent before, or the code isn't clean."""
+    faults = {
+        "questions of the sealed set are in this run": sealed_overlap(questions, sealed, key) > 0,
+        "the sealed set isn't the one that was sealed": digest != expected,
+        "the sealed set was run before": spent,
+        "the code has changes that aren't committed": clean is not True,
+    }
+    return [what for what, holds in faults.items() if holds]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text
@@ -99,3 +99,33 @@ def judged(rows: DataFrame, complete) -> DataFrame:
     unsent = rows.where(~sent).withColumn("raw_claims", none).withColumn("raw_verdicts", none).withColumn("raw_repair", none).withColumn("_failed", F.lit(False))
     done = scored(every.unionByName(unsent))
     return done.withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status"))).withColumn("score", F.when(~F.col("_failed"), F.col("score"))).drop("_failed")
+
+
+def context_of(captured: Column) -> Column:
+    """The context text of what a run stored: a bare string, or the JSON of a record with a context; '' for neither."""
+    inside = F.get_json_object(captured, "$.context")
+    return F.coalesce(F.when(F.try_parse_json(captured).isNotNull() & captured.startswith("{"), inside).otherwise(captured), F.lit(""))
+
+
+def judge_jobs(scores: DataFrame, rows: DataFrame, configs: tuple[str, ...], per_config: int | None = None) -> DataFrame:
+    """What a judge is asked about: attempted answers of retrieval configs with their texts, in the order of configs and ids.
+
+    rows: question_id, question, and maps answers and contexts by config.
+    per_config: a slice of each config, for a short run.
+    """
+    from ..functions.text import is_attempted
+
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(configs) for x in (c, i)])
+    tried = scores.where(is_attempted("outcome") & F.col("config").isin(*configs)).select("question_id", "config", "outcome")
+    jobs = tried.join(rows.select("question_id", "question", "answers", "contexts"), "question_id").select(
+        "question_id", "config", "outcome", "question", F.coalesce(F.element_at("answers", F.col("config")), F.lit("")).alias("answer"),
+        context_of(F.coalesce(F.element_at("contexts", F.col("config")), F.lit(""))).alias("context"), F.element_at(place, F.col("config")).alias("config_pos"))
+    if per_config is not None:
+        jobs = jobs.withColumn("_rn", F.row_number().over(Window.partitionBy("config").orderBy("question_id"))).where(F.col("_rn") <= per_config).drop("_rn")
+    return jobs.orderBy("config_pos", "question_id")
+
+
+def with_contexts(cases: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Cases beside the context of their (config, id); cases without one stay, with null. contexts: config, id, captured."""
+    found = contexts.select(F.col("config").alias("_c"), F.col("id").alias("_i"), F.nullif(context_of(F.col("captured")), F.lit("")).alias("context"))
+    return cases.join(found, (F.col("config") == F.col("_c")) & (F.col("id") == F.col("_i")), "left").drop("_c", "_i")

@@ -355,7 +355,8 @@ def number_phrases(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(N.numbers(phrase), F.lit(0)).alias("quantity"))
 
 
-@register()
+@register("""select event_id, ['entity', 'numerical', 'boolean', 'date'][1 + event_id % 4] answer_type, case when event_id % 4 = 2 and event_id % 3 = 0 then 'hallucination' else 'correct' end outcome, 0.0::double em,
+(case event_id % 4 when 0 then 0.5 when 2 then case when event_id % 3 = 0 then 0.0 else 1.0 end else 1.0 end)::double f1, (case when event_id % 4 = 2 and event_id % 3 = 0 then 0.0 else 1.0 end)::double score from events""")
 def scored_answers(spark, sf):
     """Answers of every type through the whole dispatcher."""
     e = t(spark, sf, "events")

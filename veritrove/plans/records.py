@@ -816,3 +816,27 @@ def prewarmed_keys(spark, sf):
     k = F.col("key").cast("int")
     states = s.select("key", F.when(k % 2 == 0, "ok").otherwise("missing").alias("state"))
     return K.prewarm(s, states, lambda keys: keys.select("key", F.when(k % 3 == 0, "failed").otherwise("ok").alias("state")))
+
+
+@register(SCORES_SQL + """, c as (select question_id, config, outcome, case config when 'view' then 0 else 1 end pos from scores where config in ('click', 'view') and att)
+select question_id, config, 'run ' || question_id question, outcome answer, case when config = 'view' then 'about ' || outcome else 'plain ' || outcome end context from c qualify row_number() over (partition by config order by question_id) <= 40""")
+def judge_jobs(spark, sf):
+    """Attempted answers of two configs with their contexts, one config's stored as records, at most 40 of each."""
+    from ..operators import faithfulness as J
+
+    s = scores(spark, sf)
+    stored = F.when(F.col("config") == "view", F.to_json(F.struct(F.concat(F.lit("about "), "outcome").alias("context")))).otherwise(F.concat(F.lit("plain "), "outcome"))
+    entry = lambda c: F.map_from_entries(F.collect_list(F.struct("config", c.alias("v"))))
+    rows = s.groupBy("question_id").agg(entry(F.col("outcome")).alias("answers"), entry(stored).alias("contexts")).withColumn("question", F.concat(F.lit("run "), text("question_id")))
+    return J.judge_jobs(s, rows, ("view", "click"), 40).select("question_id", "config", "question", "answer", "context")
+
+
+@register("select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 'a context' else 'another' end context from labels")
+def case_contexts(spark, sf):
+    """Annotation cases beside the context of their answer: stored as text, as a record, or not at all."""
+    from ..operators import faithfulness as J
+
+    lab, k = t(spark, sf, "labels"), F.col("doc_id") % 3
+    cases = lab.select("doc_id", F.lit("rag").alias("config"), F.col("doc_id").alias("id"))
+    contexts = lab.where("doc_id % 6 <> 0").select(F.lit("rag").alias("config"), F.col("doc_id").alias("id"), F.when(k == 1, "a context").when(k == 2, '{"context": "another", "pool_size": 3}').otherwise('{"pool_size": 0}').alias("captured"))
+    return J.with_contexts(cases, contexts).select("doc_id", "context")
