@@ -15,17 +15,25 @@ INCOMING_CAP = 30
 MOST_ALIASES = 8
 
 
-def windows(text: Column | str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Windows of `size` words that overlap, white space collapsed; the last one is the first that reaches the end."""
-    w, step = words(text), size - overlap
-    n = F.size(w)
+def windows_of(w: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Windows of `size` words that overlap, joined by spaces; the last one is the first that reaches the end.
+
+    w should be a column of its own: an expression would be evaluated anew for each window.
+    """
+    step, n = size - overlap, F.size(w)
     last = F.greatest(F.lit(0), F.ceil((n - size) / step) * step).cast("int")
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
 
 
+def windows(text: Column | str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """The windows of a text, white space collapsed."""
+    return windows_of(words(text), size, overlap)
+
+
 def chunks(articles: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """One row for each window: key, index, n_chunks, text."""
-    w = articles.select(F.col(key).alias("source_entity_id"), *([F.col(title).alias("title")] if title else []), windows(text).alias("_w"))
+    split = articles.select(F.col(key).alias("source_entity_id"), *([F.col(title).alias("title")] if title else []), words(text).alias("_words"))
+    w = split.withColumn("_w", windows_of(F.col("_words"))).drop("_words")
     return w.select(*[c for c in w.columns if c != "_w"], F.size("_w").alias("n_chunks"), F.posexplode("_w").alias("index", "text"))
 
 
