@@ -20,7 +20,8 @@ from veritrove.llm.suffix_array import suffix_array
 from veritrove.llm.tokens import token_files
 from veritrove.llm.toxicity import fit, segments, toxicity
 from veritrove.llm.warc import LoserTree, capture_index, url_key
-from veritrove.llm.words import ALNUM, PLAIN, Words, pack, unpack, windows
+from veritrove.llm import words as W
+from veritrove.llm.words import ALNUM, FOLDED, PLAIN, Words, pack, unpack, windows, word_hashes
 
 ALNUM_WORD = re.compile("[a-z0-9]+")
 rng = random.Random(5)
@@ -190,8 +191,8 @@ def test_license_recall():
             words[r.randrange(len(words))] = f"edit{r.randrange(99)}"
         around = [[f"w{r.randrange(10**6)}" for _ in range(r.randrange(80))] for _ in range(2)]
         texts.append(" ".join(around[0] + words + around[1]))
-    words = Words(pa.array(texts), ALNUM)
-    offsets, shingles = windows(words.hashes()[words.codes], words.offsets, SHINGLE)
+    words_at, hashes = word_hashes(pa.array(texts), ALNUM)
+    offsets, shingles = windows(hashes, words_at, SHINGLE)
     got, wanted = {(t, row) for t, row, a, b in retrieved(shingles, offsets, library) if verified(shingles[a:b], library.shingles[t])}, set()
     for size, members in library.classes:
         for start, row in zip(*(x.tolist() for x in blocks(offsets, size)[:2]), strict=True):
@@ -442,6 +443,19 @@ def brute_clean(rows, items):
     return {i for i, t in rows if not any(tuple(w[k : k + n]) in found for w in [words(t)] for n, found in windows_of.items() for k in range(len(w) - n + 1))}
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, in whatever piece and case; different ones differ."""
+    r = random.Random(4)
+    texts = [None, "", *(" ".join(r.choice(["a", "Ab", "aB", "ba", "x" * 90, "x" * 91, "é", "z\0"]) for _ in range(r.randrange(40))) for _ in range(50))]
+    for most in (W.HASH_BYTES, 64):
+        monkeypatch.setattr(W, "HASH_BYTES", most)
+        W._powers.cache_clear()
+        for of in (PLAIN, FOLDED, ALNUM):
+            words, (offsets, hashes) = Words(pa.array(texts), of), word_hashes(pa.array(texts), of)
+            assert offsets.tolist() == words.offsets.tolist() and len(set(zip(words.codes.tolist(), hashes.tolist(), strict=True))) == len(set(words.codes.tolist())) == len(set(hashes.tolist()))
+    W._powers.cache_clear()
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage against brute force on what the one before kept, on the smallest tables and on an empty one."""
     sf = "/root/testdata/sf0.001"

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import discard, sliced, stored, volume
-from .words import FOLDED, Words, distinct, mix, pack, pack_runs, text_bytes, unpack, unpack_runs, windows
+from .words import FOLDED, distinct, mix, pack, pack_runs, text_bytes, unpack, unpack_runs, windows, word_hashes
 
 SHINGLE = 5
 #: Similarity t as a fraction.
@@ -54,8 +54,8 @@ LOW = np.uint64((1 << 40) - 1)
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, sorted distinct shingle hashes) of each text."""
-    words = Words(texts, FOLDED)
-    return distinct(*windows(words.hashes()[words.codes] if len(words) else np.zeros(0, np.uint64), words.offsets, k))
+    offsets, hashes = word_hashes(texts, FOLDED)
+    return distinct(*windows(hashes, offsets, k))
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import annotate
-from .words import ALNUM, Words, mix, windows
+from .words import ALNUM, mix, windows, word_hashes
 
 SHINGLE = 2
 BANDS, ROWS = 32, 2
@@ -70,9 +70,9 @@ class Library:
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = sorted(templates)
-        words = Words(pa.array([templates[n] for n in self.names], pa.string()), ALNUM)
-        offsets, shingles = windows(words.hashes()[words.codes] if len(words) else np.zeros(0, np.uint64), words.offsets, SHINGLE)
-        self.words = words.counts()
+        words_at, hashes = word_hashes(pa.array([templates[n] for n in self.names], pa.string()), ALNUM)
+        offsets, shingles = windows(hashes, words_at, SHINGLE)
+        self.words = np.diff(words_at)
         self.shingles = [np.unique(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         self.factors = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(BANDS, ROWS) | np.uint32(1)
         #: (shingles of a block, templates) of each class, the longest first.
@@ -146,9 +146,11 @@ def verified(part: np.ndarray, wanted: np.ndarray) -> tuple[float, int, int] | N
     return (share, p, int(inside[-1])) if share >= CONTAINMENT else None
 
 
-def matches(words: Words, library: Library) -> list[tuple[int, int, int, int, float]]:
+def matches(texts: pa.Array, library: Library) -> list[tuple[int, int, int, int, float]]:
     """(row, first word, last word + 1, template, containment) of verified templates, the best of overlapping ones."""
-    offsets, shingles = windows(words.hashes()[words.codes] if len(words) else np.zeros(0, np.uint64), words.offsets, SHINGLE)
+    words_at, hashes = word_hashes(texts, ALNUM)
+    offsets, shingles = windows(hashes, words_at, SHINGLE)
+    n_words = np.diff(words_at)
     found: dict[tuple[int, int, int], tuple[float, int]] = {}
     for t, row, begin, end in retrieved(shingles, offsets, library):
         if hit := verified(shingles[begin:end], library.shingles[t]):
@@ -156,7 +158,7 @@ def matches(words: Words, library: Library) -> list[tuple[int, int, int, int, fl
             at = begin - int(offsets[row])
             known = found.get((row, at + first, t))
             if known is None or share > known[0]:
-                found[(row, at + first, t)] = (share, min(at + last + SHINGLE, int(words.counts()[row])))
+                found[(row, at + first, t)] = (share, min(at + last + SHINGLE, int(n_words[row])))
     kept: dict[int, list[tuple[int, int, int, int, float]]] = {}
     best_first = lambda f: (-f[1][0], -int(library.words[f[0][2]]), library.names[f[0][2]], f[0][1])
     for (row, start, t), (share, stop) in sorted(found.items(), key=best_first):
@@ -178,7 +180,7 @@ def license_scan(documents: DataFrame, keep: list[str] | None = None, text_colum
 
         def f(texts):
             rows: list[list] = [[] for _ in range(len(texts))]
-            for row, a, b, t, share in matches(Words(texts, ALNUM), library):
+            for row, a, b, t, share in matches(texts, library):
                 rows[row].append({"license": library.names[t], "start": a, "stop": b, "containment": share})
             return [rows]
 

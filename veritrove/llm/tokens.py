@@ -63,6 +63,10 @@ PARTING = "<|startoftext|>"
 #: ASCII marks but the apostrophe, which begins endings like 's.
 MARKS = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum() and c != 39])
 PLAIN_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: The last letter up to which lower-case letters are composed, so that the normaliser leaves words of them as they are.
+PLAIN_MOST = "\u017f"
+#: Words on which the model without normaliser and patterns must agree with the whole one, or it isn't used.
+PROBES = ("a", "the", "tokenizer", "unverständlich", "garçon", "ñandú", "œuvre", "zzzzqxj", "ſtraße")
 #: Marks at a word's end that are looked at; a word with more stays whole.
 MOST_MARKS = 16
 
@@ -111,9 +115,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.parting = self.tokenizer.token_to_id(PARTING)
         self.cache: dict[bytes, bytes] = {}
+        # The same model without normaliser and patterns, for words that these leave whole.
+        self.lean, self.ends = None, np.zeros(0, bool)
+        parts = json.loads(tokenizer_json)
+        suffix = parts["model"].get("end_of_word_suffix")
+        if suffix:
+            lean = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+                {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}))
+            if all(lean.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES):
+                vocabulary = parts["model"]["vocab"]
+                self.lean, self.ends = lean, np.zeros(max(vocabulary.values()) + 1, bool)
+                self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def leanly(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lower-case letters: a word's last token, and no other, ends one."""
+        texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.lean.encode_batch_fast(texts, add_special_tokens=False)])
+        data, ends = flat.tobytes(), np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word has no token that ends it")
+        return [data[a:b] for a, b in zip((4 * np.append(0, ends[:-1])).tolist(), (4 * ends).tolist(), strict=True)]
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, encoded many at a time with a special token between them where there is one."""
+        """The ids of each word: plain ones by the lean model, others many at a time with a special token between them where there is one."""
+        if self.lean is not None:
+            text = [w.decode("utf-8", "replace") for w in words]
+            plain = [t.isalpha() and max(t) <= PLAIN_MOST and t == t.lower() for t in text]
+            usual = iter(self.leanly([t for t, p in zip(text, plain, strict=True) if p]) if any(plain) else ())
+            odd = [w for w, p in zip(words, plain, strict=True) if not p]
+            others = iter(self.fully(odd) if odd else ())
+            return [next(usual) if p else next(others) for p in plain]
+        return self.fully(words)
+
+    def fully(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word by the whole tokenizer."""
         if self.parting is None or any(SPECIAL in w for w in words):
             return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         texts = [PARTING.join([w.decode("utf-8", "replace") for w in words[a : a + 1000]]) + PARTING for a in range(0, len(words), 1000)]

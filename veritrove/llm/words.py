@@ -8,6 +8,7 @@ distinct word of a batch.
 from __future__ import annotations
 
 import struct
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -125,6 +126,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words are hashed in pieces of texts of so many bytes; a longer word by itself.
+HASH_BYTES = 1 << 20
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+@cache
+def _powers() -> np.ndarray:
+    p = np.full(HASH_BYTES + 1, _FACTOR)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def word_hashes(column, of: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of rows, a 64-bit hash of each word), without a table of the distinct ones.
+
+    A word's bytes stand for random numbers and are the coefficients of a
+    polynomial modulo 2^64; running sums give all words of a piece at once.
+    """
+    off, raw = text_bytes(column)
+    starts, ends = word_bounds(off, of.inside[raw])
+    table, powers = mix(np.arange(1, 257, dtype=np.uint64))[of.folded], _powers()
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + HASH_BYTES, "right"))
+        if j == i:
+            out[i] = xxhash.xxh3_64_intdigest(of.folded[raw[a : ends[i]]].tobytes())
+            i += 1
+            continue
+        b = int(ends[j - 1])
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(table[raw[a:b]] * powers[: b - a], out=sums[1:])
+        first = starts[i:j] - a
+        out[i:j] = (sums[ends[i:j] - a] - sums[first]) * powers[HASH_BYTES - first]
+        i = j
+    return np.searchsorted(starts, off), mix(out)
+
+
 def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of k values, and of the whole row where it has fewer.
 
