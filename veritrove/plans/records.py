@@ -10,7 +10,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entities as E
@@ -840,3 +841,108 @@ def case_contexts(spark, sf):
     cases = lab.select("doc_id", F.lit("rag").alias("config"), F.col("doc_id").alias("id"))
     contexts = lab.where("doc_id % 6 <> 0").select(F.lit("rag").alias("config"), F.col("doc_id").alias("id"), F.when(k == 1, "a context").when(k == 2, '{"context": "another", "pool_size": 3}').otherwise('{"pool_size": 0}').alias("captured"))
     return J.with_contexts(cases, contexts).select("doc_id", "context")
+
+
+# Services, sinks and requests once more.
+
+
+def _graph_service(query: str) -> dict:
+    k = int(query)
+    cells = [{"st": {"value": f"{k}-{j}"}, **({"label": {"value": f"n{k}"}} if k % 2 == 0 else {})} for j in range(k % 3)]
+    return {"results": {"bindings": cells}}
+
+
+@register("select n_nationkey k, n_nationkey || '-' || j st, case when n_nationkey % 2 = 0 then 'n' || n_nationkey end \"label\" from nation, range(3) x(j) where j < n_nationkey % 3")
+def graph_rows(spark, sf):
+    """Rows of a graph service for every key; cells that a row lacks are null."""
+    from ..sources import connectors as K
+
+    def fetch(batches):
+        for pdf in batches:
+            rows = [(k, r["st"], r.get("label")) for k in pdf["k"] for r in K.graph_bindings(_graph_service, str(k), 2)]
+            yield type(pdf)(rows, columns=["k", "st", "label"])
+
+    return t(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).mapInPandas(fetch, "k bigint, st string, label string").withColumn("k", F.col("k").cast("int"))
+
+
+@register(SCORES_SQL + "select count(distinct question_id) n_results, count(*) filter (att) n_judged from scores")
+def cross_checked_run(spark, sf):
+    """Results, golds and judge records that must agree; any breach would fail."""
+    s = scores(spark, sf)
+    ids = s.select(text("question_id").alias("id")).distinct()
+    own = s.withColumn("question_id", text("question_id"))
+    judged_rows = own.where(T.is_attempted("outcome")).select(F.col("question_id").alias("id"), "config", "outcome")
+    results = ids.withColumn("errors", F.create_map().cast("map<string,string>"))
+    readers.cross_checked(results, ids, judged_rows, tuple(r.config for r in s.select("config").distinct().collect()), own)
+    return results.agg(F.count(F.lit(1)).alias("n_results")).crossJoin(F.broadcast(judged_rows.agg(F.count(F.lit(1)).alias("n_judged"))))
+
+
+@register("select o_orderkey id, o_orderstatus status from orders")
+def final_results(spark, sf):
+    """Results written in the order of the questions and read again."""
+    path = scratch(spark, "results")
+    sinks.write_results(t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("pos")), path)
+    return spark.read.schema("id bigint, status string").json(path)
+
+
+@register("""select p_partkey, case p_size % 6 when 0 then 'question is missing' when 1 then 'question is longer than 500 characters' when 2 then 'unknown config' when 3 then 'an entity''s key is malformed' when 4 then 'entities must be a list of at most 20' end fault from part""")
+def request_faults(spark, sf):
+    """Requests with every fault, and without one."""
+    from pyspark.sql.functions import pandas_udf
+
+    def bodies(k: int) -> object:
+        m, entity = k % 6, {"qid": "Q12"}
+        return {"question": " " if m == 0 else "x" * 501 if m == 1 else "Who?", "config": "none" if m == 2 else "rag", "entities": [{"qid": "12"}] if m == 3 else [entity] * (21 if m == 4 else 2)}
+
+    @pandas_udf("string")
+    def fault(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda k: C.request_fault(bodies(int(k)), ("rag",)))
+
+    return t(spark, sf, "part").select("p_partkey", fault("p_size").alias("fault"))
+
+
+def _failing_model(prompt: str) -> str:
+    if prompt.endswith("0"):
+        raise ValueError("no such model")
+    if prompt.endswith("5"):
+        raise P.IncompleteRetrieval("503 while fetching")
+    return f"said {prompt}"
+
+
+@register("""select s_suppkey, case when s_suppkey % 5 <> 0 then 'said ' || s_suppkey end answer, case when s_suppkey % 10 = 0 then 'ValueError' when s_suppkey % 5 = 0 then 'IncompleteRetrieval' end error_type, case when s_suppkey % 5 = 0 then 1 end attempts from supplier""")
+def failed_calls(spark, sf):
+    """Calls that fail in ways that another attempt can't mend: exactly one of answer and error is set."""
+    rows = P.completed(t(spark, sf, "supplier").select("s_suppkey", text("s_suppkey").alias("prompt")), "prompt", _failing_model)
+    return rows.select("s_suppkey", "answer", F.col("error.type").alias("error_type"), F.col("error.attempts").alias("attempts"))
+
+
+@register("""with m as (select n_nationkey k, n_name, case when n_nationkey % 5 = 4 then n_nationkey - 1 end r from nation)
+select a.k qid, coalesce(b.n_name, a.n_name) "label", case when b.k is not null then 'nation ' || b.k else 'nation ' || a.k end description, a.r redirect from m a left join m b on a.r = b.k""")
+def redirected_meta(spark, sf):
+    """Names and descriptions of entities, some of which lead to another."""
+    n, k = t(spark, sf, "nation"), F.col("n_nationkey")
+    rows = n.select(k.alias("qid"), F.col("n_name").alias("label"), F.concat(F.lit("nation "), text("n_nationkey")).alias("description"), F.lower("n_name").alias("alias"), F.when(k % 5 == 4, k - 1).alias("redirect"))
+    return R.entity_meta(rows.unionByName(rows)).select("qid", "label", "description", "redirect")
+
+
+@register("""select p_partkey statement_id, case when p_size % 2 = 0 then 1 else 2 end n_qualifiers from part where p_size % 3 <> 0 and p_size % 5 <> 0""")
+def unresolved_labels(spark, sf):
+    """Statements without a readable property or value go, and so do qualifiers whose property is only a number."""
+    p, m = t(spark, sf, "part"), F.col("p_size")
+    null = F.lit(None).cast("string")
+    value = lambda label: F.struct(F.lit("value").alias("snaktype"), F.lit("String").alias("datatype"), null.alias("id"), label.alias("label"), null.alias("raw"), null.alias("unit"), F.lit(None).cast("int").alias("precision"))
+    rows = p.select(
+        F.col("p_partkey").alias("statement_id"), F.lit("s").alias("subject_id"), F.col("p_brand").alias("subject_label"), F.lit("P1").alias("property_id"), F.when(m % 3 == 0, "").otherwise("made of").alias("property_label"),
+        value(F.when(m % 5 != 0, F.col("p_name"))).alias("value"), F.lit("normal").alias("rank"), F.lit("outgoing").alias("direction"), F.lit("s").alias("source_entity_id"),
+        F.explode(F.array(
+            F.struct(F.lit("P2").alias("property_id"), F.lit("colour").alias("property_label"), value(F.lit("red")).alias("value")),
+            F.struct(F.lit("P3").alias("property_id"), F.when(m % 2 == 0, "P3").otherwise("size").alias("property_label"), value(F.lit("big")).alias("value")))).alias("qualifier"))
+    return R.fold_statements(rows).select("statement_id", F.size("qualifiers").alias("n_qualifiers"))
+
+
+@register("""select o_orderkey, case o_orderkey % 6 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y-%m') when 2 then year(o_orderdate)::varchar when 3 then year(o_orderdate) || 's' when 4 then 'circa ' || year(o_orderdate) else '-' || strftime(o_orderdate, '%Y-%m') end shown from orders""")
+def tidy_times(spark, sf):
+    """Times as far as their precision goes: day, month, year, decade, less, and a month before our era."""
+    k = F.col("o_orderkey") % 6
+    written = F.concat(F.when(k == 5, "-").otherwise("+"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    return t(spark, sf, "orders").select("o_orderkey", S.tidy_time(written, F.element_at(F.array(*[F.lit(p) for p in (11, 10, 9, 8, 7, 10)]), (k + 1).cast("int"))).alias("shown"))
