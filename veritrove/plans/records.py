@@ -306,12 +306,12 @@ def consistent_records(spark, sf):
     return C.consistent(j, scores(spark, sf).where("question_id % 10 <> 3")).withColumn("mismatches", F.col("mismatches").cast("int"))
 
 
-@register("select o_orderkey id, case when o_orderkey % 5 = 0 then null else 1 end n_a, case when o_orderkey % 5 = 1 then null when o_orderkey % 5 = 2 then 2 else 1 end n_b from orders where o_orderkey % 5 in (0, 1, 2)")
+@register("select o_orderkey id, case when o_orderkey % 5 = 0 then 0 else 1 end n_a, case when o_orderkey % 5 = 1 then 0 when o_orderkey % 5 = 2 then 2 else 1 end n_b from orders where o_orderkey % 5 in (0, 1, 2)")
 def different_ids(spark, sf):
     """Ids that one run lacks, or has twice."""
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     b = o.where("id % 5 <> 1")
-    return C.different_ids(o.where("id % 5 <> 0"), b.unionByName(b.where("id % 5 = 2"))).select("id", F.col("n_a").cast("int").alias("n_a"), F.col("n_b").cast("int").alias("n_b"))
+    return C.different_ids(o.where("id % 5 <> 0"), b.unionByName(b.where("id % 5 = 2"))).select("id", *[F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in ("n_a", "n_b")])
 
 
 @register("select s_suppkey, n_name from supplier join nation on n_nationkey = s_nationkey")
@@ -909,20 +909,20 @@ def _failing_model(prompt: str) -> str:
     return f"said {prompt}"
 
 
-@register("""select s_suppkey, case when s_suppkey % 5 <> 0 then 'said ' || s_suppkey end answer, case when s_suppkey % 10 = 0 then 'ValueError' when s_suppkey % 5 = 0 then 'IncompleteRetrieval' end error_type, case when s_suppkey % 5 = 0 then 1 end attempts from supplier""")
+@register("""select s_suppkey, case when s_suppkey % 5 <> 0 then 'said ' || s_suppkey end answer, case when s_suppkey % 10 = 0 then 'ValueError' when s_suppkey % 5 = 0 then 'IncompleteRetrieval' end error_type, case when s_suppkey % 5 = 0 then 1 else 0 end attempts from supplier""")
 def failed_calls(spark, sf):
     """Calls that fail in ways that another attempt can't mend: exactly one of answer and error is set."""
     rows = P.completed(t(spark, sf, "supplier").select("s_suppkey", text("s_suppkey").alias("prompt")), "prompt", _failing_model)
-    return rows.select("s_suppkey", "answer", F.col("error.type").alias("error_type"), F.col("error.attempts").alias("attempts"))
+    return rows.select("s_suppkey", "answer", F.col("error.type").alias("error_type"), F.coalesce("error.attempts", F.lit(0)).alias("attempts"))
 
 
 @register("""with m as (select n_nationkey k, n_name, case when n_nationkey % 5 = 4 then n_nationkey - 1 end r from nation)
-select a.k qid, coalesce(b.n_name, a.n_name) "label", case when b.k is not null then 'nation ' || b.k else 'nation ' || a.k end description, a.r redirect from m a left join m b on a.r = b.k""")
+select a.k qid, coalesce(b.n_name, a.n_name) "label", case when b.k is not null then 'nation ' || b.k else 'nation ' || a.k end description, coalesce(a.r, -1) redirect from m a left join m b on a.r = b.k""")
 def redirected_meta(spark, sf):
     """Names and descriptions of entities, some of which lead to another."""
     n, k = t(spark, sf, "nation"), F.col("n_nationkey")
     rows = n.select(k.alias("qid"), F.col("n_name").alias("label"), F.concat(F.lit("nation "), text("n_nationkey")).alias("description"), F.lower("n_name").alias("alias"), F.when(k % 5 == 4, k - 1).alias("redirect"))
-    return R.entity_meta(rows.unionByName(rows)).select("qid", "label", "description", "redirect")
+    return R.entity_meta(rows.unionByName(rows)).select("qid", "label", "description", F.coalesce("redirect", F.lit(-1)).alias("redirect"))
 
 
 @register("""select p_partkey statement_id, case when p_size % 2 = 0 then 1 else 2 end n_qualifiers from part where p_size % 3 <> 0 and p_size % 5 <> 0""")
