@@ -85,6 +85,29 @@ def test_jaccard_links_inside_a_group(spark):
     assert got == {i: (1 if i == 2 else i, i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_random_groups(spark, seed):
+    """Texts of few passages and tails, edited or not, inside longer texts that make their shingles frequent, against all pairs."""
+    r = random.Random(seed)
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passages, tails = [words(f"p{k}x", r.randrange(12, 45)) for k in range(3)], [words(f"t{k}x", r.randrange(5, 60)) for k in range(6)]
+    rows = []
+    for i in range(70):
+        t = [*r.choice(passages), *r.choice(tails), *(r.choice(tails)[: r.randrange(12)])]
+        for _ in range(r.choice([0, 0, 1, 3])):
+            t[r.randrange(len(t))] = f"e{r.randrange(30)}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join([*r.choice(passages)[-6:], *r.choice(tails), *words(f"own{i}x", 150)])) for i in range(25)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets} and len(set(label.values())) < len(rows) - 5
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5), (None, 3), (100, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
