@@ -146,6 +146,7 @@ def word_hashes(column, of: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """
     off, raw = text_bytes(column)
     starts, ends = word_bounds(off, of.inside[raw])
+    rows = np.searchsorted(starts, off)
     table, powers = mix(np.arange(1, 257, dtype=np.uint64))[of.folded], _powers()
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
@@ -161,7 +162,8 @@ def word_hashes(column, of: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:
         first = starts[i:j] - a
         out[i:j] = (sums[ends[i:j] - a] - sums[first]) * powers[HASH_BYTES - first]
         i = j
-    return np.searchsorted(starts, off), mix(out)
+    del starts, ends
+    return rows, mix(out)
 
 
 def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
