@@ -93,4 +93,23 @@ select doc_id, size, source_size, target, taken,
   case when taken > 0 then list_transform([case when want > 0 then least(1.0::double, place::double / want) else 0.0::double end], lambda u: 2 * u / (a + sqrt(greatest(a * a - 4 * slope * u, 0))))[1] end "position",
   list_transform(list_transform(range(0, copies), lambda k: case when want > 0 then least(1.0::double, (place + k * source_size)::double / want) else 0.0::double end), lambda u: 2 * u / (a + sqrt(greatest(a * a - 4 * slope * u, 0)))) positions from e"""
 
-ORACLE_SQL = {"op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}
+AUDIT = f"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(source, '') part from documents),
+w as (select *, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') w, coalesce(min(doc_id) over (partition by t) < doc_id, false) is_copy from d),
+f as (select doc_id, part, {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': is_copy}} f from w),
+y as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by 1),
+m as (select part, f, count(*) n, count(*) filter (where good) good, count(*) filter (where toxic) toxic from f left join y using (doc_id) group by part, f),
+v as (select part, unnest([('A', f.A), ('B', f.B), ('C', f.C), ('D', f.D), ('E', f.E)]) x, f, n, good, toxic from m),
+k as (select part, f, any_value(n) n, any_value(good) good, any_value(toxic) toxic, list(x[1]) filter (where x[2]) bad from v group by part, f),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) l),
+o as (select a.l || b.l || c.l || d.l || e.l filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s as (select filter_order, unnest(range(1, 6))::int step from o),
+x as (select part, filter_order, step, n, good, toxic, coalesce(list_contains(bad, filter_order[step]), false) fails, len(coalesce(bad, [])) n_bad,
+  len(list_filter(coalesce(bad, []), lambda b: contains(filter_order[1:step - 1], b))) > 0 gone from k, s)
+select part, filter_order, step, coalesce(sum(n) filter (where not fails and not gone), 0)::bigint kept, coalesce(sum(n) filter (where fails and not gone), 0)::bigint removed,
+  coalesce(sum(n) filter (where fails and gone), 0)::bigint redundant, coalesce(sum(n) filter (where fails and n_bad = 1), 0)::bigint unique_fails,
+  coalesce(sum(good) filter (where fails and not gone), 0)::bigint good_lost, coalesce(sum(toxic) filter (where fails and not gone), 0)::bigint toxic_lost,
+  sum(coalesce(sum(n) filter (where fails and not gone), 0)) over (partition by part, filter_order[step])::bigint shapley from x group by part, filter_order, step"""
+
+ORACLE_SQL = {"op12_filter_audit": AUDIT, "op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}

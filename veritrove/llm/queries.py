@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination, items_digest
+from .filter_audit import filter_audit
 from .jaccard_join import near_duplicates
 from .licenses import license_scan
 from .mixing import mixed
@@ -106,6 +107,11 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, for every source."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor, op12_filter_audit)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "word_vocabulary"]
