@@ -112,4 +112,21 @@ select part, filter_order, step, coalesce(sum(n) filter (where not fails and not
   coalesce(sum(good) filter (where fails and not gone), 0)::bigint good_lost, coalesce(sum(toxic) filter (where fails and not gone), 0)::bigint toxic_lost,
   sum(coalesce(sum(n) filter (where fails and not gone), 0)) over (partition by part, filter_order[step])::bigint shapley from x group by part, filter_order, step"""
 
-ORACLE_SQL = {"op12_filter_audit": AUDIT, "op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}
+TRIE = f"""
+with t as (select conv_id c, turn, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) m,
+  len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> ''))::bigint words from conversations where conv_id is not null),
+o as (select c, m, words, row_number() over (partition by c order by turn nulls first, m) p, count(*) over (partition by c) n from t),
+h as (select distinct c, n, c - c % 20 b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)), 4294967295) % 4 h from o),
+u as (select h.c, o.p d, o.m, o.words from h join o on o.c = h.b and o.p <= h.h
+  union all select h.c, least(h.h, coalesce(b.n, 0)) + o.p - h.h, o.m, o.words from h join o on o.c = h.c and o.p > h.h left join h b on b.c = h.b),
+k as (select c, d, words, string_agg(m, '') over (partition by c order by d) k, coalesce(string_agg(m, '') over (partition by c order by d rows between unbounded preceding and 1 preceding), '') pk from u
+  union all select c, 0, 0, '', null from h),
+e as (select k, sha256(string_agg(c::varchar, ',' order by c)) ends from (select c, max(d) d from k group by c) join k using (c, d) group by k),
+v as (select d depth, k, any_value(pk) pk, min(c) conv_id, count(*) n_convs, any_value(words) words from k group by d, k),
+n as (select v.*, (select count(*) from v w where w.pk = v.k) n_children from v),
+s as (select k.k, sum((n.n_convs - 1) * n.words) saved_tokens, count(*) filter (where n.n_children = 0) n_leaves from n join k on k.c = n.conv_id and k.d <= n.depth group by k.k)
+select n.conv_id, n.depth, p.conv_id parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::bigint saved_tokens, coalesce(e.ends, sha256('')) ends_sha256
+from n join s using (k) left join n p on p.k = n.pk left join e using (k)"""
+
+ORACLE_SQL = {"op11_prefix_trie": TRIE, "op12_filter_audit": AUDIT, "op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}

@@ -14,6 +14,7 @@ from .licenses import license_scan
 from .mixing import mixed
 from .oracles import ORACLE_SQL
 from .pitman_yor import language_scores
+from .prefix_trie import prefix_trie
 from .quality import quality
 from .shared import table
 from .suffix_dedup import without_repeats
@@ -107,11 +108,16 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in every order, for every source."""
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor, op12_filter_audit)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor, op11_prefix_trie, op12_filter_audit)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "word_vocabulary"]
