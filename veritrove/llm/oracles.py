@@ -129,4 +129,6 @@ s as (select k.k, sum((n.n_convs - 1) * n.words) saved_tokens, count(*) filter (
 select n.conv_id, n.depth, p.conv_id parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::bigint saved_tokens, coalesce(e.ends, sha256('')) ends_sha256
 from n join s using (k) left join n p on p.k = n.pk left join e using (k)"""
 
-ORACLE_SQL = {"op11_prefix_trie": TRIE, "op12_filter_audit": AUDIT, "op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}
+NEAR_COPIES = JACCARD.replace(">= 75 *", ">= 85 *").replace("c.component_id from d", "c.component_id, c.component_id = d.doc_id kept from d")
+
+ORACLE_SQL = {"op13_minhash_dedup": NEAR_COPIES, "op11_prefix_trie": TRIE, "op12_filter_audit": AUDIT, "op3_suffix_dedup": SUFFIXES, "op7_source_mixing": MIXING, "op1_jaccard_join": JACCARD, "op2_quality_rules": quality_sql(), "op5_warc_index": WARC, "op9_decontamination": DECONTAMINATION}

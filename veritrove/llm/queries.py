@@ -11,6 +11,7 @@ from .decontamination import contamination, items_digest
 from .filter_audit import filter_audit
 from .jaccard_join import near_duplicates
 from .licenses import license_scan
+from .minhash import near_copies
 from .mixing import mixed
 from .oracles import ORACLE_SQL
 from .pitman_yor import language_scores
@@ -118,6 +119,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor, op11_prefix_trie, op12_filter_audit)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles, component of near copies, and whether it stays."""
+    found = near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_quality_rules, op3_suffix_dedup, op4_token_files, op5_warc_index, op6_license_scan, op7_source_mixing, op8_toxicity, op9_decontamination, op10_pitman_yor, op11_prefix_trie, op12_filter_audit, op13_minhash_dedup)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "word_vocabulary"]
