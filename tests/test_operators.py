@@ -194,8 +194,6 @@ def test_sinks(spark, tmp_path):
     assert [r.answer for r in sinks.finished(q, done, fresh).collect()] == ["y", "x", "z"]
     with pytest.raises(ValueError):
         sinks.resume(q, done.unionByName(done))
-    sinks.write_cache(done, str(tmp_path / "cache"), "id", 4)
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
     assert sinks.fmt_p(0.0) == "<.001" and "| b | x |" in sinks.markdown(done)
     assert {r.id: r.answer for r in sinks.overlay(done, fresh.unionByName(spark.createDataFrame([("b", "d")], "id string, answer string")), "id", "answer").collect()} == {"a": "y", "b": "x", "c": "z"}
 

@@ -24,7 +24,7 @@ from ..operators import retrieval as R
 from ..operators import scoring as G
 from ..operators import sections as X
 from ..operators import stats as Q
-from ..sources import readers, sinks
+from ..sources import cache, readers, sinks
 from . import pipelines as P
 from .catalog import JUDGED_SQL, NORM_SQL, SCORES_SQL, judged, register, rounded, scores, t
 
@@ -211,10 +211,55 @@ def cache_overlay(spark, sf):
     """A frozen cache over a demo one, both written by key and read again."""
     p = t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("value"))
     frozen, demo = scratch(spark, "frozen"), scratch(spark, "demo")
-    sinks.write_cache(p.where("p_partkey % 3 <> 2"), frozen, "p_partkey", 4)
-    sinks.write_cache(p.where("p_partkey % 3 <> 0").withColumn("value", F.concat("value", F.lit("!"))), demo, "p_partkey", 4)
-    both = sinks.overlay(spark.read.parquet(frozen), spark.read.parquet(demo), "p_partkey", "value")
-    return both.select("p_partkey", pick(F.col("p_partkey"), "frozen", "both", "demo").alias("origin"), "value")
+    cache.upsert(p.where("p_partkey % 3 <> 2"), frozen, "p_partkey", 4)
+    cache.upsert(p.where("p_partkey % 3 <> 0").withColumn("value", F.concat("value", F.lit("!"))), demo, "p_partkey", 4)
+    f, d = cache.entries(spark, frozen), cache.entries(spark, demo)
+    origin = f.select("p_partkey", F.lit(1).alias("n")).unionByName(d.select("p_partkey", F.lit(2).alias("n"))).groupBy("p_partkey").agg(F.sum("n").alias("n"))
+    return sinks.overlay(f, d, "p_partkey", "value").join(origin, "p_partkey").select("p_partkey", pick(F.col("n") - 1, "frozen", "demo", "both").alias("origin"), "value")
+
+
+CACHED_PARTS = """with c as (select p_partkey, case when p_size % 11 = 0 then p_type when p_size % 3 = 0 then upper(p_name) else p_name end "value", case when p_size % 11 = 0 then 3 when p_size % 3 = 0 then 2 else 1 end "round"
+from part where p_size % 11 = 0 or (p_size % 7 <> 0 and (p_size % 3 = 0 or p_size <= 40)))"""
+
+
+def cached_parts(spark, sf) -> str:
+    """A cache of parts written in three rounds: most parts, new and changed ones, removed and changed ones, with a compaction between."""
+    p, path = t(spark, sf, "part"), scratch(spark, "parts")
+    entry = lambda value, n: (F.col("p_partkey"), value.alias("value"), F.lit(n).alias("round"))
+    cache.upsert(p.where("p_size <= 40").select(*entry(F.col("p_name"), 1)), path, "p_partkey", 8)
+    cache.upsert(p.where("p_size % 3 = 0").select(*entry(F.upper("p_name"), 2)), path, "p_partkey")
+    cache.compact(spark, path)
+    cache.remove(p.where("p_size % 7 = 0"), path, "p_partkey")
+    cache.upsert(p.where("p_size % 11 = 0").select(*entry(F.col("p_type"), 3)), path, "p_partkey")
+    return path
+
+
+@register(CACHED_PARTS + " select * from c")
+def cache_rounds(spark, sf):
+    """Every entry of a cache after three rounds of writing."""
+    return cache.entries(spark, cached_parts(spark, sf))
+
+
+@register(CACHED_PARTS + """ select k.p_partkey, coalesce("round"::varchar, 'missing') state from (select distinct l_partkey p_partkey from lineitem where l_quantity > 48) k left join c using (p_partkey)""")
+def cache_lookup(spark, sf):
+    """The states of wanted keys in a cache of three rounds."""
+    keys = t(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return cache.states(spark, cached_parts(spark, sf), keys, text("round"))
+
+
+@register("""select s_suppkey, case when s_suppkey % 4 = 0 then 'old' else 'fetched' end origin, s_name || case when s_suppkey % 4 = 0 then '?' else '' end "value" from supplier where s_suppkey % 4 = 0 or s_acctbal > 0 and s_suppkey % 3 = 0
+union all select s_suppkey, 'other', s_name from supplier where s_suppkey % 4 <> 0 and s_suppkey % 3 <> 0 and s_suppkey % 5 = 0""")
+def read_through_cache(spark, sf):
+    """Suppliers through a cache that has some of them and entries of others: those that are missing are fetched, some can't be, and all of the cache is read at the end."""
+    from ..sources import connectors as K
+
+    s, path = t(spark, sf, "supplier"), scratch(spark, "through")
+    entry = lambda origin, value: (F.col("s_suppkey"), F.lit(origin).alias("origin"), value.alias("value"))
+    k = F.col("s_suppkey")
+    old = s.where(k % 4 == 0).select(*entry("old", F.concat("s_name", F.lit("?"))))
+    cache.upsert(old.unionByName(s.where((k % 4 != 0) & (k % 3 != 0) & (k % 5 == 0)).select(*entry("other", F.col("s_name")))), path, "s_suppkey", 4)
+    K.through_cache(s.where((k % 3 == 0) | (k % 4 == 0)), path, lambda keys: s.join(keys, "s_suppkey").where("s_acctbal > 0").select(*entry("fetched", F.col("s_name"))), "s_suppkey")
+    return cache.entries(spark, path)
 
 
 @register("select o_orderkey id, o_orderkey % 4 = 0 was_done, o_totalprice from orders")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from . import cache
 from .bindings import with_retries
 
 OK, ABSENT, UNKNOWN = "ok", "absent", "unknown"
@@ -107,6 +108,22 @@ def read_through_statements(keys: DataFrame, cached: DataFrame, graph: DataFrame
     return old.unionByName(new, allowMissingColumns=True), whole
 
 
+def through_cache(keys: DataFrame, path: str, fetch: Callable[[DataFrame], DataFrame], key: str = "key", usable: str = "true", strict: bool = False) -> DataFrame:
+    """Entries of keys: usable ones of the keyed cache at path, the rest fetched once, written there and read back.
+
+    fetch makes of a table of keys one of entries, and leaves out what may not
+    be cached; strict fails on keys that have none then. All other entries of
+    the cache stay as they are.
+    """
+    spark, wanted = keys.sparkSession, keys.select(key).where(F.col(key).isNotNull()).distinct()
+    known = cache.entries(spark, path, wanted).where(usable).select(key) if cache.writes(spark, path) else wanted.limit(0)
+    cache.upsert(fetch(wanted.join(known, key, "left_anti")), path, key)
+    found = cache.entries(spark, path, wanted).where(usable)
+    if strict and (left := wanted.join(found.select(key), key, "left_anti").limit(5).collect()):
+        raise IncompleteFetch(f"no entries of {', '.join(str(r[0]) for r in left)}")
+    return found
+
+
 def prewarm(wanted: DataFrame, states: DataFrame, fetch: Callable[[DataFrame], DataFrame], refetch: bool = False) -> DataFrame:
     """Fetches keys that aren't cached, or all with refetch: what fetch makes of them. It must give (key, state, ...)."""
     keys = wanted.select("key").distinct()

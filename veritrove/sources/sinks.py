@@ -1,4 +1,4 @@
-"""Sinks: keyed caches, partial results and resuming, history, annotations."""
+"""Sinks: partial results and resuming, run lifecycle, history, annotations, reports. Keyed caches are in `cache`."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def write_cache(entries: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Entries by key, in folders of a hash of it; the commit is atomic and replaces only the buckets written."""
-    entries.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+from .cache import put_text
 
 
 def append_partial(rows: DataFrame, path: str) -> None:
@@ -97,22 +94,13 @@ def _text(spark: SparkSession, path: str) -> str | None:
     return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
 def start_snapshot(spark: SparkSession, folder: str, settings: dict) -> None:
     """A run's settings, written once at its start; a second start with others is refused."""
     text, there = json.dumps(settings, sort_keys=True), _text(spark, f"{folder}/start.json")
     if there is not None and json.loads(there) != settings:
         raise ValueError("the run has started with other settings")
     if there is None:
-        _write_text(spark, f"{folder}/start.json", text)
+        put_text(spark, f"{folder}/start.json", text)
 
 
 def finalise(spark: SparkSession, folder: str, raw_hash: str, scorer: str, figures: dict) -> list[dict]:
@@ -123,7 +111,7 @@ def finalise(spark: SparkSession, folder: str, raw_hash: str, scorer: str, figur
         raise ValueError("the raw results aren't those that were finalised")
     record = {"raw_hash": raw_hash, "scorer": scorer, "figures": figures}
     records = [*(records[:-1] if records and records[-1]["scorer"] == scorer else records), record]
-    _write_text(spark, f"{folder}/final.json", json.dumps(records, sort_keys=True))
+    put_text(spark, f"{folder}/final.json", json.dumps(records, sort_keys=True))
     return records
 
 
@@ -141,7 +129,7 @@ def write_reports(spark: SparkSession, folder: str, texts: dict[str, str], check
     different = [n for n, t in sorted(texts.items()) if _text(spark, f"{folder}/{n}") != t]
     if not check:
         for n in different:
-            _write_text(spark, f"{folder}/{n}", texts[n])
+            put_text(spark, f"{folder}/{n}", texts[n])
     return different
 
 
