@@ -13,10 +13,13 @@
    buckets, packed. Each key's classes are paired with one pivot, of PIVOTS
    orders by key; pairs beyond the signature distance go, the others are
    confirmed on the full sets of their texts. Then classes that share a key but
-   are not in one component yet are compared, signature by signature, inside
-   tasks: pairs within the distance are confirmed on the full sets. A pair is
-   skipped only where its ends are already connected, so components are those of
-   all links, and a group of copies costs a row for each member.
+   are not in one component yet are open: their shingles are counted, and as one
+   that no other open class has can't be in an intersection, most edited copies
+   can't link any more. The rest are compared, signature by signature, inside
+   tasks: pairs within the distance, with shared shingles enough, are confirmed
+   on the full sets. A pair is skipped only where its ends are already connected
+   or can't link, so components are those of all links, and a group of copies
+   costs a row for each member.
    Where a key has many classes they are dealt to blocks, and pairs of blocks
    to tasks, save pairs within the key's largest component.
 
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jaccard_join import shingle_sets
+from .jaccard_join import document_sets, shingle_sets
 from .shared import discard, sliced, stored
 from .words import mix, pack, pack_runs, text_bytes, unpack, unpack_runs
 
@@ -230,23 +233,37 @@ def confirmed(pairs: DataFrame, documents: DataFrame, sizes: DataFrame, id_colum
     return out
 
 
-def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a key and are within the signature distance.
+def _able(entries: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The entries (key, c, k, n, signature, shared) of classes that can link yet: `shared` of their shingles occur in other open classes too."""
+    wanted = entries.select(F.col("c").alias("_i")).distinct()
+    texts = documents.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    texts = stored(texts.join(wanted, F.col("id") == F.col("_i"), "left_semi"), "open")
+    sets = document_sets(texts, "id", "text")
+    # An id of several texts has the shingles of all of them: no bound for one.
+    rows = classes.groupBy(F.col("class_id").alias("_c")).agg(F.count(F.lit(1)).alias("texts"))
+    shared = sets.select("doc_id", "n", "alone").join(rows, F.col("doc_id") == F.col("_c")).select("doc_id", F.when(F.col("texts") == 1, F.col("n") - F.col("alone")).alias("shared"))
+    able = classes.join(shared, F.col("class_id") == F.col("doc_id")).withColumn("shared", F.coalesce("shared", "n")).where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n"))
+    out = stored(entries.join(able.select("class_id", "n", "signature", "shared"), F.col("c") == F.col("class_id")).select("key", "c", "k", "n", "signature", "shared"), "able")
+    discard(texts, sets)
+    return out
+
+
+def _apart(entries: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a key, are within the signature distance and can link.
 
     A key's largest component has blocks of its own; every other class meets
     all blocks, so each pair of different components meets in one task.
     """
-    sizes = entries.groupBy("key", "k").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "k")).alias("top"))
+    sizes = entries.groupBy("key", "k").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "k")).alias("top")).where(F.col("all") > F.col("top.n"))
     sizes = sizes.select("_key", F.col("top.k").alias("top"), F.ceil(F.col("top.n") / BLOCK_CLASSES).alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_CLASSES).alias("rests"))
     own, hashed = F.col("k") == F.col("top"), F.xxhash64("c")
     block = F.when(own, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("rests")))
     others = F.sequence(F.when(own, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rests") - 1)
-    dealt = entries.join(sizes, F.col("key") == F.col("_key")).select("key", "c", "k", block.alias("own"), F.explode(others).alias("other"))
-    dealt = stored(dealt.select("key", "c", "k", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "dealt")
-    full = dealt.join(classes.select("class_id", "n", "signature"), F.col("c") == F.col("class_id")).select("key", "lo", "hi", "own", "c", "k", "n", "signature")
+    dealt = entries.join(sizes, F.col("key") == F.col("_key")).select("key", "c", "k", "n", "signature", "shared", block.alias("own"), F.explode(others).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "k", "n", "signature", "shared")
 
     def compare(table: pa.Table) -> pa.Table:
-        own, c, k, n = (table[x].to_numpy().astype(np.int64) for x in ("own", "c", "k", "n"))
+        own, c, k, n, shared = (table[x].to_numpy().astype(np.int64) for x in ("own", "c", "k", "n", "shared"))
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         signature = _as_signatures(table["signature"])
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -258,6 +275,7 @@ def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
         for i, start in zip(left.tolist(), after.tolist(), strict=True):
             to = right[start:]
             fits = (k[to] != k[i]) & (DENOMINATOR * np.minimum(n[to], n[i]) >= NUMERATOR * np.maximum(n[to], n[i]))
+            fits &= (NUMERATOR + DENOMINATOR) * np.minimum(shared[to], shared[i]) >= NUMERATOR * (n[to] + n[i])
             to = to[fits]
             for j in range(0, len(to), 4096):
                 some = to[j : j + 4096]
@@ -265,9 +283,7 @@ def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
         found = [(min(x), max(x)) for x in found]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    out = stored(full.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct(), "apart")
-    discard(dealt)
-    return out
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -283,7 +299,8 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     label = components(first).withColumnRenamed("node", "_n")
     labelled = classes.join(label, F.col("class_id") == F.col("_n"), "left").select("class_id", F.coalesce("component", "class_id").alias("component"), "signature")
     entries = stored(meeting(labelled, rows, _open, "key bigint, c bigint, k bigint"), "entries")
-    second = confirmed(_apart(entries, classes), documents, classes, id_column, text_column)
+    able = _able(entries, classes, documents, id_column, text_column)
+    second = confirmed(_apart(able), documents, classes, id_column, text_column)
     # Ids of several texts connect the classes of these.
     named = sets.where("class_key is not null").select("doc_id", "class_key").join(classes.select(F.col("class_key").alias("_key"), "class_id"), F.col("class_key") == F.col("_key"))
     members = stored(named.select("doc_id", "class_id").distinct(), "members")
@@ -292,7 +309,7 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     label = components(first.unionByName(second).unionByName(same)).withColumnRenamed("node", "_n")
     parts = members.join(label, F.col("class_id") == F.col("_n"), "left").groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.coalesce("component", "class_id")).alias("component_id"), F.min("class_id").alias("class_id"))
     out = stored(sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")), "near_copies")
-    discard(sets, classes, star, first, entries, second, members)
+    discard(sets, classes, star, first, entries, able, second, members)
     return out
 
 
