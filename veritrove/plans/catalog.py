@@ -22,6 +22,7 @@ from ..operators import faithfulness as J
 from ..operators import retrieval as R
 from ..operators import stats as Q
 from ..operators.scoring import scored
+from . import draws_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,12 +149,19 @@ def mcnemar_counts(spark, sf):
     return rounded(Q.vs_baseline(scores(spark, sf), "view", "hallucination").drop("p_value"))
 
 
-@register()
+RECURSIVE_SCORES_SQL = SCORES_SQL.replace("with last", "with recursive last", 1)
+INTERVAL_SQL = "n, round(delta, 6) delta, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, round(p_value, 6) p_value, significant"
+
+
+@register(RECURSIVE_SCORES_SQL + f""", x as (select 1 g, question_id o, a.f1 - b.f1 v from scores a join scores b using (question_id) where a.config = 'click' and b.config = 'view'),
+{draws_sql.paired("x", 1000)} select {INTERVAL_SQL} from intervals""")
 def bootstrap_ci(spark, sf):
+    """The interval of a difference, whose draws SQL repeats output by output."""
     return rounded(Q.compare_configs(scores(spark, sf), "click", "view", F.col("f1"), resamples=1000))
 
 
-@register()
+@register(f"""with recursive x as (select toxic = 1 g, doc_id o, quality::double v from labels), {draws_sql.unpaired("x", 500)}
+select n_a, n_b, {INTERVAL_SQL.removeprefix("n, ")} from interval""")
 def bootstrap_unpaired(spark, sf):
     return rounded(Q.unpaired_bootstrap(t(spark, sf, "labels").withColumn("g", F.col("toxic") == 1), "quality", "g", "doc_id", resamples=500))
 

@@ -25,6 +25,7 @@ from ..operators import scoring as G
 from ..operators import sections as X
 from ..operators import stats as Q
 from ..sources import cache, readers, sinks
+from . import draws_sql
 from . import pipelines as P
 from .catalog import JUDGED_SQL, NORM_SQL, SCORES_SQL, judged, register, rounded, scores, t
 
@@ -686,34 +687,43 @@ def mcnemar_exact(spark, sf):
     return rounded(Q.vs_baseline(scores(spark, sf), "view", "hallucination"))
 
 
-@register(AGAINST_SQL + f""", g as (select config, count(*) n, avg(wrong - base_wrong) delta, count(*) filter (wrong < base_wrong) n01, count(*) filter (wrong > base_wrong) n10 from x group by 1)
-select config, n, round(delta, 6) delta, n01, n10, round({EXACT}, 6) mcnemar_p, true inside from g""")
+RECURSIVE_AGAINST_SQL = AGAINST_SQL.replace("with last", "with recursive last", 1)
+LIMITS_SQL = "round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, round(i.p_value, 6) bootstrap_p, significant"
+LIMITS = ("ci_low", "ci_high", "bootstrap_p", "significant")
+
+
+@register(RECURSIVE_AGAINST_SQL + f""", d as (select config g, question_id o, (wrong - base_wrong)::double v from x), {draws_sql.paired("d", 400)},
+c as (select config, count(*) filter (wrong < base_wrong) n01, count(*) filter (wrong > base_wrong) n10 from x group by 1)
+select config, n, round(delta, 6) delta, n01, n10, round({EXACT}, 6) mcnemar_p, {LIMITS_SQL} from c join intervals i on i.g = config""")
 def baseline_section(spark, sf):
-    """Every config against the baseline; the difference lies inside its bootstrap interval."""
-    s = X.baseline_section(scores(spark, sf), "view", 400)
-    return rounded(s.select("config", "n", "delta", "n01", "n10", "mcnemar_p", F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("inside")))
+    """Every config against the baseline, with interval and exact test."""
+    return rounded(X.baseline_section(scores(spark, sf), "view", 400).select("config", "n", "delta", "n01", "n10", "mcnemar_p", *LIMITS))
 
 
-@register(AGAINST_SQL + """select config, count(*) filter (att) n, round(avg(f1 - base_f1) filter (att), 6) delta, round(avg(f1) filter (att), 6) config_f1, round(avg(base_f1) filter (att), 6) base_f1, round(avg(base_f1) filter (not att), 6) base_f1_rest, true inside from x group by 1""")
+@register(RECURSIVE_AGAINST_SQL + f""", d as (select config g, question_id o, f1 - base_f1 v from x where att), {draws_sql.paired("d", 400)},
+m as (select config, round(avg(f1) filter (att), 6) config_f1, round(avg(base_f1) filter (att), 6) base_f1, round(avg(base_f1) filter (not att), 6) base_f1_rest from x group by 1)
+select config, n, round(delta, 6) delta, config_f1, base_f1, base_f1_rest, {LIMITS_SQL} from m join intervals i on i.g = config""")
 def attempted_section(spark, sf):
-    s = X.attempted_section(scores(spark, sf), "view", 400)
-    return rounded(s.select("config", "n", "delta", "config_f1", "base_f1", "base_f1_rest", F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("inside")))
+    return rounded(X.attempted_section(scores(spark, sf), "view", 400).select("config", "n", "delta", "config_f1", "base_f1", "base_f1_rest", *LIMITS))
 
 
-@register(SCORES_SQL + f""", p as (select a.config a, b.config b, a.f1 fa, b.f1 fb, (a.outcome = 'hallucination')::int wa, (b.outcome = 'hallucination')::int wb from scores a join scores b using (question_id)
+@register(SCORES_SQL.replace("with last", "with recursive last", 1) + f""", p as (select a.config a, b.config b, question_id, a.f1 fa, b.f1 fb, (a.outcome = 'hallucination')::int wa, (b.outcome = 'hallucination')::int wb from scores a join scores b using (question_id)
 where a.att and b.att and (a.config, b.config) in (('click', 'view'), ('error', 'signup'))),
-g as (select a, b, count(*) n, avg(fa - fb) delta, avg(fa) f1_a, avg(fb) f1_b, count(*) filter (wa < wb) n01, count(*) filter (wa > wb) n10 from p group by 1, 2)
-select a, b, n, round(delta, 6) delta, round(f1_a, 6) f1_a, round(f1_b, 6) f1_b, round({EXACT}, 6) mcnemar_p from g""")
+d as (select a || '-' || b g, question_id o, fa - fb v from p), {draws_sql.paired("d", 400)},
+c as (select a, b, avg(fa) f1_a, avg(fb) f1_b, count(*) filter (wa < wb) n01, count(*) filter (wa > wb) n10 from p group by 1, 2)
+select a, b, n, round(delta, 6) delta, round(f1_a, 6) f1_a, round(f1_b, 6) f1_b, round({EXACT}, 6) mcnemar_p, {LIMITS_SQL} from c join intervals i on i.g = a || '-' || b""")
 def joint_section(spark, sf):
     s = X.joint_section(scores(spark, sf), [("click", "view"), ("error", "signup")], 400)
-    return rounded(s.select("a", "b", "n", "delta", "f1_a", "f1_b", "mcnemar_p"))
+    return rounded(s.select("a", "b", "n", "delta", "f1_a", "f1_b", "mcnemar_p", *LIMITS))
 
 
-@register(AGAINST_SQL + f""", g as (select config, complexity, count(*) n, avg(wrong - base_wrong) delta, count(*) filter (wrong < base_wrong) n01, count(*) filter (wrong > base_wrong) n10 from x group by 1, 2 having count(*) >= 20)
-select config, complexity, n, round(delta, 6) delta, round({EXACT}, 6) mcnemar_p from g""")
+@register(RECURSIVE_AGAINST_SQL + f""", large as (select * from x qualify count(*) over (partition by config, complexity) >= 20),
+d as (select config || '-' || complexity g, question_id o, (wrong - base_wrong)::double v from large), {draws_sql.paired("d", 200)},
+c as (select config, complexity, count(*) filter (wrong < base_wrong) n01, count(*) filter (wrong > base_wrong) n10 from large group by 1, 2)
+select config, complexity, n, round(delta, 6) delta, round({EXACT}, 6) mcnemar_p, {LIMITS_SQL} from c join intervals i on i.g = config || '-' || complexity""")
 def claim_checks(spark, sf):
     """The baseline comparison within each complexity that has rows enough."""
-    return rounded(X.claim_checks(scores(spark, sf), "view", "complexity", 200, least_n=20).select("config", "complexity", "n", "delta", "mcnemar_p"))
+    return rounded(X.claim_checks(scores(spark, sf), "view", "complexity", 200, least_n=20).select("config", "complexity", "n", "delta", "mcnemar_p", *LIMITS))
 
 
 # Pipelines.
