@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import is_attempted
+from .splits import array_records, line_records
 
 STATEMENT_VERSION, ARTICLE_VERSION = 8, 1
 
@@ -19,15 +20,13 @@ class NotQuestions(ValueError):
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a JSON array file, as (pos, record): file order and the record's JSON text. An empty file has none."""
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json(F.col("value"), "array<variant>")
-    return whole.where(F.trim("value") != "").select(F.posexplode(items).alias("pos", "v")).select("pos", F.to_json("v").alias("record"))
+    """The records of JSON array files, as (pos, record): file order and the record's JSON text. An empty file has none."""
+    return array_records(spark, path)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The records of files with one JSON text a line, as (pos, record); pos ascends in file order. Large files are split over tasks."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
+    """The records of files with one JSON text a line, as (pos, record); pos ascends in file order."""
+    return line_records(spark, path)
 
 
 def read_questions(spark: SparkSession, path: str, ids: DataFrame | None = None, lines: bool = False) -> DataFrame:
