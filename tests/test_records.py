@@ -1,5 +1,6 @@
 """Sources, sinks, connectors and sections beyond what queries show."""
 
+import hashlib
 import json
 
 import pytest
@@ -53,8 +54,9 @@ def test_floor_topk_by_question(spark):
 def test_upper_median_and_digest(spark):
     df = spark.createDataFrame([(g, v) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 6)) for v in range(n)] + [("e", None)], "g string, v int")
     assert {r.g: r.m for r in df.groupBy("g").agg(A.upper_median("v").alias("m")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None}
-    with pytest.raises(Exception, match="too many members"):
-        A.membership_hash(df, "g", "v", most=4).collect()
+    digest = lambda n: hashlib.sha256("\n".join(sorted(map(str, range(n)))).encode()).hexdigest()
+    repeated = df.unionByName(df).unionByName(spark.range(2000).select(F.lit("f").alias("g"), F.col("id").cast("int").alias("v")))
+    assert {tuple(r) for r in A.membership_hash(repeated, "g", "v").collect()} == {(g, n, digest(n)) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 6), ("f", 2000))}
 
 
 def test_run_lifecycle(spark, tmp_path):
@@ -174,3 +176,26 @@ def test_settings_and_seals(spark):
         C.captured_settings({}, unknown, strict=True)
     q = spark.createDataFrame([("a",)], "id string")
     assert C.sealed_faults(q, q, True, None, "x", "y") and len(C.sealed_faults(q, q, True, None, "x", "y")) == 4 and C.sealed_faults(q, q.where("false"), False, True, "x", "x") == []
+
+
+@pytest.mark.parametrize(("query_block", "line_block"), [(4096, 65_536), (7, 5)])
+def test_nearest(spark, query_block, line_block):
+    """Blocks of any size against every pair; ties, zeros, nulls and fewer lines than places."""
+    import random
+
+    r = random.Random(query_block)
+    vectors = [[float(r.randrange(-2, 3)) for _ in range(4)] for _ in range(40)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(100, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    q, x = (spark.createDataFrame(rows, f"{n} bigint, embedding array<double>") for n in ("query_id", "line_id"))
+
+    def score(a, b):
+        norm = lambda v: sum(t * t for t in v) ** 0.5 + 1e-10
+        return round(sum(s * t for s, t in zip(a, b, strict=True)) / norm(a) / norm(b), 12)
+
+    for k, others in ((6, False), (6, True), (99, True)):
+        want = {i: sorted((-score(v, w), j) for j, w in enumerate(vectors) if not others or i != j)[:k] for i, v in enumerate(vectors)}
+        got = {}
+        for row in R.nearest(q, x, k, others=others, query_block=query_block, line_block=line_block).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append((-row.score, row.line_id))
+        assert {i: [(pytest.approx(s, abs=2e-12), j) for s, j in v] for i, v in want.items()} == got
+    assert R.nearest(q.where("false"), x, 3).count() == 0 and R.nearest(q, x.where("false"), 3).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ABSTENTION, CORRECT, HALLUCINATION, OTHER, OUTCOMES, is_attempted
+from .digest import joined_digests
 
 SMALL = 50
 
@@ -152,18 +153,10 @@ def cohorts(scores: DataFrame, judged: DataFrame | None = None, configs: tuple[s
     return flags.select(F.explode(names).alias("cohort"), "question_id")
 
 
-def membership_hash(rows: DataFrame, by: str, item: str, most: int = 20_000_000) -> DataFrame:
-    """Count and SHA-256 of the newline-joined sorted distinct members of each group.
-
-    The digest is of one string, so a group's members must fit a task; a group
-    of more than `most` fails at run time. Repeats go before the members meet.
-    """
+def membership_hash(rows: DataFrame, by: str, item: str) -> DataFrame:
+    """Count and SHA-256 of the newline-joined sorted distinct members of each group, of any size: see joined_digests."""
     distinct = rows.select(by, F.col(item).cast("string").alias("_m")).where("_m is not null").distinct()
-    sizes = distinct.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    too_many = F.raise_error(F.concat(F.lit("too many members for one digest: "), F.coalesce(F.col(by).cast("string"), F.lit("null"))))
-    sizes = sizes.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(too_many.cast("bigint"))).where("n is not null").withColumnRenamed(by, "_by")
-    digests = distinct.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_m")), "\n"), 256).alias("members_sha256"))
-    return sizes.join(digests, F.col("_by").eqNullSafe(F.col(by))).select(by, "n", "members_sha256")
+    return joined_digests(distinct, [by], "_m", separator="\n").select(by, "n", F.col("sha256").alias("members_sha256"))
 
 
 def transitions(scores: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +176,53 @@ def zscores(rows: DataFrame, score: str, question: list[str], group: str) -> Dat
     return rows.join(moments, same, "left").withColumn("z", z).drop("_mean", "_sd", *[f"_{k}" for k in keys])
 
 
+#: Queries and lines of a block: a task multiplies one block of each.
+QUERY_BLOCK, LINE_BLOCK = 4096, 65_536
+
+
+def _unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of norm 1, norms kept off zero."""
+    v = vectors.combine_chunks()
+    m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+
+
+def nearest(queries: DataFrame, lines: DataFrame, k: int, query_id: str = "query_id", line_id: str = "line_id", vector: str = "embedding", others: bool = False,
+            query_block: int = QUERY_BLOCK, line_block: int = LINE_BLOCK) -> DataFrame:
+    """(query_id, line_id, score, rank): the k lines of the greatest cosine for every query, ties by line id.
+
+    Exact: both sides are dealt to blocks by a hash of their ids, and each pair
+    of blocks is one matrix product, which leaves k lines of each query; these
+    are merged by query. Scores are rounded to 12 places, so that ties don't
+    hang on the order of additions. others: a query isn't its own line.
+    Rows without an id or a vector are left out; all vectors have one length.
+    """
+    side = lambda df, name, n: df.select(F.col(name).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").withColumn(n, F.xxhash64("id"))
+    q, x = side(queries, query_id, "h"), side(lines, line_id, "h")
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_q, n_x = blocks(q, query_block), blocks(x, line_block)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("id", "v", F.pmod("h", F.lit(n_q)).alias("i"), each(n_x).alias("j"))
+    x = x.select("id", "v", each(n_q).alias("i"), F.pmod("h", F.lit(n_x)).alias("j"))
+
+    def multiply(qs: pa.Table, xs: pa.Table) -> pa.Table:
+        found, ids, rows, asked = [], xs["id"].to_numpy(), _unit_rows(xs["v"]), _unit_rows(qs["v"]) if len(xs) else None
+        for a in range(0, len(qs) if len(xs) else 0, 256):
+            scores = np.round(asked[a : a + 256] @ rows.T, 12)
+            for one, s in zip(qs["id"][a : a + 256].to_pylist(), scores, strict=True):
+                if others:
+                    s[ids == one] = -np.inf
+                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                best = np.flatnonzero((s >= least) & (s > -np.inf))
+                best = best[np.lexsort((ids[best], -s[best]))][:k]
+                found.append((np.full(len(best), one), ids[best], s[best]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip((query_id, line_id, "score"), columns, strict=True)))
+
+    some = q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInArrow(multiply, f"`{query_id}` bigint, `{line_id}` bigint, score double")
+    return topk(some, "score", [query_id], line_id, k)
+
+
 def topk(rows: DataFrame, value: str, question: list[str], tie: str, k: int) -> DataFrame:
     """The k best of each question, best first by rank; ties by `tie` ascending. Without a question, of all rows."""
     order = [F.desc(value), tie]

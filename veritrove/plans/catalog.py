@@ -274,6 +274,17 @@ def floor_topk(spark, sf):
     return rounded(R.floor_topk(z, "z", [], "label", "vec_id", 30).withColumn("rank", F.col("rank").cast("bigint")))
 
 
+@register("""with e as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) + 1e-10 n from embeddings),
+p as (select a.vec_id, b.vec_id neighbour, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (a.n * b.n), 12) score from e a join e b on a.vec_id <> b.vec_id)
+select vec_id, neighbour, round(score, 6) score, row_number() over (partition by vec_id order by score desc, neighbour) as "rank" from p qualify "rank" <= 5""")
+def embedding_neighbours(spark, sf):
+    """The five nearest others of every vector, by products of blocks."""
+    e = t(spark, sf, "embeddings")
+    q, x = e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "line_id")
+    near = R.nearest(q, x, 5, others=True).select(F.col("query_id").alias("vec_id"), F.col("line_id").alias("neighbour"), "score", F.col("rank").cast("bigint").alias("rank"))
+    return rounded(near)
+
+
 # Texts.
 
 WORDS_SQL = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')"

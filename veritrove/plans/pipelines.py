@@ -111,9 +111,10 @@ def base_answers(questions: DataFrame, complete: Completer = extractive) -> Data
 
 def ranked_pool(questions: DataFrame, lines: DataFrame, k: int, allocation: str = "global") -> DataFrame:
     """The k best lines of each question's pool: cosine of hashed embeddings, z-scores by source entity, one cut or reserved places."""
-    pool = R.pool(questions, lines)
+    # Each line and question is embedded once, however many pools it is in.
+    pool = R.pool(questions, lines.withColumn("_v", R.hashed_embedding("line")))
     q = questions.select("question_id", R.hashed_embedding("question").alias("_q"))
-    scored = pool.join(q, "question_id").withColumn("score", R.cosine(F.col("_q"), R.hashed_embedding("line"))).drop("_q")
+    scored = pool.join(q, "question_id").withColumn("score", R.cosine(F.col("_q"), F.col("_v"))).drop("_q", "_v")
     z = R.zscores(scored, "score", ["question_id"], "qid")
     if allocation == "floor":
         return R.floor_topk(z, "z", ["question_id"], "qid", "line", k)
