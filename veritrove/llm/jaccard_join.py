@@ -285,8 +285,11 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 
 def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, all columns, with the row of the smallest id of each component; rows without an id stay."""
-    keep = near_duplicates(documents, id_column, text_column).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    has = documents.where(F.col(id_column).isNotNull())
-    one = has.join(keep, F.col(id_column) == F.col("_kept"), "left_semi").dropDuplicates([id_column])
-    return one.unionByName(documents.where(F.col(id_column).isNull()))
+    """The documents, all columns, with a row of the smallest id of each component; rows without an id stay.
+
+    Of rows that share an id the one of the least text stays, null first.
+    """
+    keep = near_duplicates(documents, id_column, text_column).where("doc_id = component_id").select("doc_id")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    one = rows.where("id is not null").join(keep, F.col("id") == F.col("doc_id"), "left_semi").groupBy("id").agg(F.min_by("row", "text").alias("row"))
+    return one.select("row.*").unionByName(documents.where(F.col(f"`{id_column}`").isNull()))
