@@ -53,7 +53,8 @@ def test_floor_topk_by_question(spark):
 
 def test_upper_median_and_digest(spark):
     df = spark.createDataFrame([(g, v) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 6)) for v in range(n)] + [("e", None)], "g string, v int")
-    assert {r.g: r.m for r in df.groupBy("g").agg(A.upper_median("v").alias("m")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None}
+    assert {r.g: r.m for r in A.exact_median(df, ["g"], "v", "m", upper=True).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None}
+    assert {r.g: r.m for r in A.exact_median(df, ["g"], "v", "m").collect()} == {"a": 0, "b": 0.5, "c": 2, "d": 2.5, "e": None}
     digest = lambda n: hashlib.sha256("\n".join(sorted(map(str, range(n)))).encode()).hexdigest()
     repeated = df.unionByName(df).unionByName(spark.range(2000).select(F.lit("f").alias("g"), F.col("id").cast("int").alias("v")))
     assert {tuple(r) for r in A.membership_hash(repeated, "g", "v").collect()} == {(g, n, digest(n)) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 6), ("f", 2000))}
@@ -199,3 +200,25 @@ def test_nearest(spark, query_block, line_block):
             got.setdefault(row.query_id, []).append((-row.score, row.line_id))
         assert {i: [(pytest.approx(s, abs=2e-12), j) for s, j in v] for i, v in want.items()} == got
     assert R.nearest(q.where("false"), x, 3).count() == 0 and R.nearest(q, x.where("false"), 3).count() == 0
+
+
+def test_exact_median_of_many(spark):
+    """Groups of many different values, heavy tails, ties and a null group, against sorted lists."""
+    import random
+    import statistics
+
+    r = random.Random(8)
+    groups = {"wide": [r.paretovariate(0.3) * r.choice([-1, 1]) for _ in range(30_001)], "ties": [float(r.randrange(3)) for _ in range(20_000)], None: [r.random() for _ in range(7)], "one": [5.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(6)
+    assert {x.g: x["median"] for x in A.exact_median(df, ["g"], "v").collect()} == {g: pytest.approx(statistics.median(v), rel=1e-15) for g, v in groups.items()}
+    assert {x.g: x.m for x in A.exact_median(df, ["g"], "v", "m", upper=True).collect()} == {g: sorted(v)[len(v) // 2] for g, v in groups.items()}
+    assert A.exact_median(df.where("g = 'one'"), [], "v").collect()[0][0] == 5.0
+
+
+def test_search_names(spark):
+    e = spark.createDataFrame([(1, "Paris"), (2, "Paris Texas"), (3, "New paris"), (4, None), (5, "Li"), (6, "Lima"), (7, "ab")], "qid int, label string")
+    names = spark.createDataFrame([("paris",), ("PARIS",), ("li",), ("a",), ("zz",), ("",), (None,), ("parisx",)], "name string")
+    got = {}
+    for x in R.search_names(e, names, most=3).orderBy("name", "rank").collect():
+        got.setdefault(x.name, []).append(x.qid)
+    assert got == {"paris": [1, 3, 2], "PARIS": [1, 3, 2], "li": [5, 6], "a": [7, 6, 1]}

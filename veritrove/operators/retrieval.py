@@ -126,6 +126,32 @@ def search_entities(entities: DataFrame, name: str, most: int = 5) -> DataFrame:
     return entities.where(F.contains(F.lower("label"), wanted)).orderBy((F.lower("label") == wanted).desc(), F.length("label"), "label").limit(most)
 
 
+#: Letters of a gram of the index; shorter names have grams of their own length.
+GRAM = 3
+
+
+def search_names(entities: DataFrame, names: DataFrame, entity_id: str = "qid", most: int = 5) -> DataFrame:
+    """(name, entity_id, label, rank): for every name the entities whose labels hold it, exact ones first, then short ones, then by label and id.
+
+    An inverted index of grams of letters: each name is looked up by the one of
+    its grams that the fewest labels have, and only those labels are compared.
+    Letters' case doesn't count; names without letters find nothing.
+    """
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n)))
+    asked = names.select("name", F.lower("name").alias("_asked")).where(F.trim("name") != "").distinct()
+    asked = asked.select("name", "_asked", F.explode(grams("_asked", F.least(F.lit(GRAM), F.length("_asked")))).alias("_gram"))
+    wanted = asked.select(F.col("_gram").alias("_g")).distinct()
+    labels = entities.select(F.col(entity_id), "label", F.lower("label").alias("_label")).where("label is not null")
+    every = F.array_distinct(F.flatten(F.array(*[grams("_label", F.lit(n)) for n in range(1, GRAM + 1)])))
+    posted = labels.select(entity_id, "label", "_label", F.explode(every).alias("_g")).join(wanted, "_g", "left_semi")
+    counts = posted.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    # A name one of whose grams no label has is found nowhere.
+    rarest = asked.join(counts, F.col("_gram") == F.col("_g"), "left").groupBy("name", "_asked").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_gram").alias("gram"))).alias("_r")).where("_r.df > 0")
+    found = rarest.join(posted, F.col("_r.gram") == F.col("_g")).where(F.contains("_label", "_asked"))
+    order = Window.partitionBy("name").orderBy((F.col("_label") == F.col("_asked")).desc(), F.length("label"), "label", entity_id)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("name", entity_id, "label", "rank")
+
+
 def override_labels(statements: DataFrame, names: Column) -> DataFrame:
     """A question's own names for its entities: outgoing subjects and incoming values take them."""
     own = F.element_at(names, F.col("source_entity_id"))

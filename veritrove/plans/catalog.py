@@ -404,7 +404,15 @@ def context_stats(spark, sf):
 
 @register("select lang, list_sort(list(n_chars))[1 + count(*) // 2] upper_median from documents group by 1")
 def upper_median(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang").agg(A.upper_median("n_chars").alias("upper_median"))
+    return A.exact_median(t(spark, sf, "documents"), ["lang"], "n_chars", "upper_median", upper=True)
+
+
+@register("select o_orderpriority, quantile_cont(o_totalprice, 0.5) median, list_sort(list(o_totalprice))[1 + count(*) // 2] upper_median from orders group by 1")
+def price_medians(spark, sf):
+    """Medians of values that are all different."""
+    o, by = t(spark, sf, "orders"), "o_orderpriority"
+    upper = A.exact_median(o, [by], "o_totalprice", "upper_median", upper=True).withColumnRenamed(by, "_by")
+    return A.exact_median(o, [by], "o_totalprice").join(upper, F.col(by) == F.col("_by")).drop("_by")
 
 
 @register("select source, count(*) n, round(count(*) / sum(count(*)) over (), 6) \"share\" from documents group by 1")

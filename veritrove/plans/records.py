@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -398,6 +399,20 @@ def entity_search(spark, sf):
     return R.search_entities(t(spark, sf, "supplier").withColumn("label", F.col("s_name")), "0001").select("s_suppkey", "s_name")
 
 
+NAMES_SQL = """n as (select distinct p_name "name" from part union select n_name from nation union select '#' || s_suppkey from supplier union select lower(p_type) from part union select substr(p_name, 3, 2) from part),
+e as (select 10 * p_partkey qid, p_brand || ' ' || p_type || ' ' || p_name "label" from part union all select 10 * c_custkey + 1, c_name from customer union all select 10 * n_nationkey + 2, n_name from nation)"""
+
+
+@register(f"""with {NAMES_SQL} select "name", qid, "label", row_number() over (partition by "name" order by lower("label") = lower("name") desc, length("label"), "label", qid) "rank" from n join e on contains(lower("label"), lower("name")) qualify "rank" <= 5""")
+def names_search(spark, sf):
+    """Many names - of parts, nations, types in lower case, two letters, numbers - against labels of parts, customers and nations."""
+    p, c, n, s = (t(spark, sf, x) for x in ("part", "customer", "nation", "supplier"))
+    names = [p.select(F.col("p_name").alias("name")), n.select("n_name"), s.select(F.concat(F.lit("#"), text("s_suppkey"))), p.select(F.lower("p_type")), p.select(F.substring("p_name", 3, 2))]
+    labels = p.select((10 * F.col("p_partkey")).alias("qid"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("label"))
+    labels = labels.union(c.select(10 * F.col("c_custkey") + 1, "c_name")).union(n.select((10 * F.col("n_nationkey") + 2).cast("bigint"), "n_name"))
+    return R.search_names(labels, reduce(DataFrame.union, names)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @register("""select p_partkey, case p_size % 4 when 0 then 'somevalue' else 'value' end snaktype, case p_size % 4 when 1 then 'Q' || p_partkey end id, case p_size % 4 when 0 then null when 3 then null else p_name end "label",
 case p_size % 4 when 0 then 'http://x/.well-known/genid/' || p_partkey when 1 then null else 'v' || p_partkey end raw, case p_size % 4 when 2 then 'metre' end unit from part""")
 def typed_values(spark, sf):
