@@ -15,9 +15,11 @@
    confirmed on the full sets of their texts. Then classes that share a key but
    are not in one component yet are open: their shingles are counted, and as one
    that no other open class has can't be in an intersection, most edited copies
-   can't link any more. The rest are compared, signature by signature, inside
+   can't link any more. The rest are paired, at each key, with the class of which
+   most is shared - the original rather than an edited copy. Those that are in
+   different components even then are compared, signature by signature, inside
    tasks: pairs within the distance, with shared shingles enough, are confirmed
-   on the full sets. A pair is skipped only where its ends are already connected
+   on the full sets, each at the least key that it has in common. A pair is skipped only where its ends are already connected
    or can't link, so components are those of all links, and a group of copies
    costs a row for each member.
    Where a key has many classes they are dealt to blocks, and pairs of blocks
@@ -266,6 +268,7 @@ def _apart(entries: DataFrame) -> DataFrame:
         own, c, k, n, shared = (table[x].to_numpy().astype(np.int64) for x in ("own", "c", "k", "n", "shared"))
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         signature = _as_signatures(table["signature"])
+        keys, key, most = index_keys(signature), np.int64(table["key"][0].as_py()).view(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         if lo == hi:
             # By component, so that each meets those after it only.
@@ -279,7 +282,9 @@ def _apart(entries: DataFrame) -> DataFrame:
             to = to[fits]
             for j in range(0, len(to), 4096):
                 some = to[j : j + 4096]
-                found += [(c[i], c[x]) for x in some[(signature[some] != signature[i]).sum(1) <= THRESHOLD]]
+                some = some[(signature[some] != signature[i]).sum(1) <= THRESHOLD]
+                common = np.where(keys[some] == keys[i], keys[some], most).min(1) if len(some) else some
+                found += [(c[i], c[x]) for x in some[common == key]]
         found = [(min(x), max(x)) for x in found]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
@@ -300,7 +305,12 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     labelled = classes.join(label, F.col("class_id") == F.col("_n"), "left").select("class_id", F.coalesce("component", "class_id").alias("component"), "signature")
     entries = stored(meeting(labelled, rows, _open, "key bigint, c bigint, k bigint"), "entries")
     able = _able(entries, classes, documents, id_column, text_column)
-    second = confirmed(_apart(able), documents, classes, id_column, text_column)
+    best = able.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("r"), "c", "k")).alias("p"))
+    pulled = able.join(best, F.col("key") == F.col("_key")).where(F.col("k") != F.col("p.k")).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
+    pulled = confirmed(_near(stored(pulled, "pulled"), classes), documents, classes, id_column, text_column)
+    label = components(first.unionByName(pulled)).withColumnRenamed("node", "_n")
+    left = stored(able.drop("k").join(label, F.col("c") == F.col("_n"), "left").withColumn("k", F.coalesce("component", "c")).drop("_n", "component"), "left")
+    second = confirmed(_apart(left), documents, classes, id_column, text_column).unionByName(pulled)
     # Ids of several texts connect the classes of these.
     named = sets.where("class_key is not null").select("doc_id", "class_key").join(classes.select(F.col("class_key").alias("_key"), "class_id"), F.col("class_key") == F.col("_key"))
     members = stored(named.select("doc_id", "class_id").distinct(), "members")
@@ -309,7 +319,7 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     label = components(first.unionByName(second).unionByName(same)).withColumnRenamed("node", "_n")
     parts = members.join(label, F.col("class_id") == F.col("_n"), "left").groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.coalesce("component", "class_id")).alias("component_id"), F.min("class_id").alias("class_id"))
     out = stored(sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")), "near_copies")
-    discard(sets, classes, star, first, entries, able, second, members)
+    discard(sets, classes, star, first, entries, able, left, members)
     return out
 
 
