@@ -539,6 +539,44 @@ def set_answers(spark, sf):
     return rounded(p.select("p_partkey", "r.precision", "r.recall", "r.exact", F.size(T.split_set("a")).alias("n_items")), 9)
 
 
+@register("""with recursive l as (select l_orderkey k, l_linenumber n, p_name, case l_linenumber % 4 when 0 then 'the ' || p_name when 1 then upper(p_name) when 2 then replace(p_name, ' ', ' big ') else split_part(p_name, ' ', 2) end item
+  from lineitem join part on p_partkey = l_partkey),
+i as (select k, lpad(n::varchar, 3, '0') || item n, list_filter(string_split(lower(item), ' '), lambda x: x not in ('the', 'a', 'an', '')) w from l),
+d as (select k, w, row_number() over (partition by k order by min(n)) i from i group by k, w),
+g as (select k, row_number() over (partition by k order by p_name) g, string_split(lower(p_name), ' ') w from (select distinct k, p_name from l)),
+c as (select k, i, list(g order by f desc, g desc) filter (f >= 0.5) c from (select k, i, g, 2.0 * len(list_intersect(d.w, g.w)) / (len(d.w) + len(g.w)) f from d join g using (k)) group by k, i),
+r(k, i, free, hits) as (select k, 0, list(g), 0 from g group by k union all
+  select k, i + 1, list_filter(free, lambda x: x is distinct from p), hits + (p is not null)::int from (select r.k, r.i, free, hits, list_filter(coalesce(c, []), lambda x: list_contains(free, x))[1] p from r join c on c.k = r.k and c.i = r.i + 1))
+select k l_orderkey, round(max(hits) / any_value(claims), 6) "precision", round(max(hits) / any_value(golds), 6) recall, (max(hits) = any_value(golds) and any_value(claims) = any_value(golds))::int::double "exact", any_value(claims) n_items
+from r join (select k, count(*) claims from i group by 1) using (k) join (select k, count(*) golds from g group by 1) using (k) group by k""")
+def set_lists(spark, sf):
+    """The parts of an order as a list in prose against its set of parts: with articles, in capitals, with a word more or less, some said twice, parted in four ways."""
+    n = F.col("l_linenumber") % 4
+    item = F.when(n == 0, F.concat(F.lit("the "), "p_name")).when(n == 1, F.upper("p_name")).when(n == 2, F.replace("p_name", F.lit(" "), F.lit(" big "))).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2)))
+    l = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "p_name", item.alias("item"))
+    said = l.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]).alias("items"), F.array_sort(F.collect_set("p_name")).alias("members"))
+    parted = pick(F.col("l_orderkey"), ", ", " and ", "; ", "\n- ")
+    answer = F.array_join(F.transform("items", lambda x: x), "\u0001")
+    said = said.withColumn("a", F.concat(F.when(F.col("l_orderkey") % 4 == 3, "- ").otherwise(""), F.replace(answer, F.lit("\u0001"), parted)))
+    r = said.select("l_orderkey", N.set_match("a", "members").alias("r"), F.size(T.split_set("a")).cast("bigint").alias("n_items"))
+    return rounded(r.select("l_orderkey", "r.precision", "r.recall", "r.exact", "n_items"))
+
+
+@register(f"""with x as (select c_custkey, n_name a, 'NATION_' || (c_nationkey * 7 + 3) % 25 b, 'NATION_' || c_custkey % 25 c from customer join nation on n_nationkey = c_nationkey),
+y as (select *, case c_custkey % 4 when 0 then 'Maybe ' || b || ', or ' || a || '!' when 1 then a || ' (not the ' || b || ')' when 2 then c || ' and ' || a else 'the ' || c end p, case when c_custkey % 3 = 0 then [b, c] else [a, b, c] end e from x),
+z as (select *, ' ' || array_to_string({NORM_SQL.format('p')}, ' ') || ' ' t, ' ' || lower(replace(a, '_', '')) || ' ' g, list_transform(e, lambda v: ' ' || lower(replace(v, '_', '')) || ' ') f from y),
+w as (select *, case when list_contains(f, g) then list_filter(f, lambda v: v <> g) else [] end r from z)
+select c_custkey, (strpos(t, g) > 0 and len(list_filter(r, lambda v: strpos(t, v) between 1 and strpos(t, g) - 1)) = 0)::int::double matched, len(r) n_rivals from w""")
+def rival_mentions(spark, sf):
+    """Answers that name the gold nation before, after or without other candidates of the question, which may not hold the gold at all."""
+    c = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k, name = F.col("c_custkey"), lambda n: F.concat(F.lit("NATION_"), (n % 25).cast("string"))
+    x = c.select(k, F.col("n_name").alias("a"), name(F.col("c_nationkey") * 7 + 3).alias("b"), name(k).alias("c"))
+    said = F.when(k % 4 == 0, F.concat(F.lit("Maybe "), "b", F.lit(", or "), "a", F.lit("!"))).when(k % 4 == 1, F.concat("a", F.lit(" (not the "), "b", F.lit(")"))).when(k % 4 == 2, F.concat_ws(" and ", "c", "a")).otherwise(F.concat(F.lit("the "), "c"))
+    x = x.withColumns({"p": said, "r": T.rivals(F.array("a"), F.when(k % 3 == 0, F.array("b", "c")).otherwise(F.array("a", "b", "c")))})
+    return x.select("c_custkey", T.entity_match("p", "a", F.col("r")).alias("matched"), F.size("r").cast("bigint").alias("n_rivals"))
+
+
 @register("""select s_suppkey, (case s_suppkey % 3 when 0 then 1.0 when 1 then 0.0 else 1.0 end)::double matched, case when s_suppkey % 3 = 2 then '' else 'rival land' end rivals, case s_suppkey % 3 when 0 then 0 when 1 then 4 else 0 end place from supplier""")
 def rival_entities(spark, sf):
     """A gold that a rival precedes doesn't match; a rival that isn't of the question is none."""
