@@ -165,29 +165,32 @@ def ordered_union(spark, sf):
 # Caches.
 
 
-@register("""with s as (select s_suppkey, s_suppkey % 6 m from supplier union all select -1, 6)
-select s_suppkey::varchar "key", ['malformed', 'stale', 'stale', 'incomplete', 'ok', 'ok', 'missing'][1 + m] state, case when m in (4, 5) then 1 else 0 end n_statements from s""")
+@register("""with s as (select s_suppkey k, 6 + s_nationkey % 4 v, s_acctbal > 2000 whole, s_suppkey % 3 <> 0 done, s_suppkey % 7 = 0 torn, 1 + s_suppkey % 4 n from supplier),
+x as (select k, n, case when torn then 'malformed' when v <> 8 or not whole then 'stale' when not done then 'incomplete' else 'ok' end state from s)
+select k::varchar "key", state, (case when state = 'ok' then n else 0 end)::int n_statements from x union all select '-1', 'missing', 0""")
 def statement_cache_states(spark, sf):
-    """Cache entries of every state, and what the usable ones hold; a key that was never fetched is missing."""
-    s, m = t(spark, sf, "supplier"), F.col("s_suppkey") % 6
+    """Cache entries whose faults are independent of each other - torn text, an old version, other limits, a failed query - and what usable ones hold; a key never fetched is missing."""
+    s, k = t(spark, sf, "supplier"), F.col("s_suppkey")
     statement = F.struct(text("s_suppkey").alias("subject_id"), F.col("s_name").alias("subject_label"), F.lit("P1").alias("property_id"), F.lit("normal").alias("rank"), text("s_suppkey").alias("statement_id"))
     entry = F.to_json(F.struct(
-        F.when(m == 1, 7).otherwise(8).alias("v"), F.create_map(F.lit("label"), F.lit(True), F.lit("forward"), F.lit(True), F.lit("reverse"), m != 3).alias("query_succeeded"),
-        F.create_map(F.lit("row_limit"), F.when(m == 2, "10").otherwise("4000")).alias("fingerprint"), F.array(statement).alias("statements")))
-    raw = s.select(text("s_suppkey").alias("key"), F.when(m == 0, F.lit('{"v": 8, "statem')).otherwise(entry).alias("value"))
+        (6 + F.col("s_nationkey") % 4).alias("v"), F.create_map(F.lit("label"), F.lit(True), F.lit("forward"), F.lit(True), F.lit("reverse"), k % 3 != 0).alias("query_succeeded"),
+        F.create_map(F.lit("row_limit"), F.when(F.col("s_acctbal") > 2000, "4000").otherwise("10")).alias("fingerprint"), F.array_repeat(statement, (1 + k % 4).cast("int")).alias("statements")))
+    raw = s.withColumn("j", entry).select(text("s_suppkey").alias("key"), F.when(k % 7 == 0, F.expr("substring(j, 1, length(j) - 5)")).otherwise(F.col("j")).alias("value"))
     states = readers.statement_states(raw, {"row_limit": "4000"})
     held = readers.cached_statements(states).groupBy(F.col("source_entity_id").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     wanted = raw.select("key").unionByName(spark.createDataFrame([("-1",)], "key string"))
     return readers.with_missing(states, wanted).join(held, F.col("key") == F.col("k"), "left").select("key", "state", F.coalesce("n", F.lit(0)).alias("n_statements"))
 
 
-@register("""select s_suppkey::varchar "key", ['malformed', 'stale', 'stale', 'failed', 'ok', 'ok'][1 + s_suppkey % 6] state, case s_suppkey % 6 when 4 then 2 else 0 end n_chunks from supplier""")
+@register("""with s as (select s_suppkey k, s_nationkey % 3 v, s_acctbal > 0 done, s_suppkey % 7 = 0 torn, s_suppkey % 11 = 0 bare, s_suppkey % 4 n from supplier),
+x as (select k, n, case when torn then 'malformed' when bare or v <> 1 then 'stale' when not done then 'failed' else 'ok' end state from s) select k::varchar "key", state, (case when state = 'ok' then n else 0 end)::int n_chunks from x""")
 def article_cache_states(spark, sf):
-    """Article entries of every state - the old bare list is stale, an entity without an article ok - and the windows of usable ones."""
-    m = F.col("s_suppkey") % 6
-    chunks = F.when(m == 5, F.array().cast("array<string>")).otherwise(F.array("s_name", F.lit("more")))
-    entry = F.to_json(F.struct(F.when(m == 2, 0).otherwise(1).alias("v"), (m != 3).alias("fetch_succeeded"), F.col("s_name").alias("title"), chunks.alias("chunks")))
-    raw = t(spark, sf, "supplier").select(text("s_suppkey").alias("key"), F.when(m == 0, "{").when(m == 1, '["a", "b"]').otherwise(entry).alias("value"))
+    """Article entries whose faults are independent - torn text, the old bare list, an old version, a failed fetch - and the windows of usable ones, some of which have none."""
+    k = F.col("s_suppkey")
+    chunks = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat_ws(" ", "s_name", i.cast("string")))
+    entry = F.to_json(F.struct((F.col("s_nationkey") % 3).alias("v"), (F.col("s_acctbal") > 0).alias("fetch_succeeded"), F.col("s_name").alias("title"), F.slice(chunks, F.lit(1), (k % 4).cast("int")).alias("chunks")))
+    value = F.when(k % 7 == 0, F.expr("substring(j, 1, length(j) - 5)")).when(k % 11 == 0, F.to_json(F.array("s_name"))).otherwise(F.col("j"))
+    raw = t(spark, sf, "supplier").withColumn("j", entry).select(text("s_suppkey").alias("key"), value.alias("value"))
     states = readers.article_states(raw)
     held = readers.cached_chunks(states).groupBy("source_entity_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return states.join(held, F.col("key") == F.col("source_entity_id"), "left").select("key", "state", F.coalesce("n", F.lit(0)).alias("n_chunks"))
@@ -346,19 +349,20 @@ def sidecar_scan(spark, sf):
     return got.select("source_hash", F.get_json_object("case", "$.doc_id").cast("bigint").alias("doc_id"), F.get_json_object("case", "$.toxic").cast("int").alias("toxic"))
 
 
-@register(JUDGED_SQL + """select config, count(*) filter (question_id % 10 = 3) excluded, count(*) filter (question_id % 10 <> 3 and js is null) unscored, 0 mismatches from judged group by 1""")
+@register(JUDGED_SQL + """select config, count(*) filter (question_id % 10 = 3) excluded, count(*) filter (question_id % 10 <> 3 and js is null) unscored,
+count(*) filter (question_id % 10 <> 3 and outcome <> case when raw_score >= 0.5 then 'correct' else 'hallucination' end)::int mismatches from judged group by 1""")
 def consistent_records(spark, sf):
-    """Judge records against scores that lack a tenth of them."""
-    j = judged(spark, sf).withColumn("id", F.col("question_id"))
+    """Judge records that take every answer for an attempt, against scores that lack a tenth of them."""
+    j = judged(spark, sf).withColumn("id", F.col("question_id")).withColumn("outcome", F.when(F.col("raw_score") >= 0.5, "correct").otherwise("hallucination"))
     return C.consistent(j, scores(spark, sf).where("question_id % 10 <> 3")).withColumn("mismatches", F.col("mismatches").cast("int"))
 
 
-@register("select o_orderkey id, case when o_orderkey % 5 = 0 then 0 else 1 end n_a, case when o_orderkey % 5 = 1 then 0 when o_orderkey % 5 = 2 then 2 else 1 end n_b from orders where o_orderkey % 5 in (0, 1, 2)")
+@register("""with a as (select o_custkey id, count(*) n_a from orders where o_orderstatus = 'F' group by 1), b as (select c_custkey id, count(*) n_b from customer where c_acctbal > 0 group by 1)
+select id, coalesce(n_a, 0)::int n_a, coalesce(n_b, 0)::int n_b from a full join b using (id) where n_a is null or n_b is null or n_a > 1 or n_b > 1""")
 def different_ids(spark, sf):
-    """Ids that one run lacks, or has twice."""
-    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    b = o.where("id % 5 <> 1")
-    return C.different_ids(o.where("id % 5 <> 0"), b.unionByName(b.where("id % 5 = 2"))).select("id", *[F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in ("n_a", "n_b")])
+    """Customers with finished orders against those with a balance: ids that one side lacks, or has more than once."""
+    a, b = t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return C.different_ids(a, b).select("id", *[F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in ("n_a", "n_b")])
 
 
 @register("select s_suppkey, n_name from supplier join nation on n_nationkey = s_nationkey")
@@ -376,12 +380,13 @@ def filled_lookup(spark, sf):
     return C.filled(rows, p.select("p_partkey", F.col("p_brand").alias("label")), "p_partkey", ("label",))
 
 
-@register("select doc_id, (quality = 1) inside, true adds_up from labels")
+@register("""select l_orderkey, list_has_all(range(1, 2 + l_orderkey % 6), list(distinct l_linenumber::bigint)) inside, count(*) filter (l_returnflag = 'R') + count(*) filter (l_returnflag = 'A') + count(*) filter (l_linestatus = 'O') = count(*) adds_up from lineitem group by 1""")
 def set_tests(spark, sf):
-    """Whether a set is part of another, and whether parts add up to a whole."""
-    q = F.col("quality")
-    inner = F.when(q == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("z")))
-    return t(spark, sf, "labels").select("doc_id", C.subset(inner, F.array(*[F.lit(x) for x in "abc"])).alias("inside"), C.partitions([q, F.lit(1) - q], F.lit(1)).alias("adds_up"))
+    """Whether an order's line numbers are among the first few, and whether three counts of its lines, which overlap, add up to all."""
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    o = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("bigint")).alias("s"), n("l_returnflag", "R").alias("r"), n("l_returnflag", "A").alias("a"), n("l_linestatus", "O").alias("o"), F.count(F.lit(1)).alias("n"))
+    few = F.sequence(F.lit(1).cast("bigint"), 1 + F.col("l_orderkey") % 6)
+    return o.select("l_orderkey", C.subset(F.col("s"), few).alias("inside"), C.partitions([F.col("r"), F.col("a"), F.col("o")], F.col("n")).alias("adds_up"))
 
 
 # Statements.
