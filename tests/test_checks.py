@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrove.operators import checks as K
-from veritrove.sources import bindings
+from veritrove.sources import bindings, sinks
 
 
 def test_joins(spark):
@@ -44,8 +44,7 @@ def test_requests():
 
 def test_bindings(spark, tmp_path):
     (tmp_path / "Q1.json").write_text(json.dumps({"results": {"bindings": [{"st": {"value": "s1"}, "prop": {"value": "P1"}}, {"st": {"value": "s2"}}]}}))
-    bindings.register(spark)
-    rows = spark.read.format("bindings").option("path", str(tmp_path)).load().collect()
+    rows = bindings.stored_bindings(spark, str(tmp_path)).collect()
     assert sorted((r.key, r.cells["st"]) for r in rows) == [("Q1", "s1"), ("Q1", "s2")]
     calls = []
 
@@ -58,3 +57,17 @@ def test_bindings(spark, tmp_path):
     assert bindings.with_retries(flaky, 3, sleep=lambda s: None) == "done"
     with pytest.raises(OSError):
         bindings.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=lambda s: None)
+
+
+def test_bindings_that_are_none(spark, tmp_path):
+    (tmp_path / "Q2.json").write_text('{"error": "busy"}')
+    with pytest.raises(Exception, match="not a reply: Q2"):
+        bindings.stored_bindings(spark, str(tmp_path)).collect()
+
+
+def test_html_report(spark):
+    page = sinks.html_report("A & B", {"first": spark.createDataFrame([("<x>", 1), (None, 2)], "name string, n int"), "second": spark.range(1)})
+    assert page.count("<section") == 2 and page.count(" hidden>") == 1 and "<td>&lt;x&gt;</td>" in page and "<td>—</td>" in page and "<h1>A &amp; B</h1>" in page
+    assert "http" not in page
+    with pytest.raises(ValueError):
+        sinks.html_report("t", {"x": spark.range(5)}, most=4)

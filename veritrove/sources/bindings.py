@@ -1,18 +1,12 @@
-"""A data source for stored query bindings, with the retry policy of the live connector.
-
-`spark.read.format("bindings").option("path", folder).load()` gives a row for
-each binding of each JSON file: key (the file's name) and cells (name -> value).
-"""
+"""Stored query bindings, and the retry policy of the live connector."""
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_retries(fetch: Callable[[], object], attempts: int = 1, sleep=time.sleep) -> object:
@@ -27,31 +21,14 @@ def with_retries(fetch: Callable[[], object], attempts: int = 1, sleep=time.slee
     raise ValueError("attempts must be positive")
 
 
-class BindingsReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder, self.attempts = options["path"], int(options.get("attempts", "1"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.folder).glob("*.json"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = Path(partition.value)
-        data = with_retries(lambda: json.loads(path.read_text(encoding="utf-8")), self.attempts)
-        for row in data["results"]["bindings"]:
-            yield path.stem, {k: v["value"] for k, v in row.items()}
-
-
-class Bindings(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "bindings"
-
-    def schema(self) -> str:
-        return "key string, cells map<string,string>"
-
-    def reader(self, schema) -> BindingsReader:
-        return BindingsReader(self.options)
-
+def stored_bindings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, cells): a row for each binding of each JSON file, key being the file's name and cells its plain values by name.
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Bindings)
+    Files are read by Spark, so they may lie wherever it reads; one that isn't
+    a reply of the service fails.
+    """
+    reply = F.get_json_object("value", "$.results.bindings")
+    cells = F.from_json(reply, "array<map<string,struct<value:string>>>")
+    bad = F.raise_error(F.concat(F.lit("not a reply: "), F.col("key"))).cast("array<map<string,struct<value:string>>>")
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)[.]json$", 1).alias("key"), "value")
+    return raw.select("key", F.explode(F.when(cells.isNotNull(), cells).otherwise(bad)).alias("row")).select("key", F.transform_values("row", lambda _, v: v["value"]).alias("cells"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -164,6 +165,29 @@ def markdown(table: DataFrame, most: int = 10_000) -> str:
     return "\n".join([line(table.columns), "|" + "---|" * len(table.columns), *[line(r) for r in rows]])
 
 
+_PAGE = """<!doctype html>
+<meta charset="utf-8"><title>{title}</title>
+<style>body{{font-family:sans-serif;margin:2em}}table{{border-collapse:collapse;margin-top:1em}}td,th{{border:1px solid #999;padding:.3em .6em;text-align:left}}</style>
+<h1>{title}</h1>
+<label>Table <select onchange="for (const s of document.querySelectorAll('section')) s.hidden = s.id !== this.value">{options}</select></label>
+{sections}
+"""
+
+
+def html_report(title: str, tables: dict[str, DataFrame], most: int = 10_000) -> str:
+    """Small result tables as one page without links to elsewhere: a choice of tables, every cell as text; the first is shown."""
+    escaped = lambda v: html.escape("—" if v is None else str(v))
+    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escaped(c)}</{tag}>" for c in cells) + "</tr>"
+    sections, options = [], []
+    for i, (name, table) in enumerate(tables.items()):
+        rows = table.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError("a report table must be an aggregate")
+        options.append(f'<option value="t{i}">{escaped(name)}</option>')
+        sections.append(f'<section id="t{i}"{" hidden" * (i > 0)}><table>{row(table.columns, "th")}{"".join(row(r, "td") for r in rows)}</table></section>')
+    return _PAGE.format(title=escaped(title), options="".join(options), sections="\n".join(sections))
+
+
 def fmt_p(p: float | None) -> str:
     return "—" if p is None else "<.001" if p < 0.001 else f"{p:.3f}"
 
