@@ -75,7 +75,9 @@ FACTORS = (mix(np.arange(1, VALUES + 1, dtype=np.uint64)) >> np.uint64(32)).asty
 PIVOTS = 4
 #: Signatures whose keys make a bucket, classes of a block, and shingles of the right sides that one task confirms.
 BUCKET_SIGNATURES = 8192
-BLOCK_CLASSES = 16_384
+BLOCK_CLASSES = 4096
+#: Rows of keys that are compared in one batch, and pairs of them at once.
+BATCH_ROWS, PAIRS_AT_ONCE = 16_384, 100_000
 CONFIRMED_SHINGLES = 1 << 18
 
 
@@ -262,33 +264,41 @@ def _apart(entries: DataFrame) -> DataFrame:
     block = F.when(own, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("rests")))
     others = F.sequence(F.when(own, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rests") - 1)
     dealt = entries.join(sizes, F.col("key") == F.col("_key")).select("key", "c", "k", "n", "signature", "shared", block.alias("own"), F.explode(others).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "k", "n", "signature", "shared")
+    dealt = stored(dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "k", "n", "signature", "shared"), "compared")
+
+    # Many keys to a task's batch; those of one key and pair of blocks lie together.
+    rows = dealt.count()
+    batch = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(1, -(-rows // BATCH_ROWS))))
 
     def compare(table: pa.Table) -> pa.Table:
-        own, c, k, n, shared = (table[x].to_numpy().astype(np.int64) for x in ("own", "c", "k", "n", "shared"))
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        table = table.sort_by([(x, "ascending") for x in ("key", "lo", "hi", "own")])
+        key, lo, hi, own, c, k, n, shared = (table[x].to_numpy().astype(np.int64) for x in ("key", "lo", "hi", "own", "c", "k", "n", "shared"))
         signature = _as_signatures(table["signature"])
-        keys, key, most = index_keys(signature), np.int64(table["key"][0].as_py()).view(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        if lo == hi:
-            # By component, so that each meets those after it only.
-            left = right = left[np.argsort(k[left], kind="stable")]
-        after = np.searchsorted(k[right], k[left], "right") if lo == hi else np.zeros(len(left), np.int64)
-        found = []
-        for i, start in zip(left.tolist(), after.tolist(), strict=True):
-            to = right[start:]
-            fits = (k[to] != k[i]) & (DENOMINATOR * np.minimum(n[to], n[i]) >= NUMERATOR * np.maximum(n[to], n[i]))
-            fits &= (NUMERATOR + DENOMINATOR) * np.minimum(shared[to], shared[i]) >= NUMERATOR * (n[to] + n[i])
-            to = to[fits]
-            for j in range(0, len(to), 4096):
-                some = to[j : j + 4096]
-                some = some[(signature[some] != signature[i]).sum(1) <= THRESHOLD]
-                common = np.where(keys[some] == keys[i], keys[some], most).min(1) if len(some) else some
-                found += [(c[i], c[x]) for x in some[common == key]]
-        found = [(min(x), max(x)) for x in found]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
+        last = np.append((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True)
+        # A row meets those after it in its group, and where two blocks meet those of the other block.
+        here, end = np.arange(len(key)), np.flatnonzero(last)[np.cumsum(np.append(0, last[:-1]))]
+        other = np.append(own[1:] != own[:-1], True) | last
+        begin = np.where(lo == hi, here, np.flatnonzero(other)[np.cumsum(np.append(0, other[:-1]))]) + 1
+        after = end + 1 - begin
+        ends, at, found = np.cumsum(after), 0, []
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            many = after[at:to]
+            x = np.repeat(np.arange(at, to), many)
+            y = begin[x] + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+            fits = (k[x] != k[y]) & (DENOMINATOR * np.minimum(n[x], n[y]) >= NUMERATOR * np.maximum(n[x], n[y]))
+            fits &= (NUMERATOR + DENOMINATOR) * np.minimum(shared[x], shared[y]) >= NUMERATOR * (n[x] + n[y])
+            x, y = x[fits], y[fits]
+            near = (signature[x] != signature[y]).sum(1) <= THRESHOLD
+            x, y = x[near], y[near]
+            # A pair is told at the least key that it has in common.
+            a, b = index_keys(signature[x]), index_keys(signature[y])
+            first = np.where(a == b, a, np.uint64(0xFFFFFFFFFFFFFFFF)).min(1) == key[x].view(np.uint64) if len(x) else np.zeros(0, bool)
+            found.append((np.minimum(c[x], c[y])[first], np.maximum(c[x], c[y])[first]))
+            at = to
+        return pa.table({"a": pa.array(np.concatenate([f[0] for f in found]), pa.int64()), "b": pa.array(np.concatenate([f[1] for f in found]), pa.int64())})
+
+    return dealt.withColumn("batch", batch).groupBy("batch").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
