@@ -33,7 +33,7 @@ def run(spark, name):
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = run(spark, name)
     r = c.execute(entry.oracle_sql()[name])
