@@ -48,6 +48,10 @@ def test_jaccard(docs, empty):
     kept = deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 7, 8, 9] and kept.where("doc_id is null").count() == 1
     assert near_duplicates(empty).count() == 0 and deduplicated(empty).count() == 0
+    clashing = docs.unionByName(docs.where("doc_id = 9").withColumn("text", F.lit("a"))).withColumns({"_kept": F.lit(1), "id": F.lit("x"), "doc": F.lit(2)})
+    kept = deduplicated(clashing)
+    assert kept.columns == clashing.columns and {(r.id, r._kept) for r in kept.collect()} == {("x", 1)}
+    assert [r.text for r in kept.where("doc_id = 9").collect()] == ["a"]
 
 
 def test_jaccard_near_copies(spark):
