@@ -202,6 +202,22 @@ def test_nearest(spark, query_block, line_block):
     assert R.nearest(q.where("false"), x, 3).count() == 0 and R.nearest(q, x.where("false"), 3).count() == 0
 
 
+def test_nearest_in_separate_partitions(spark):
+    """Blocks meet where partitions aren't merged into one; equal vectors tie in any block."""
+    import random
+
+    r = random.Random(3)
+    some = [[r.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    rows = [(i, some[i % 12]) for i in range(96)]
+    q, x = (spark.createDataFrame(rows, f"{n} bigint, embedding array<double>") for n in ("query_id", "line_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.nearest(q, x, 7, others=True, query_block=20, line_block=30).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((g.query_id, g["rank"], g.line_id) for g in got) == [(i, k + 1, j) for i in range(96) for k, j in enumerate(j for j in range(i % 12, 96, 12) if j != i)]
+
+
 def test_exact_median_of_many(spark):
     """Groups of many different values, heavy tails, ties and a null group, against sorted lists."""
     import random

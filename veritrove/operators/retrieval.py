@@ -206,11 +206,15 @@ def zscores(rows: DataFrame, score: str, question: list[str], group: str) -> Dat
 QUERY_BLOCK, LINE_BLOCK = 4096, 65_536
 
 
-def _unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows of norm 1, norms kept off zero."""
+#: More than a matrix product's cosines can differ from sums in order.
+ROUNDING = 1e-11
+
+
+def _rows_and_norms(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as rows, and their norms, kept off zero; squares are added in order."""
     v = vectors.combine_chunks()
     m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+    return m, np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) + 1e-10
 
 
 def nearest(queries: DataFrame, lines: DataFrame, k: int, query_id: str = "query_id", line_id: str = "line_id", vector: str = "embedding", others: bool = False,
@@ -218,9 +222,11 @@ def nearest(queries: DataFrame, lines: DataFrame, k: int, query_id: str = "query
     """(query_id, line_id, score, rank): the k lines of the greatest cosine for every query, ties by line id.
 
     Exact: both sides are dealt to blocks by a hash of their ids, and each pair
-    of blocks is one matrix product, which leaves k lines of each query; these
-    are merged by query. Scores are rounded to 12 places, so that ties don't
-    hang on the order of additions. others: a query isn't its own line.
+    of blocks is one matrix product. The lines that it puts among each query's
+    best k, or within rounding of them, are scored again by products added in
+    order, so that equal vectors have equal scores in any block; k of these
+    stay and are merged by query. Scores are rounded to 12 places. others: a
+    query isn't its own line.
     Rows without an id or a vector are left out; all vectors have one length.
     """
     side = lambda df, name, n: df.select(F.col(name).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").withColumn(n, F.xxhash64("id"))
@@ -228,20 +234,23 @@ def nearest(queries: DataFrame, lines: DataFrame, k: int, query_id: str = "query
     blocks = lambda df, size: max(1, -(-df.count() // size))
     n_q, n_x = blocks(q, query_block), blocks(x, line_block)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("id", "v", F.pmod("h", F.lit(n_q)).alias("i"), each(n_x).alias("j"))
-    x = x.select("id", "v", each(n_q).alias("i"), F.pmod("h", F.lit(n_x)).alias("j"))
+    own = lambda n: F.pmod("h", F.lit(n)).cast("int")  # noqa: E731  the same type as `each`: a cogroup deals int and bigint keys differently
+    q = q.select("id", "v", own(n_q).alias("i"), each(n_x).alias("j"))
+    x = x.select("id", "v", each(n_q).alias("i"), own(n_x).alias("j"))
 
     def multiply(qs: pa.Table, xs: pa.Table) -> pa.Table:
-        found, ids, rows, asked = [], xs["id"].to_numpy(), _unit_rows(xs["v"]), _unit_rows(qs["v"]) if len(xs) else None
+        found, ids, (rows, norms), (asked, asked_norms) = [], xs["id"].to_numpy(), _rows_and_norms(xs["v"]), _rows_and_norms(qs["v"])
+        units = (rows / norms[:, None]).T
         for a in range(0, len(qs) if len(xs) else 0, 256):
-            scores = np.round(asked[a : a + 256] @ rows.T, 12)
-            for one, s in zip(qs["id"][a : a + 256].to_pylist(), scores, strict=True):
+            near = (asked[a : a + 256] / asked_norms[a : a + 256, None]) @ units
+            for i, (one, s) in enumerate(zip(qs["id"][a : a + 256].to_pylist(), near, strict=True), a):
                 if others:
                     s[ids == one] = -np.inf
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                least = np.partition(s, -k)[-k] - ROUNDING if len(s) > k else -np.inf
                 best = np.flatnonzero((s >= least) & (s > -np.inf))
-                best = best[np.lexsort((ids[best], -s[best]))][:k]
-                found.append((np.full(len(best), one), ids[best], s[best]))
+                exact = np.round(np.cumsum(rows[best] * asked[i], axis=1)[:, -1] / (asked_norms[i] * norms[best]), 12)
+                order = np.lexsort((ids[best], -exact))[:k]
+                found.append((np.full(len(order), one), ids[best][order], exact[order]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip((query_id, line_id, "score"), columns, strict=True)))
 
