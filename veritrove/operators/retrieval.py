@@ -176,9 +176,18 @@ def meta_lines(meta: DataFrame) -> DataFrame:
 
 
 def pool(questions: DataFrame, lines: DataFrame, qids: str = "qids") -> DataFrame:
-    """Questions fanned out over their keys in order; the first of equal lines of a question stays. lines: qid, line_pos, line."""
-    keyed = questions.select("question_id", F.posexplode(qids).alias("entity_pos", "qid"))
-    return first_of(keyed.join(lines, "qid"), ["question_id", "line"], ["entity_pos", "line_pos"])
+    """Questions fanned out over their keys in order; the first of equal lines of a question stays. lines: qid, line_pos, line.
+
+    A key's equal lines become one before the fan-out. A line that only one key
+    has can't come to a question twice then; so only lines of several keys are
+    put in order by question, and the others are joined alone.
+    """
+    keyed = first_of(questions.select("question_id", F.posexplode(qids).alias("entity_pos", "qid")).where("qid is not null"), ["question_id", "qid"], ["entity_pos"])
+    own = first_of(lines.where("qid is not null"), ["qid", "line"], ["line_pos"])
+    same = Window.partitionBy("line")
+    told = own.withColumn("_several", F.min("qid").over(same) < F.max("qid").over(same))
+    alone, several = (keyed.join(told.where(c).drop("_several"), "qid") for c in (~F.col("_several"), F.col("_several")))
+    return alone.unionByName(first_of(several, ["question_id", "line"], ["entity_pos", "line_pos"]))
 
 
 def dot(a: Column, b: Column) -> Column:
