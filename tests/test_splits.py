@@ -70,3 +70,27 @@ def test_questions_over_splits(spark, tmp_path, small_ranges):
     for path, lines in (("q.json", False), ("q.jsonl", True)):
         got = readers.read_questions(spark, str(tmp_path / path), lines=lines).orderBy("pos").collect()
         assert [(x.id, x.question) for x in got] == [(x["id"], x["question"]) for x in rows]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_members_of_objects(spark, tmp_path, small_ranges, seed):
+    """The array that a member is, split at every place; members before and after it, other kinds of it, and bare lists."""
+    r, want = random.Random(seed), []
+    for name in ("b", "a", "c", "d", "e", "g", "h"):
+        items = [value(r) for _ in range({"a": 1, "c": 0}.get(name, 40))]
+        file = {f"x{i}": value(r) for i in range(3)} | {"judge_sha256": {"a": "é}\"", "b": 7, "c": None}.get(name, "abc"), "cases": items} | {f"y{i}": value(r) for i in range(3)}
+        if name == "d":
+            file, items = {"cases": {"a": [1, 2], "b": 3}}, []
+        if name == "e":
+            file, items = {"cases": None, "other": [1, 2]}, []
+        if name == "g":
+            file = items
+        if name == "h":
+            file = {"cases": items}
+        text = json.dumps(file, indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5)
+        (tmp_path / f"{name}.json").write_text(text + r.choice(["", "\n"]), encoding="utf-8")
+        h = file.get("judge_sha256") if isinstance(file, dict) else None
+        want += [(h if h is None else str(h), json.dumps(x, sort_keys=True)) for x in items]
+    got = readers.sidecar(spark, str(tmp_path))
+    assert sorted([(g.source_hash, json.dumps(json.loads(g.case), sort_keys=True)) for g in got.collect()], key=repr) == sorted(want, key=repr)
+    assert got.rdd.getNumPartitions() > 20  # whole files gave one row each

@@ -12,7 +12,7 @@ import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities as E
@@ -342,9 +342,12 @@ def judge_record_scan(spark, sf):
 @register("select 'abc' source_hash, doc_id, toxic from labels")
 def sidecar_scan(spark, sf):
     """An annotation file with a hash, found by a pattern that names one file."""
-    cases = t(spark, sf, "labels").select(F.struct("doc_id", "toxic").alias("c"))
+    cases = t(spark, sf, "labels").select(F.lit(1).alias("part"), F.to_json(F.struct("doc_id", "toxic")).alias("value"))
+    ends = spark.createDataFrame([(0, '{"judge_sha256":"abc","cases":['), (2, "]}")], "part int, value string")
     path = scratch(spark, "sidecar")
-    cases.agg(F.to_json(F.struct(F.lit("abc").alias("judge_sha256"), F.collect_list("c").alias("cases"))).alias("value")).coalesce(1).write.text(path)
+    # One file, written line by line; a case after another case has a comma before it.
+    lines = cases.unionByName(ends).withColumn("before", F.lag("part").over(Window.orderBy("part")))
+    lines.select(F.concat(F.when((F.col("part") == 1) & (F.col("before") == 1), ",").otherwise(""), "value").alias("value")).write.text(path)
     got = readers.sidecar(spark, readers.only_file(spark, f"{path}/part-*.txt"))
     return got.select("source_hash", F.get_json_object("case", "$.doc_id").cast("bigint").alias("doc_id"), F.get_json_object("case", "$.toxic").cast("int").alias("toxic"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import is_attempted
-from .splits import array_records, line_records
+from .splits import array_records, line_records, member_records
 
 STATEMENT_VERSION, ARTICLE_VERSION = 8, 1
 
@@ -159,10 +159,9 @@ def only_file(spark: SparkSession, pattern: str) -> str:
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(source_hash, case): an annotation file with a hash, or a bare list."""
-    text = spark.read.text(path, wholetext=True)
-    cases = F.coalesce(F.get_json_object("value", "$.cases"), F.col("value"))
-    return text.select(F.get_json_object("value", "$.judge_sha256").alias("source_hash"), F.explode(F.from_json(cases, "array<variant>")).alias("v")).select("source_hash", F.to_json("v").alias("case"))
+    """(source_hash, case): an annotation file with a hash, or a bare list; large ones are split over tasks."""
+    listed = array_records(spark, path).select(F.lit(None).cast("string").alias("source_hash"), F.col("record").alias("case"))
+    return member_records(spark, path, "cases", ("judge_sha256",)).select(F.col("judge_sha256").alias("source_hash"), F.col("record").alias("case")).unionByName(listed)
 
 
 def cross_checked(results: DataFrame, golds: DataFrame, judged: DataFrame, configs: tuple[str, ...], scores: DataFrame | None = None) -> None:

@@ -7,11 +7,14 @@ pass sums up each range - the parity of its quotes and, for both parities, its
 change of depth and its commas by depth - and running sums over the ranges give
 each one's place. The second pass cuts records at the commas of the array
 itself; a record that lies across ranges comes in parts, which meet by its
-number. Only a row for each range reaches the driver.
+number. Only a row for each range reaches the driver. Where the array is a
+member of an object, a pass between these collects what stands outside the
+members' own brackets, which tells the array's place among them.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -25,11 +28,12 @@ QUOTE, BACKSLASH, COMMA, OPEN, CLOSE = 34, 92, 44, (91, 123), (93, 125)
 
 
 class Start(NamedTuple):
-    """What stands before a range: the parity of quotes, the depth, and the number of the record at its beginning."""
+    """What stands before a range: the parity of quotes, the depth, the number of the record at its beginning and that of the object's member."""
 
     parity: int
     depth: int
     number: int
+    member: int = 0
 
 
 def text_pieces(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
@@ -91,24 +95,29 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("block", pa.int64()), ("parity", pa.int32()), ("depth", pa.list_(pa.int64())), ("commas", pa.list_(pa.map_(pa.int64(), pa.int64()))), ("opens", pa.string())]))
 
 
-def _starts(ranges: list) -> tuple[dict[tuple[str, int], Start], dict[str, int]]:
-    """Where each range of each array file begins, and each file's first number: files by name, one after the other."""
+def _starts(ranges: list, opening: str = "[", level: int = 1) -> tuple[dict[tuple[str, int], Start], dict[str, int]]:
+    """Where each range of each file that opens so begins, and each file's first number: files by name, one after the other. Records are at depth `level`."""
     opens: dict[str, str] = {}
     for r in sorted(ranges, key=lambda r: (r.path, r.block)):
         if r.opens:
             opens.setdefault(r.path, r.opens)
-    ranges = [r for r in ranges if opens.get(r.path) == "["]
+    ranges = [r for r in ranges if opens.get(r.path) == opening]
     starts, first, number = {}, {}, 0
     for r in sorted(ranges, key=lambda r: (r.path, r.block)):
         if r.path not in first:
-            first[r.path], parity, depth, here = number, 0, 0, 0
-        starts[r.path, r.block] = Start(parity, depth, here)
-        here += r.commas[parity].get(1 - depth, 0)
+            first[r.path], parity, depth, here, member = number, 0, 0, 0, 0
+        starts[r.path, r.block] = Start(parity, depth, here, member)
+        here += r.commas[parity].get(level - depth, 0)
+        member += r.commas[parity].get(1 - depth, 0)
         depth, parity = depth + r.depth[parity], parity ^ r.parity
         number = first[r.path] + here + 1
     return starts, first
 
 
+def _range_sums(pieces: DataFrame) -> list:
+    return pieces.mapInArrow(_summed, "path string, size bigint, block bigint, parity int, depth array<bigint>, commas array<map<bigint,bigint>>, opens string").collect()
+
+
 def array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(pos, record): the elements of JSON array files as texts, numbered in the order of the files' names and of the elements.
 
@@ -117,49 +126,97 @@ def array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     different files leave no gaps but for these.
     """
     pieces = text_pieces(spark, path, "}")
-    ranges = pieces.mapInArrow(_summed, "path string, size bigint, block bigint, parity int, depth array<bigint>, commas array<map<bigint,bigint>>, opens string").collect()
-    starts, first = _starts(ranges)
+    starts, first = _starts(_range_sums(pieces))
+    return _records(pieces, starts, first).select("pos", "record")
+
+
+def member_records(spark: SparkSession, path: str | list[str], key: str, scalars: tuple[str, ...] = ()) -> DataFrame:
+    """(pos, record, *scalars): the elements of the array that a member of an object file is, beside other members as texts (null where there are none).
+
+    As array_records, but that numbers leave gaps; files of anything else, and
+    objects without such an array, have no records. Of members of one name the
+    first counts. What reaches the driver is also each file's members that are
+    neither arrays nor objects.
+    """
+    pieces = text_pieces(spark, path, "}")
+    starts, first = _starts(_range_sums(pieces), "{", 2)
+
+    def outer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for here, some in ((k, v) for k, v in _ranges(batches) if (k[0], k[2]) in starts):
+            if here != key:
+                key, (parity, depth, _, _) = here, starts[here[0], here[2]]
+            s = Structure(some)
+            depths = s.depths(parity) + depth
+            kept = s.bytes[(depths <= 1) | (s.outside(parity) & (s.steps > 0) & (depths == 2))].tobytes()
+            rows.append((here[0], here[2], len(rows), kept))
+            parity, depth = parity ^ s.parity, int(depths[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "block", "part", "kept"])
+
+    parts: dict[str, list[bytes]] = {}
+    for r in sorted(pieces.mapInArrow(outer, "path string, block bigint, part bigint, kept binary").collect(), key=lambda r: (r.path, r.block, r.part)):
+        parts.setdefault(r.path, []).append(bytes(r.kept))
+    places, told = {}, []
+    # Objects as tuples of pairs, numbers as they are written.
+    decoder = json.JSONDecoder(object_pairs_hook=tuple, parse_int=str, parse_float=str, strict=False)
+    for name, kept in parts.items():
+        members = decoder.raw_decode(b"".join(kept).decode().lstrip("\ufeff \t\r\n"))[0]
+        value = lambda k, members=members: next((v for n, v in members if n == k), None)
+        if any(isinstance(value(k), (list, tuple)) for k in scalars):
+            raise ValueError(f"{name}: one of {', '.join(scalars)} is an array or an object")
+        if isinstance(value(key), list):
+            places[name] = next(i for i, (n, _) in enumerate(members) if n == key)
+        told.append((name, *[v if v is None or isinstance(v, str) else json.dumps(v) for v in map(value, scalars)]))
+    named = spark.createDataFrame(told, ", ".join(["_path string", *[f"`{k}` string" for k in scalars]]))
+    # A row for each file.
+    return _records(pieces, starts, first, 2, places).join(F.broadcast(named), F.col("path") == F.col("_path")).select("pos", "record", *[f"`{k}`" for k in scalars])
+
+
+def _records(pieces: DataFrame, starts: dict[tuple[str, int], Start], first: dict[str, int], level: int = 1, places: dict[str, int] | None = None) -> DataFrame:
+    """(path, pos, record): what commas at depth `level` part; with places, within the member of that number of each object only."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("pos", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("part", pa.string())])
+        schema = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("part", pa.string())])
         key, held, begun = None, [], False
 
         def done(whole: bool):
             # A byte range may end within a record, never within a character.
-            return first[key[0]] + number, key[2], whole, b"".join(held).decode()
+            return key[0], first[key[0]] + number, key[2], whole, b"".join(held).decode()
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for here, some in ((k, v) for k, v in _ranges(batches) if (k[0], k[2]) in starts):
+        for here, some in ((k, v) for k, v in _ranges(batches) if (k[0], k[2]) in starts and (places is None or k[0] in places)):
             rows = []
             if here != key:
                 if held:
                     rows.append(done(False))
                 key, held, begun = here, [], False
-                parity, depth, number = starts[here[0], here[2]]
+                parity, depth, number, member = starts[here[0], here[2]]
             s = Structure(some)
             outside, depths = s.outside(parity), s.depths(parity) + depth
-            edge = outside & (((s.bytes == COMMA) & (depths == 1)) | ((s.steps > 0) & (depths == 1)) | ((s.steps < 0) & (depths == 0)))
-            at, inside = 0, depth >= 1
+            edge = outside & (((s.bytes == COMMA) & (depths == level)) | ((s.steps > 0) & (depths == level)) | ((s.steps < 0) & (depths == level - 1)))
+            of = member + np.cumsum(outside & (s.bytes == COMMA) & (depths == 1))
+            mine = np.ones(len(of), bool) if places is None else of == places[here[0]]
+            at, inside = 0, depth >= level and (places is None or member == places[here[0]])
             for i in np.flatnonzero(edge).tolist():
                 if inside:
                     held.append(s.raw[at:i])
                     rows.append(done(begun))
                 number += s.bytes[i] == COMMA
-                at, held, begun, inside = i + 1, [], True, s.bytes[i] in (COMMA, OPEN[0])
+                at, held, begun, inside = i + 1, [], True, bool(mine[i]) and s.bytes[i] in (COMMA, OPEN[0])
             if inside:
                 held.append(s.raw[at:])
-            parity, depth = parity ^ s.parity, int(depths[-1])
+            parity, depth, member = parity ^ s.parity, int(depths[-1]), int(of[-1])
             if rows:
                 yield batch(rows)
         if held:
             yield batch([done(False)])
 
-    parts = pieces.mapInArrow(cut, "pos bigint, block bigint, whole boolean, part string")
-    joined = parts.where("not whole").groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "").alias("part"))
-    every = parts.where("whole").select("pos", "part").unionByName(joined).select("pos", F.regexp_replace("part", "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "").alias("part"))
-    return every.where("part <> ''").select("pos", F.to_json(F.parse_json("part")).alias("record"))
+    parts = pieces.mapInArrow(cut, "path string, pos bigint, block bigint, whole boolean, part string")
+    joined = parts.where("not whole").groupBy("path", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "").alias("part"))
+    every = parts.where("whole").select("path", "pos", "part").unionByName(joined).select("path", "pos", F.regexp_replace("part", "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "").alias("part"))
+    return every.where("part <> ''").select("path", "pos", F.to_json(F.parse_json("part")).alias("record"))
 
 
 def line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
