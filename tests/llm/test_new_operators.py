@@ -211,3 +211,22 @@ def test_signature_join_guarantee():
     a, b = M.signatures(s, bounds)
     share = len(np.intersect1d(s[: bounds[1]], s[bounds[1] :])) / len(np.unique(s))
     assert abs((a != b).mean() - (1 - share)) < 0.12 and 0 < M.THRESHOLD < M.VALUES * 0.4
+
+
+def test_pairs_ruled_out_by_bits():
+    """No pair that links is ruled out; of pairs below the similarity, nearly all are before they leave a task."""
+    import numpy as np
+
+    from veritrove.llm import minhash as M
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [np.concatenate([base[k:], r.integers(0, 1 << 63, k).astype(np.uint64)]) for k in range(0, 40)] + [r.integers(0, 1 << 63, 9000).astype(np.uint64)]
+    n = np.array([len(s) for s in sets])
+    bits = M.shingle_bits(np.concatenate(sets), np.append(0, np.cumsum(n)))
+    x, y = np.triu_indices(len(sets), 1)
+    gone = M.ruled_out(bits[x], bits[y], n[x], n[y])
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    links = 100 * common >= 85 * (n[x] + n[y] - common)
+    assert links.sum() > 50 and not (gone & links).any()
+    assert (~links & ~gone).sum() < 0.2 * (~links).sum()

@@ -79,6 +79,8 @@ BLOCK_CLASSES = 4096
 #: Rows of keys that are compared in one batch, and pairs of them at once.
 BATCH_ROWS, PAIRS_AT_ONCE = 16_384, 100_000
 CONFIRMED_SHINGLES = 1 << 18
+#: Bits of an open class's shingles, by which pairs that can't link are told before they leave a task.
+MAP_BITS = 2048
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -237,8 +239,35 @@ def confirmed(pairs: DataFrame, documents: DataFrame, sizes: DataFrame, id_colum
     return out
 
 
+def shingle_bits(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of MAP_BITS bits, packed, for each set: those that its shingles hash to. A bit that another set lacks is a shingle that it lacks."""
+    rows, out, at = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), [], mix(shingles) % np.uint64(MAP_BITS)
+    for a in range(0, len(offsets) - 1, 4096):
+        b = min(a + 4096, len(offsets) - 1)
+        bits = np.zeros((b - a, MAP_BITS), bool)
+        bits[rows[offsets[a] : offsets[b]] - a, at[offsets[a] : offsets[b]]] = True
+        out.append(np.packbits(bits, axis=1))
+    return np.concatenate(out) if out else np.zeros((0, MAP_BITS // 8), np.uint8)
+
+
+def ruled_out(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Pairs of sets, by rows of their bits and sizes, that can't link: each bit of one alone is a shingle outside the intersection."""
+    a, b = bits_a.view(np.uint64), bits_b.view(np.uint64)
+    common = np.minimum(n_a - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+    return (NUMERATOR + DENOMINATOR) * common < NUMERATOR * (n_a + n_b)
+
+
+def _mapped(batches):
+    """(id, text) -> (id, bits)."""
+    for batch in batches:
+        off, _ = text_bytes(batch.column(1))
+        for a, b in sliced(off):
+            bounds, shingles = shingle_sets(batch.column(1).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in shingle_bits(shingles, bounds)], pa.binary())], names=["id", "bits"])
+
+
 def _able(entries: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The entries (key, c, k, n, signature, shared) of classes that can link yet: `shared` of their shingles occur in other open classes too."""
+    """The entries (key, c, k, n, signature, shared, bits) of classes that can link yet: `shared` of their shingles occur in other open classes too."""
     wanted = entries.select(F.col("c").alias("_i")).distinct()
     texts = documents.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     texts = stored(texts.join(wanted, F.col("id") == F.col("_i"), "left_semi"), "open")
@@ -246,8 +275,11 @@ def _able(entries: DataFrame, classes: DataFrame, documents: DataFrame, id_colum
     # An id of several texts has the shingles of all of them: no bound for one.
     rows = classes.groupBy(F.col("class_id").alias("_c")).agg(F.count(F.lit(1)).alias("texts"))
     shared = sets.select("doc_id", "n", "alone").join(rows, F.col("doc_id") == F.col("_c")).select("doc_id", F.when(F.col("texts") == 1, F.col("n") - F.col("alone")).alias("shared"))
+    # Bits of several texts bound none of them.
+    bits = texts.mapInArrow(_mapped, "id bigint, bits binary").groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
     able = classes.join(shared, F.col("class_id") == F.col("doc_id")).withColumn("shared", F.coalesce("shared", "n")).where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n"))
-    out = stored(entries.join(able.select("class_id", "n", "signature", "shared"), F.col("c") == F.col("class_id")).select("key", "c", "k", "n", "signature", "shared"), "able")
+    able = able.select("class_id", "n", "signature", "shared").join(bits, F.col("class_id") == F.col("id"), "left")
+    out = stored(entries.join(able, F.col("c") == F.col("class_id")).select("key", "c", "k", "n", "signature", "shared", "bits"), "able")
     discard(texts, sets)
     return out
 
@@ -263,8 +295,8 @@ def _apart(entries: DataFrame) -> DataFrame:
     own, hashed = F.col("k") == F.col("top"), F.xxhash64("c")
     block = F.when(own, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("rests")))
     others = F.sequence(F.when(own, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rests") - 1)
-    dealt = entries.join(sizes, F.col("key") == F.col("_key")).select("key", "c", "k", "n", "signature", "shared", block.alias("own"), F.explode(others).alias("other"))
-    dealt = stored(dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "k", "n", "signature", "shared"), "compared")
+    dealt = entries.join(sizes, F.col("key") == F.col("_key")).select("key", "c", "k", "n", "signature", "shared", "bits", block.alias("own"), F.explode(others).alias("other"))
+    dealt = stored(dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "k", "n", "signature", "shared", "bits"), "compared")
 
     # Many keys to a task's batch; those of one key and pair of blocks lie together.
     rows = dealt.count()
@@ -273,7 +305,8 @@ def _apart(entries: DataFrame) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([(x, "ascending") for x in ("key", "lo", "hi", "own")])
         key, lo, hi, own, c, k, n, shared = (table[x].to_numpy().astype(np.int64) for x in ("key", "lo", "hi", "own", "c", "k", "n", "shared"))
-        signature = _as_signatures(table["signature"])
+        signature, known = _as_signatures(table["signature"]), table["bits"].is_valid().to_numpy()
+        bits = np.frombuffer(b"".join(b or bytes(MAP_BITS // 8) for b in table["bits"].to_pylist()), np.uint8).reshape(len(key), MAP_BITS // 8)
         last = np.append((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True)
         # A row meets those after it in its group, and where two blocks meet those of the other block.
         here, end = np.arange(len(key)), np.flatnonzero(last)[np.cumsum(np.append(0, last[:-1]))]
@@ -291,6 +324,8 @@ def _apart(entries: DataFrame) -> DataFrame:
             x, y = x[fits], y[fits]
             near = (signature[x] != signature[y]).sum(1) <= THRESHOLD
             x, y = x[near], y[near]
+            fits = ~(known[x] & known[y] & ruled_out(bits[x], bits[y], n[x], n[y]))
+            x, y = x[fits], y[fits]
             # A pair is told at the least key that it has in common.
             a, b = index_keys(signature[x]), index_keys(signature[y])
             first = np.where(a == b, a, np.uint64(0xFFFFFFFFFFFFFFFF)).min(1) == key[x].view(np.uint64) if len(x) else np.zeros(0, bool)
