@@ -411,6 +411,35 @@ def test_language_scores_by_hand(spark):
         assert min(every) - 1e-9 <= got[i] <= max(every) + 1e-9 and max(every) - min(every) < 0.5
 
 
+def test_language_scores_at_mean_tables(spark):
+    """Probabilities are averaged over the samples: where the end's tables in the root alone are drawn, all scores are those of one mean number of them, which needn't be whole."""
+    import math
+
+    from veritrove.llm.pitman_yor import DISCOUNTS, SAMPLES, STRENGTHS
+
+    def triples(t):
+        words = ["^", "^", *t.split(), "$"]
+        return list(zip(words, words[1:], words[2:], strict=False))
+
+    train, rows = ["a b c", "d e", "f"], [(0, "a b c"), (1, "d e"), (2, "f"), (10, "a b x"), (11, "b c"), (12, ""), (13, "y d e")]
+    seen = {x for t in train for x in triples(t)}  # each once
+    pairs, types = {(v, w) for _, v, w in seen}, {w for _, _, w in seen}
+    (d0, d1, d2), (s0, s1, s2) = DISCOUNTS, STRENGTHS
+
+    def score(t, ends):
+        total = 0.0
+        for u, v, w in triples(t):
+            contexts = sum(x == w for _, x in pairs)
+            p = (contexts - d0 * (ends if w == "$" else min(contexts, 1)) + (s0 + d0 * (len(types) - 1 + ends)) / (len(types) + 1)) / (s0 + len(pairs))
+            for here, d, s in (({x for y, x in pairs if y == v}, d1, s1), ({x for a, y, x in seen if (a, y) == (u, v)}, d2, s2)):
+                p = ((w in here) * (1 - d) + (s + d * len(here)) * p) / (s + len(here))
+            total += math.log10(p)
+        return total
+
+    got = {r.id: r.score for r in language_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 10).collect()}
+    assert any(all(abs(got[i] - score(t, n / SAMPLES)) < 1e-9 for i, t in rows) for n in range(SAMPLES, len(train) * SAMPLES + 1))
+
+
 def test_language_root_has_every_word(spark):
     """A word's score doesn't depend on how many root probabilities are broadcast, and a rare word beats an unseen one."""
     r = random.Random(6)
