@@ -175,6 +175,29 @@ def meta_lines(meta: DataFrame) -> DataFrame:
     return meta.select("qid", F.posexplode(F.filter(both, lambda x: x.isNotNull())).alias("line_pos", "line")).withColumn("line_pos", F.col("line_pos") - 2)
 
 
+#: Rows of a key that are dealt out as one.
+PACK = 512
+
+
+def packed(rows: DataFrame, key: str, by: str, name: str, size: int) -> DataFrame:
+    """(key, _pack, name): each key's rows in arrays of about `size`, dealt by a hash of `by`, which tells a key's rows apart."""
+    packs = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_packs"))
+    dealt = rows.join(packs, key).withColumn("_pack", F.pmod(F.xxhash64(by), "_packs"))
+    return dealt.groupBy(key, "_pack").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias(name))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by: str, size: int = PACK) -> DataFrame:
+    """The inner join on a key whose rows are many on both sides.
+
+    Packs of rows are joined, and pairs of packs dealt out before they are
+    multiplied: the work of one key goes to all tasks, and what is shuffled is
+    a side's rows once and a `size`-th of the result.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packed(left, key, left_by, "_left", size).join(packed(right, key, right_by, "_right", size).withColumnRenamed("_pack", "_other"), key)
+    return pairs.repartition(n, key, "_pack", "_other").select(key, "_right", F.inline("_left")).select("*", F.inline("_right")).drop("_right")
+
+
 def pool(questions: DataFrame, lines: DataFrame, qids: str = "qids") -> DataFrame:
     """Questions fanned out over their keys in order; the first of equal lines of a question stays. lines: qid, line_pos, line.
 
@@ -182,11 +205,11 @@ def pool(questions: DataFrame, lines: DataFrame, qids: str = "qids") -> DataFram
     has can't come to a question twice then; so only lines of several keys are
     put in order by question, and the others are joined alone.
     """
-    keyed = first_of(questions.select("question_id", F.posexplode(qids).alias("entity_pos", "qid")).where("qid is not null"), ["question_id", "qid"], ["entity_pos"])
+    keyed = questions.select("question_id", F.posexplode(qids).alias("entity_pos", "qid")).where("qid is not null").groupBy("question_id", "qid").agg(F.min("entity_pos").alias("entity_pos"))
     own = first_of(lines.where("qid is not null"), ["qid", "line"], ["line_pos"])
     same = Window.partitionBy("line")
     told = own.withColumn("_several", F.min("qid").over(same) < F.max("qid").over(same))
-    alone, several = (keyed.join(told.where(c).drop("_several"), "qid") for c in (~F.col("_several"), F.col("_several")))
+    alone, several = (paired(keyed, told.where(c).drop("_several"), "qid", "question_id", "line") for c in (~F.col("_several"), F.col("_several")))
     return alone.unionByName(first_of(several, ["question_id", "line"], ["entity_pos", "line_pos"]))
 
 
