@@ -54,3 +54,16 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
+
+
+def test_pool_without_names(spark, tmp_path):
+    """A supplier or nation without a name gives a line that is null, once for each customer; customers without a key or nation stay as in SQL."""
+    c = duckdb.connect()
+    c.execute("create table nation as select * from (values (1, 'A'), (2, null), (3, 'C')) v(n_nationkey, n_name)")
+    c.execute("create table supplier as select * from (values (1::bigint, 's', 1), (2, null, 1), (3, null, 1), (4, 't', 2), (5, 's', 1), (6, 'u', null), (7, '', 3)) v(s_suppkey, s_name, s_nationkey)")
+    c.execute("create table customer as select * from (values (1::bigint, 1), (2, 2), (3, null), (null, 1), (4, 3), (5, 1)) v(c_custkey, c_nationkey)")
+    for t in ("nation", "supplier", "customer"):
+        c.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    df = entry.queries()["evidence_pool"](spark, str(tmp_path))
+    r = c.execute(entry.oracle_sql()["evidence_pool"])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in r.description], r.fetchall())

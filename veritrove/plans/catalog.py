@@ -498,7 +498,7 @@ def label_override(spark, sf):
 def evidence_pool(spark, sf):
     """Customers as questions about their nation, suppliers as its lines."""
     q = t(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.array(F.col("c_nationkey").cast("string")).alias("qids"))
-    lines = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("string").alias("qid"), F.col("s_suppkey").alias("line_pos"), F.concat_ws(" ", "n_name", "s_name").alias("line"))
+    lines = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("string").alias("qid"), F.col("s_suppkey").alias("line_pos"), F.concat("n_name", F.lit(" "), "s_name").alias("line"))
     return R.pool(q, lines).select("question_id", "line")
 
 
